@@ -143,9 +143,12 @@ def life_cycle(
         allowed = F.coalesce(F.array_contains(F.try_element_at(legal, state), to), F.lit(False))
         return F.when(allowed, to).otherwise(state)
 
+    def position(state: Column) -> Column:
+        return F.array_position(F.array(*[F.lit(s) for s in states]), state).cast("int")
+
     def summarise(steps: Column) -> Column:
         ends = [F.aggregate(steps, F.lit(s), lambda state, row: move(state, row["to"])) for s in states]
-        return F.map_from_arrays(F.array(*[F.lit(s) for s in states]), F.array(*ends))
+        return F.array(*ends)
 
     def step(state, row):
         before = state[0]
@@ -174,7 +177,7 @@ def life_cycle(
     return sliced_fold(
         requests, [key], "at", ["seq"], ["to"], summarise,
         F.struct(F.lit(start).alias("state")),
-        lambda state, ends: F.struct(F.try_element_at(ends, state["state"]).alias("state")),
+        lambda state, ends: F.struct(F.element_at(ends, position(state["state"])).alias("state")),
         replay, width,
     )
 

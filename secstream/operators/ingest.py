@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -304,9 +305,8 @@ def schema_conformance(raw: DataFrame, value: str = "value") -> DataFrame:
         known = [p[len(prefix):] for p in CONTRACT_TYPES if p.startswith(prefix) and "." not in p[len(prefix):]]
         keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
         extra = F.array_except(keys, F.array(*[F.lit(k) for k in known]))
-        strangers.append(
-            F.transform(extra, lambda k, prefix=prefix: problem(F.concat(F.lit(prefix), k), "unknown"))
-        )
+        full = F.transform(extra, partial(_under, prefix))
+        strangers.append(F.transform(full, lambda path: problem(path, "unknown")))
     broken = F.array(problem(F.lit("$"), "not_an_object"))
     return (
         raw.withColumn("_doc", document)
@@ -323,5 +323,9 @@ def schema_conformance(raw: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def _under(prefix: str, key: Column) -> Column:
+    return F.concat(F.lit(prefix), key)
+
+
 def _json_path(path: str) -> str:
     return "$" + "".join(f"['{part}']" for part in path.split(".")) if path else "$"
