@@ -30,8 +30,11 @@ def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
     text = F.col(value)
     parsed = F.from_json(text, _WIRE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
     stamp, port = F.col("event_data.`@timestamp`"), F.col("event_data.source.port")
+    # Generating the column instead of projecting it keeps the optimizer from copying from_json
+    # into every expression that reads a field, so each message is parsed once.
+    once = F.inline(F.array(F.struct(parsed.alias("event_data"))))
     return (
-        raw.withColumn("event_data", parsed)
+        raw.select("*", once)
         .withColumn("event_ts", F.when(stamp.rlike(_ISO), F.try_to_timestamp(stamp)))
         .withColumn(
             "parse_problem",
