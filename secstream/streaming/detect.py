@@ -210,14 +210,34 @@ _PAIR = T.StructType(
 _Pair = Row(*_PAIR.fieldNames())
 
 
-class _Position(StatefulProcessor):
-    """Last login per account; it only moves forward in time."""
+class _Expiring(StatefulProcessor):
+    """One value per account that goes when the watermark passes its time plus a lifetime."""
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("login", "at_us bigint, country string, ip string", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("last", "at_us bigint, one string, two string")
+
+    def keep(self, held, value) -> None:
+        if value is None or held == value:
+            return
+        if held:
+            self.handle.deleteTimer(held[0] // 1000 + self.ttl_ms)
+        self.state.update(value)
+        self.handle.registerTimer(value[0] // 1000 + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class _Position(_Expiring):
+    """Last login per account; it only moves forward in time."""
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.state.get()
@@ -227,22 +247,12 @@ class _Position(StatefulProcessor):
                 yield _Pair(key[0], row["ts_us"], row["event_id"], *before)
             if before is None or row["ts_us"] > before[0]:
                 before = (row["ts_us"], row["source_country"], row["source_ip"])
-        if before:
-            self.state.update(before)
-
-    def close(self) -> None:
-        pass
+        self.keep(tuple(held) if held else None, before)
 
 
-class _Session(StatefulProcessor):
+class _Session(_Expiring):
     """Fingerprint of the last successful authentication per account."""
 
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "at_us bigint, ip string, agent string", self.ttl_ms)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.state.get()
         session = tuple(held) if held else None
@@ -251,11 +261,7 @@ class _Session(StatefulProcessor):
                 session = (row["ts_us"], row["source_ip"], row["user_agent"])
             elif session:
                 yield _Pair(key[0], row["ts_us"], row["event_id"], *session)
-        if session:
-            self.state.update(session)
-
-    def close(self) -> None:
-        pass
+        self.keep(tuple(held) if held else None, session)
 
 
 _SIDE = ["user_id", "ts_us", "event_id", "event_action", "source_country", "source_ip", "user_agent"]
@@ -284,31 +290,33 @@ class _SessionRows(_WithRow, _Session):
     pass
 
 
-def stream_travel(events: DataFrame, max_gap: str = "1 hour", ttl: str = LOGIN_TTL) -> DataFrame:
+def stream_travel(
+    events: DataFrame, max_gap: str = "1 hour", ttl: str = LOGIN_TTL, delay: str = "1 hour"
+) -> DataFrame:
     """Impossible travel on a stream, in order of arrival between micro-batches."""
-    logins = events.filter(
+    logins = events.withWatermark("ts", delay).filter(
         (F.col("event_action") == "user-login") & succeeded()
         & F.col("user_id").isNotNull() & F.col("source_country").isNotNull()
     ).withColumn("ts_us", F.unix_micros("ts"))
-    pairs = logins.select(*_SIDE).groupBy("user_id").transformWithState(
-        _PositionRows(seconds(ttl) * 1000), _PAIRED, outputMode="Append", timeMode="ProcessingTime"
+    pairs = logins.select("ts", *_SIDE).groupBy("user_id").transformWithState(
+        _PositionRows(seconds(ttl) * 1000), _PAIRED, outputMode="Append", timeMode="EventTime"
     )
     gap = F.abs(F.col("at_us") - F.col("before_us"))
     return _sequence_alerts(pairs.filter(gap <= micros(max_gap)), "travel", gap, max_gap)
 
 
 def stream_hijack(
-    events: DataFrame, ttl: str = SESSION_TTL, grace: str = "20 seconds"
+    events: DataFrame, ttl: str = SESSION_TTL, grace: str = "20 seconds", delay: str = "1 hour"
 ) -> DataFrame:
     """Session hijack on a stream."""
     from secstream.functions.scalar import network_changed
 
     opens = is_auth() & succeeded()
-    rows = events.filter(
+    rows = events.withWatermark("ts", delay).filter(
         F.col("user_id").isNotNull() & (opens | (~is_auth() & F.col("source_ip").isNotNull()))
     ).withColumn("ts_us", F.unix_micros("ts")).withColumn("opens", opens)
-    pairs = rows.select(*_SIDE, "opens").groupBy("user_id").transformWithState(
-        _SessionRows(seconds(ttl) * 1000), _PAIRED, outputMode="Append", timeMode="ProcessingTime"
+    pairs = rows.select("ts", *_SIDE, "opens").groupBy("user_id").transformWithState(
+        _SessionRows(seconds(ttl) * 1000), _PAIRED, outputMode="Append", timeMode="EventTime"
     )
     age = F.col("at_us") - F.col("before_us")
     moved = network_changed(F.col("before_one"), F.col("source_ip"))
