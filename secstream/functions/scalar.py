@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Severities in rising order with the risk each one adds.
@@ -48,6 +48,16 @@ def after(ts: str, as_of, lookback: str | int) -> Column:
     return F.col(ts) > as_time(as_of) - back
 
 
+def recent(ev: DataFrame, as_of, lookback: str | int) -> DataFrame:
+    """Events of the look-back. On a day-partitioned table older days are not even listed: a
+    filter on ``ts`` alone would still open every partition."""
+    rows = ev.filter(after("ts", as_of, lookback))
+    if {"year", "month", "day"} <= set(ev.columns):
+        back = F.expr(f"INTERVAL {seconds(lookback)} SECONDS")
+        rows = rows.filter(F.make_date("year", "month", "day") >= F.to_date(as_time(as_of) - back))
+    return rows
+
+
 def gap_micros(later: Column, earlier: Column) -> Column:
     return F.unix_micros(later) - F.unix_micros(earlier)
 

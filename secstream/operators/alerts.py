@@ -41,13 +41,13 @@ def alert_positions(alerts: DataFrame, suppression: str = "30 minutes") -> DataF
     """
     first = running_before(
         alerts, ["dedupe_key"], "detected_at", ["alert_id"],
-        {"_before": ("sum", F.lit(1)), "_last": ("last", F.col("detected_at"))}, "1 day",
+        {"_before": ("sum", F.lit(1)), "_last": ("last", F.col("detected_at"))},
     ).withColumn("_before", F.coalesce("_before", F.lit(0)))
     opens = F.col("_last").isNull() | (gap_micros(F.col("detected_at"), F.col("_last")) > micros(suppression))
     opened = F.when(opens, F.struct(F.col("alert_id").alias("id"), F.col("_before").alias("index")))
     marked = first.withColumn("_opened", opened)
     carried = running_before(
-        marked, ["dedupe_key"], "detected_at", ["alert_id"], {"_open": ("last", F.col("_opened"))}, "1 day"
+        marked, ["dedupe_key"], "detected_at", ["alert_id"], {"_open": ("last", F.col("_opened"))}
     )
     row = F.coalesce("_opened", "_open")
     return carried.select(

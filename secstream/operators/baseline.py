@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from secstream.functions.scalar import after, as_time, clamp, gap_micros, ratio
+from secstream.functions.scalar import as_time, clamp, gap_micros, ratio, recent
 
 
 def user_baseline(ev: DataFrame, as_of, days: int = 7) -> DataFrame:
@@ -17,7 +17,8 @@ def user_baseline(ev: DataFrame, as_of, days: int = 7) -> DataFrame:
     failed_login = (F.col("event_action") == "user-login") & (F.col("event_outcome") == "failure")
     hour = F.hour("ts")
     per_user = (
-        ev.filter(after("ts", as_of, days * 86400) & F.col("user_id").isNotNull())
+        recent(ev, as_of, days * 86400)
+        .filter(F.col("user_id").isNotNull())
         .groupBy("user_id")
         .agg(
             F.count("*").alias("total_events"),

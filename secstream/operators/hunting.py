@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from secstream.functions.ordered import running_before
 from secstream.functions.scalar import (
-    after,
     clamp,
     floor_time,
     gap_micros,
@@ -17,6 +16,7 @@ from secstream.functions.scalar import (
     lag_seconds,
     micros,
     ratio,
+    recent,
     seconds,
 )
 
@@ -28,11 +28,11 @@ def _login(outcome: str | None = None):
 
 def ingest_health(ev: DataFrame, as_of, lookback: str = "1 hour") -> DataFrame:
     """Volume and pipeline lag."""
-    recent = ev.filter(after("ts", as_of, lookback))
+    rows = recent(ev, as_of, lookback)
     # Two distinct counts in one aggregate would multiply every row, so each gets its own pass
     # over a two-column projection.
-    ips = recent.agg(F.countDistinct("source_ip")).scalar()
-    return recent.agg(
+    ips = rows.agg(F.countDistinct("source_ip")).scalar()
+    return rows.agg(
         F.count("*").alias("events"),
         F.countDistinct("user_id").alias("users"),
         F.min("ts").alias("earliest"),
@@ -44,7 +44,7 @@ def ingest_health(ev: DataFrame, as_of, lookback: str = "1 hour") -> DataFrame:
 
 def events_per_minute(ev: DataFrame, as_of, lookback: str = "30 minutes") -> DataFrame:
     return (
-        ev.filter(after("ts", as_of, lookback))
+        recent(ev, as_of, lookback)
         .groupBy(F.date_trunc("minute", "ts").alias("minute"), "event_outcome")
         .agg(F.count("*").alias("events"))
     )
@@ -63,7 +63,7 @@ def duplicate_check(ev: DataFrame, limit: int = 10) -> DataFrame:
 
 def login_failure_rate(ev: DataFrame, as_of, lookback: str = "1 hour") -> DataFrame:
     failures = F.count_if(F.col("event_outcome") == "failure")
-    return ev.filter(after("ts", as_of, lookback) & _login()).agg(
+    return recent(ev, as_of, lookback).filter(_login()).agg(
         ratio(failures, F.count("*")).alias("failure_rate"),
         F.count("*").alias("login_attempts"),
     )
@@ -71,7 +71,7 @@ def login_failure_rate(ev: DataFrame, as_of, lookback: str = "1 hour") -> DataFr
 
 def user_activity(ev: DataFrame, as_of, lookback: str = "1 hour", limit: int = 20) -> DataFrame:
     return (
-        ev.filter(after("ts", as_of, lookback))
+        recent(ev, as_of, lookback)
         .groupBy("user_id")
         .agg(
             F.count("*").alias("events"),
@@ -84,7 +84,7 @@ def user_activity(ev: DataFrame, as_of, lookback: str = "1 hour", limit: int = 2
 
 def user_countries(ev: DataFrame, as_of, lookback: str = "24 hours", limit: int = 40) -> DataFrame:
     return (
-        ev.filter(after("ts", as_of, lookback))
+        recent(ev, as_of, lookback)
         .groupBy("user_id", "source_country")
         .agg(
             F.count("*").alias("events"),
@@ -102,7 +102,7 @@ def brute_force_hunt(
     """Accounts with many failed logins. Counted per (account, source) first, so that one account
     or one source with most of the failures is reduced before it is gathered."""
     per_source = (
-        ev.filter(after("ts", as_of, minutes * 60) & _login("failure"))
+        recent(ev, as_of, minutes * 60).filter(_login("failure"))
         .groupBy("user_id", "source_ip")
         .agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     )
@@ -127,7 +127,7 @@ def brute_force_hunt(
 def noisy_sources(ev: DataFrame, as_of, minutes: int = 15, threshold: int = 10) -> DataFrame:
     """Sources that try many accounts."""
     return (
-        ev.filter(after("ts", as_of, minutes * 60) & _login())
+        recent(ev, as_of, minutes * 60).filter(_login())
         .groupBy("source_ip", "source_country")
         .agg(
             F.count("*").alias("attempts"),
@@ -144,7 +144,7 @@ def new_country_logins(
     ev: DataFrame, as_of, max_gap: str = "1 hour", lookback: str = "24 hours", limit: int = 20
 ) -> DataFrame:
     """Successful logins whose country differs from the account's previous login."""
-    logins = ev.filter(after("ts", as_of, lookback) & _login("success")).select(
+    logins = recent(ev, as_of, lookback).filter(_login("success")).select(
         "user_id", "ts", "event_id", "source_country", "source_ip"
     )
     previous = F.struct(F.col("source_country").alias("country"), F.col("ts").alias("ts"))
@@ -171,7 +171,7 @@ def brute_force_success(
 ) -> DataFrame:
     """Logins that succeeded around the last of many failures."""
     failures = (
-        ev.filter(after("ts", as_of, lookback) & _login("failure"))
+        recent(ev, as_of, lookback).filter(_login("failure"))
         .groupBy("user_id")
         .agg(F.count("*").alias("preceding_failures"), F.max("ts").alias("last_failure"))
         .filter(F.col("preceding_failures") >= threshold)
@@ -213,7 +213,7 @@ def attack_inventory(ev: DataFrame) -> DataFrame:
 
 def recent_events(ev: DataFrame, as_of, limit: int = 50, lookback: str = "24 hours") -> DataFrame:
     return (
-        ev.filter(after("ts", as_of, lookback))
+        recent(ev, as_of, lookback)
         .orderBy(F.desc("ts"), "event_id")
         .limit(clamp(limit, 500))
     )

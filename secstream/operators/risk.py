@@ -88,7 +88,7 @@ def _advance(half_life_s: int):
 
 
 def scored_firings(
-    positions: DataFrame, half_life: str = HALF_LIFE, cap: float = CAP, width: str = "1 hour"
+    positions: DataFrame, half_life: str = HALF_LIFE, cap: float = CAP, width: str = "5 minutes"
 ) -> DataFrame:
     """Every firing with the entity's score right after it."""
     half, top = seconds(half_life), float(cap)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from secstream.functions.ordered import any_overlap
-from secstream.functions.scalar import after, as_time, f1, ratio, seconds
+from secstream.functions.scalar import after, as_time, f1, ratio, recent, seconds
 
 RUN = ["scenario", "run_id"]
 ENTITY = ["entity_type", "entity_id"]
@@ -16,7 +16,7 @@ def _labelled(ev: DataFrame, as_of, window: str, tolerance: str) -> DataFrame:
     """Labelled events of the wider look-back: alerts may refer to attacks before the window."""
     reach = 3 * seconds(window) + 2 * seconds(tolerance)
     label = F.col("labels")
-    return ev.filter(F.map_contains_key("labels", F.lit("scenario")) & after("ts", as_of, reach)).select(
+    return recent(ev, as_of, reach).filter(F.map_contains_key("labels", F.lit("scenario"))).select(
         label["scenario"].alias("scenario"),
         label["run_id"].alias("run_id"),
         label["attack_technique"].alias("technique"),

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secstream.operators.alerts import alert_positions, alert_union, fold_positions
-from secstream.operators.baseline import user_baseline
 from secstream.operators.incidents import alerts_of_incidents, attached_firings, open_incidents
 from secstream.operators.response import propose_actions
 from secstream.operators.risk import risk_scores, scored_firings
@@ -43,7 +42,7 @@ class Response:
     actions: DataFrame
 
 
-def respond(alerts: DataFrame, as_of, suppression: str = "30 minutes", width: str = "1 hour") -> Response:
+def respond(alerts: DataFrame, as_of, suppression: str = "30 minutes", width: str = "5 minutes") -> Response:
     """Fold, score, open incidents and propose actions.
 
     Positions and scores are written once each: everything after them reads them several times.
@@ -62,9 +61,3 @@ def respond(alerts: DataFrame, as_of, suppression: str = "30 minutes", width: st
         incidents,
         propose_actions(attached, incidents),
     )
-
-
-def baseline_of_first_half(ev: DataFrame, as_of, days: int, age: str) -> DataFrame:
-    """A baseline learnt up to ``as_of - age``, for comparing newer events with it."""
-    then = as_of - F.expr(f"INTERVAL {age}")
-    return user_baseline(ev.filter(F.col("ts") <= then), then, days)

@@ -6,10 +6,12 @@ as text.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +34,7 @@ from secstream.operators import (
 )
 from secstream.operators.rules import PACKS, Rule, compile_match, load_rules
 from secstream.plans.detection import detect, latest, respond
-from secstream.session import materialise, use_utc
+from secstream.session import materialise, use_utc, work_dir
 from secstream.sources import tables
 
 WEEKLY = load_rules(PACKS / "weekly")
@@ -202,11 +204,7 @@ class Lab:
 
 
 def _scratch(spark: SparkSession) -> str:
-    import uuid
-
-    from secstream.session import _work_dir
-
-    return f"{_work_dir(spark)}/secstream/{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/secstream/{uuid.uuid4().hex}"
 
 
 _labs: dict[tuple[str, str], Lab] = {}
@@ -348,8 +346,6 @@ def schema_conformance(x: Lab) -> DataFrame:
 @query()
 def partition_by_day(x: Lab) -> DataFrame:
     """Rows per day partition, with the first and the last day outside the expected range."""
-    import datetime as dt
-
     inside, outside = L.split_by_range(x.ev, dt.date(2024, 1, 3), dt.date(2024, 1, 28))
     counts = L.with_day(inside).groupBy("year", "month", "day").agg(F.count("*").alias("events"))
     rest = outside.agg(F.count("*").alias("events"))
@@ -380,8 +376,6 @@ def archive_write(x: Lab) -> DataFrame:
 @query()
 def archive_scan(x: Lab) -> DataFrame:
     """One day of the archive, through the partition columns."""
-    import datetime as dt
-
     return x.archive.filter(L.day_between(dt.date(2024, 1, 10), dt.date(2024, 1, 10))).select(
         "event_id", "ts", "event_action", "user_id", "source_ip", "day"
     )
@@ -708,8 +702,6 @@ def _samples(x: Lab) -> DataFrame:
     hours = x.ev.groupBy(F.to_date("ingested_at").alias("d"), F.hour("ingested_at").alias("h")).agg(
         F.count("*").alias("n"), F.max(S.lag_seconds()).alias("max_lag_s"), F.max("ingested_at").alias("at")
     )
-    from pyspark.sql import Window
-
     total = F.sum("n").over(Window.partitionBy("d").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
     return hours.select((F.dayofmonth("d") * 0.0005).alias("offered_rate"), "at", total.alias("ingested"), "max_lag_s")
 
@@ -1012,16 +1004,12 @@ def small_files_report(x: Lab) -> DataFrame:
 
 @query()
 def pruning_report(x: Lab) -> DataFrame:
-    import datetime as dt
-
     return L.pruning_report(x.archive, dt.date(2024, 1, 10)).select("variant", "rows")
 
 
 @query()
 def compact_day(x: Lab) -> DataFrame:
     """One day split over many files, compacted and read back."""
-    import datetime as dt
-
     day = dt.date(2024, 1, 10)
     path = f"{_scratch(x.spark)}/compact"
     L.write_days(x.ev, path, rows_per_file=50)
@@ -1033,8 +1021,6 @@ def compact_day(x: Lab) -> DataFrame:
 @query()
 def daily_maintenance(x: Lab) -> DataFrame:
     """The daily job for one day: gate, archive, verify, compact; the archived rows are returned."""
-    import datetime as dt
-
     day, path = dt.date(2024, 1, 20), f"{_scratch(x.spark)}/daily"
     noon = F.lit("2024-01-20 12:00:00").cast("timestamp")
     none = x.dead.limit(0)

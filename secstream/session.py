@@ -32,7 +32,7 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def shared_dir(spark: SparkSession) -> str:
+def work_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, which all executors share.
 
     A local run without that setting gets a scratch folder; a cluster without it is an error,
@@ -43,13 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("secstream.scratch.dir", made)
-    return made
-
-
-def _work_dir(spark: SparkSession) -> str:
-    return spark.conf.get("secstream.scratch.dir", None) or shared_dir(spark)
+    scratch = spark.conf.get("secstream.scratch.dir", None)
+    if scratch is None:
+        scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("secstream.scratch.dir", scratch)
+    return scratch
 
 
 def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -60,6 +58,12 @@ def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     pushdown and the size statistics that join selection needs.
     """
     spark = df.sparkSession
-    path = f"{_work_dir(spark)}/secstream/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/secstream/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables that ``materialise`` wrote under the shared folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/secstream")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

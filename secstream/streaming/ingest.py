@@ -30,9 +30,8 @@ def stream_ingest(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        validated = validate_events(parse_events(batch)).persist()
         try:
-            validated = validate_events(parse_events(batch))
             usable = flatten_events(validated.filter(F.col("failure_type").isNull()))
             stored = None
             if _exists(spark, events_path):
@@ -41,7 +40,7 @@ def stream_ingest(
             write_batch(with_day(good), events_path, batch_id, schema.DAY_PARTS)
             write_batch(dead_letters(validated), dead_path, batch_id)
         finally:
-            batch.unpersist()
+            validated.unpersist()
 
     return start(messages, each, checkpoint, **options)
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from secstream.operators import baseline, lake, sequence
+from secstream.operators import baseline, hunting, lake, sequence
 from secstream.plans.oracles import ORACLES
 from secstream.plans.queries import QUERIES, all_queries
 from tests.conftest import SMALL
@@ -65,6 +65,12 @@ def test_day_predicate_prunes_and_columns_are_pruned(small):
     assert files and all("day=10" in f for f in files)
 
 
+def test_look_back_prunes_days(small):
+    df = hunting.brute_force_hunt(small.archive, dt.datetime(2024, 1, 30, 12), 1440, 1)
+    scan = next(line for line in plan(df).splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [" in scan and "make_date" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_time_predicate_reaches_the_scan(spark, small):
     text = plan(small.archive.filter("event_action = 'user-login'").select("ts"))
     assert "EqualTo(event_action,user-login)" in text
