@@ -17,6 +17,7 @@ from secstream.functions.fields import FIELD_COLUMNS, field
 from secstream.functions.scalar import dedupe_key, iso, micros, text_map
 from secstream.operators.rules import Rule, compile_match
 from secstream.schema import ALERT_COLUMNS
+from secstream.session import materialise
 
 GROUP = ["rule_id", "entity_id", "window_us"]
 SAMPLES = 5
@@ -51,7 +52,8 @@ def rule_hits(ev: DataFrame, rules: list[Rule], evidence: bool = False) -> DataF
     any_match = reduce(lambda a, b: a | b, [_matches(rule) for rule in rules])
     return (
         ev.filter(any_match)
-        .select("ts", "event_id", F.explode(F.array_compact(F.array(*tags))).alias("hit"))
+        .select("ts", "event_id", F.explode(F.array(*tags)).alias("hit"))
+        .filter(F.col("hit").isNotNull())
         .select("ts", "event_id", "hit.*")
     )
 
@@ -166,10 +168,12 @@ def _named(name: Column) -> Column:
 
 
 def threshold_alerts(ev: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Alerts of all enabled rules, with evidence."""
+    """Alerts of all enabled rules, with evidence. Finds the crossings at once, the rest is lazy."""
     active = [rule for rule in rules if rule.enabled]
     ev = ev.select("ts", "event_id", *FIELD_COLUMNS.values())
-    crossings = threshold_crossings(ev, active)
+    # One row per alert, read by both evidence passes; written, it is also small enough for Spark
+    # to see that it can be broadcast to them.
+    crossings = materialise(threshold_crossings(ev, active), "crossings")
     rows = crossings.join(_evidence(ev, active, crossings), GROUP)
 
     def per_rule(value) -> Column:

@@ -21,6 +21,7 @@ def local_session(cores: str = "8", app: str = "secstream") -> SparkSession:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", STREAM_STATE_PROVIDER)
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")  # no stack walk per Column
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
