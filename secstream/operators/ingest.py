@@ -312,7 +312,7 @@ def schema_conformance(raw: DataFrame, value: str = "value") -> DataFrame:
         strangers.append(F.transform(full, lambda path: problem(path, "unknown")))
     broken = F.array(problem(F.lit("$"), "not_an_object"))
     return (
-        raw.withColumn("_doc", document)
+        raw.select("*", F.inline(F.array(F.struct(document.alias("_doc")))))
         .select(
             F.explode(
                 F.when(
