@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secstream.llm.common import blocks, table
-from secstream.session import work_dir
+from secstream.session import materialise, work_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -101,7 +101,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = TOKENIZER, limit:
     fresh = encode_counts(misses, tokenizer).select("content_sha256", F.lit(version).alias("tokenizer_sha256"), "n_tokens")
     fresh.write.mode("append").parquet(cache)
 
-    counts = read_cache(spark, cache, version)
+    # written, so that both sides of the join are plain exchanges and a hot content can be split
+    counts = materialise(read_cache(spark, cache, version), "token-counts")
     rows = docs.select("doc_id", digest.alias("content_sha256"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     return rows.join(counts, "content_sha256").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content_sha256")).alias("content_sha256")
