@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from secstream.llm import quality_llr, sharding, token_counts, toxicity
+from secstream.llm import quality_llr, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_llr": quality_llr.op2_quality_llr,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_simhash_pigeonhole": simhash.op6_simhash_pigeonhole,
     "op8_toxicity_crf": toxicity.op8_toxicity_crf,
     "op10_shard_lookup": sharding.op10_shard_lookup,
 }
