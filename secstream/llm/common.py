@@ -29,6 +29,15 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 61) - 1)))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as _row, so that helper columns cannot clash with the input's."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about BLOCK bytes of ``column``, one row at least."""
     for batch in batches:

@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from secstream.llm import quality_llr, sharding, simhash, token_counts, toxicity
+from secstream.llm import decontaminate, mixing, quality_llr, secrets, sharding, simhash, substrings, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_llr": quality_llr.op2_quality_llr,
+    "op3_secret_trigrams": secrets.op3_secret_trigrams,
+    "op4_substring_anchors": substrings.op4_substring_anchors,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_simhash_pigeonhole": simhash.op6_simhash_pigeonhole,
+    "op7_benchmark_edit_matches": decontaminate.op7_benchmark_edit_matches,
     "op8_toxicity_crf": toxicity.op8_toxicity_crf,
+    "op9_mixing_rates": mixing.op9_mixing_rates,
     "op10_shard_lookup": sharding.op10_shard_lookup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secret_trigrams": secrets.oracle(),
+}

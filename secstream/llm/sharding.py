@@ -73,10 +73,10 @@ def place(docs: DataFrame, key: Column, shards: list[str], slots: int = SLOTS, s
     Every row is kept and placed: rows with equal keys share a shard, a null key has a slot like any other,
     empty input gives empty output. Columns of the input that are called ``slot`` or ``shard`` are replaced.
     """
-    keyed = docs.withColumn("_slot", slot_of(key, slots))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (slot.lower(), shard.lower())]
+    keyed = docs.select(F.struct(*own).alias("_row"), slot_of(key, slots).alias("_slot"))
     placed = keyed.join(F.broadcast(slot_table(docs.sparkSession, shards, slots)), "_slot", "left")
-    own = [c for c in docs.columns if c.lower() not in (slot.lower(), shard.lower())]
-    return placed.select(*(F.col(f"`{c}`") for c in own), F.col("_slot").alias(slot), F.col("_shard").alias(shard))
+    return placed.select("_row.*", F.col("_slot").alias(slot), F.col("_shard").alias(shard))
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from secstream.llm.common import doc_key, raw_bytes, table, word_bounds
+from secstream.llm.common import doc_key, packed, raw_bytes, table, unpacked, word_bounds
 from secstream.session import materialise
 
 SHINGLE = 4
@@ -275,12 +275,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows without an id come last, by their text. Of repeated rows one stays.
     """
-    keyed = docs.withColumn("_key", doc_key(F.col("doc_id"), F.col("text")))
+    keyed = packed(docs).select("_row", "text", doc_key(F.col("doc_id"), F.col("text")).alias("_key"))
     prints = materialise(keyed.select("_key", simhash("text").alias("_fp")), "prints")
     first = prints.join(roots(prints, radius), "_fp").filter("_key = _first").select("_key").distinct()
-    kept = keyed.join(first, "_key", "left_semi")
-    one = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_rank", F.row_number().over(one)).filter("_rank = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = keyed.select("_row", "_key", F.xxhash64("text").alias("_text")).join(first, "_key", "left_semi")
+    one = Window.partitionBy("_key").orderBy("_text")
+    return unpacked(kept.withColumn("_rank", F.row_number().over(one)).filter("_rank = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
