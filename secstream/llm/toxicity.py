@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from secstream.llm.common import mix, raw_bytes, table, word_bounds, word_hashes
 
 BUCKETS = 1 << 18
-TRAIN_DOCS = 3_000
+TRAIN_DOCS = 1_500
 TRAIN_CHARS = 100_000
 WINDOW = 128
 ROUNDS = 50
@@ -103,27 +103,33 @@ def marginals(model: Model, chains: list[np.ndarray]) -> np.ndarray:
 
 def _fit_chain(windows: np.ndarray, tags: np.ndarray, real: np.ndarray) -> Model:
     """Gradient ascent with adaptive steps; arrays are (position, window), windows have features behind."""
-    size, scale = real.sum(), np.zeros(BUCKETS + 5)
+    size, scale = float(real.sum()), np.zeros(BUCKETS + 5)
     pair = real[1:]
+    gap = (1 - real) * np.float32(1e-12)
     y, y0, y1 = tags, tags[:-1], tags[1:]
     seen = [(y0 * y1 * pair).sum(), (y0 * (1 - y1) * pair).sum(), ((1 - y0) * y1 * pair).sum()]
     params = np.zeros(BUCKETS + 5)
     params[BUCKETS] = -2.0
     for _ in range(ROUNDS):
-        odds = np.exp(params[windows].sum(axis=2) + params[BUCKETS]) * real + (1 - real) * 1e-12
-        start, stay, leave, enter = np.exp(params[BUCKETS + 1 :])
+        weights = params.astype(np.float32)
+        odds = np.full(real.shape, weights[BUCKETS], np.float32)
+        for k in range(FEATURES):
+            odds += weights[windows[:, :, k]]
+        odds = np.exp(odds, out=odds) * real + gap
+        start, stay, leave, enter = np.exp(weights[BUCKETS + 1 :])
         fore, back = np.empty_like(odds), np.ones_like(odds)
         fore[0] = odds[0] * start
         for t in range(1, len(odds)):
-            fore[t] = odds[t] * (stay * fore[t - 1] + enter) / (leave * fore[t - 1] + 1.0)
+            fore[t] = odds[t] * (stay * fore[t - 1] + enter) / (leave * fore[t - 1] + 1)
         for t in range(len(odds) - 2, -1, -1):
             s = odds[t + 1] * back[t + 1]
-            back[t] = np.where(real[t + 1] > 0, (stay * s + leave) / (enter * s + 1.0), 1.0)
-        p = fore * back / (1.0 + fore * back)
-        miss = (y - p) * real
+            back[t] = np.where(real[t + 1] > 0, (stay * s + leave) / (enter * s + 1), 1)
+        joint = fore * back
+        miss = (y - joint / (1 + joint)) * real
+        del joint
         s = odds[1:] * back[1:]
         both, out, into = fore[:-1] * stay * s, fore[:-1] * leave, enter * s
-        total = both + out + into + 1.0
+        total = both + out + into + 1
         grad = np.empty(BUCKETS + 5)
         grad[:BUCKETS] = sum(np.bincount(windows[:, :, k].ravel(), weights=miss.ravel(), minlength=BUCKETS) for k in range(FEATURES))
         grad[BUCKETS] = miss.sum()
@@ -176,7 +182,7 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float) -> Model:
             cut.append(doc[k : k + WINDOW])
             tag.append(marks[k : k + WINDOW])
     windows = np.zeros((WINDOW, len(cut), FEATURES), np.int32)
-    tags, real = np.zeros((WINDOW, len(cut))), np.zeros((WINDOW, len(cut)))
+    tags, real = np.zeros((WINDOW, len(cut)), np.float32), np.zeros((WINDOW, len(cut)), np.float32)
     for k, (c, t) in enumerate(zip(cut, tag, strict=True)):
         windows[: len(c), k], tags[: len(c), k], real[: len(c), k] = c, t, 1.0
     model = _fit_chain(windows, tags, real)
