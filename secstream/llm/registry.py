@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from secstream.llm import decontaminate, mixing, quality_llr, secrets, sharding, simhash, substrings, token_counts, toxicity
+from secstream.llm import decontaminate, mixing, quality_llr, secrets, sharding, simhash, substrings, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_chunks": warc.op1_warc_chunks,
     "op2_quality_llr": quality_llr.op2_quality_llr,
     "op3_secret_trigrams": secrets.op3_secret_trigrams,
     "op4_substring_anchors": substrings.op4_substring_anchors,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_chunks": warc.ORACLE,
     "op3_secret_trigrams": secrets.oracle(),
 }
