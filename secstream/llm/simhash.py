@@ -14,6 +14,8 @@ Fingerprints within ``radius`` bits of each other are linked; a document's compo
 * A bucket with more than MOST_IN_BUCKET fingerprints is not paired. Its members write all values within
   radius/2 bits of their own instead; two of them share such a value exactly if they are within the radius,
   so linking every member to the smallest at each shared value connects the same components without pairs.
+* The pipeline's stage asks for five-word shingles and a similarity of 0.8, which takes more bits and a wider
+  radius; the same probing runs on a fingerprint of word pairs and a 256-bit one decides.
 * Components come from alternating large-star and small-star steps over written tables.
 """
 
@@ -30,14 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from secstream.llm.common import doc_key, packed, raw_bytes, table, unpacked, word_bounds
+from secstream.llm.common import doc_key, mix, packed, raw_bytes, table, unpacked, window_hashes, word_bounds, word_hashes
 from secstream.session import materialise
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
 #: Fingerprints that the partition is planned on, at most; those with the smallest hash.
-SAMPLE = 2_000
+SAMPLE = 1_000
 #: Fingerprints of one part value that are paired; larger buckets go by shared neighbours.
 MOST_IN_BUCKET = 2_000
 #: What a written signature costs, in looks at a candidate pair.
@@ -49,7 +51,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a whole text, as a signed long; 0 without words.
 
     A bit is set if it is set in more than half of the shingles' XXH64 values, repeats counted.
@@ -69,7 +71,7 @@ def fingerprint(text: str | None) -> int:
         data = joined.tobytes()
     else:
         data, to = raw.tobytes(), starts
-    k = min(SHINGLE, n)
+    k = min(shingle, n)
     first, last = to[: n - k + 1].tolist(), (to[k - 1 :] + sizes[k - 1 :]).tolist()
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
@@ -172,14 +174,15 @@ def _long_array(values: list[int]) -> Column:
 
 
 def _signatures(nodes: DataFrame, parts: list[tuple[list[int], int]], probe: bool) -> DataFrame:
-    """(_part, _value, _fp): a row per part, for probes one for every value within the part's threshold."""
-    all_parts = None
+    """_part, _value and the columns of ``nodes``: a row per part, for probes one for every value within the
+    part's threshold."""
+    all_parts, own_columns = None, nodes.columns
     for k, (bits, t) in enumerate(parts):
         own = F.col("_fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        rows = nodes.select("_fp", own.alias("_value"))
+        rows = nodes.select(*own_columns, own.alias("_value"))
         if probe and t:
-            rows = rows.select("_fp", "_value", F.explode(_long_array(list(_masks(bits, t)))).alias("_mask")).select("_fp", F.col("_value").bitwiseXOR(F.col("_mask")).alias("_value"))
-        rows = rows.select(F.lit(k).alias("_part"), "_value", "_fp")
+            rows = rows.select("*", F.explode(_long_array(list(_masks(bits, t)))).alias("_mask")).withColumn("_value", F.col("_value").bitwiseXOR(F.col("_mask")))
+        rows = rows.select(F.lit(k).alias("_part"), "_value", *own_columns)
         all_parts = rows if all_parts is None else all_parts.union(rows)
     return all_parts
 
@@ -210,8 +213,8 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, most_in_bucket: int =
     any_hot = hot.limit(1).count() > 0
     cold = index.join(hot, ["_part", "_value"], "left_anti") if any_hot else index
     a, b = probe.alias("a"), cold.alias("b")
-    near = F.expr(f"a._part = b._part AND a._value = b._value AND a._fp <> b._fp AND bit_count(a._fp ^ b._fp) <= {radius}")
-    pairs = a.join(b, near).select(F.greatest("a._fp", "b._fp").alias("_u"), F.least("a._fp", "b._fp").alias("_v"))
+    pairs = a.join(b, F.expr(f"a._part = b._part AND a._value = b._value AND a._fp <> b._fp AND bit_count(a._fp ^ b._fp) <= {radius}"))
+    pairs = pairs.select(F.greatest("a._fp", "b._fp").alias("_u"), F.least("a._fp", "b._fp").alias("_v"))
     if any_hot:
         members = probe.join(hot, ["_part", "_value"], "left_semi").select("_fp").distinct()
         pairs = pairs.union(_links_by_neighbours(materialise(members, "hot-members"), radius))
@@ -270,15 +273,94 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most_in_bucket: int =
     )
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, all columns unchanged: the one with the smallest id.
+# --- the pipeline's stage: five words, a similarity of 0.8
 
-    Rows without an id come last, by their text. Of repeated rows one stays.
+
+#: Words of a shingle and the share of shingles in common that make two texts near duplicates.
+WORDS, SIMILARITY = 5, 0.8
+#: The index is over SimHash bits of word pairs: an edit touches two pairs but five long shingles, so that texts
+#: with the similarity above lie within INDEX_RADIUS bits.
+INDEX_SHINGLE, INDEX_RADIUS = 2, 8
+#: A link is decided on SimHash bits of the long shingles, four longs of them.
+_WIDE = 4
+STAR_ROUNDS = 3
+_NODE = ("_key", "_fp", *(f"_w{k}" for k in range(_WIDE)))
+
+
+def most_bits() -> int:
+    """Bits of the wide fingerprint in which texts of SIMILARITY differ at most: the expected share, from the
+    angle between their shingle vectors, and one standard deviation."""
+    share = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+    bits = 64 * _WIDE
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), _AT_ONCE):
+        part = hashes[lo : lo + _AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return _signed(sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(hashes))))
+
+
+def wide_fingerprint(text: str | None) -> tuple[int, ...]:
+    """64 SimHash bits of the word pairs and 256 of the five-word shingles, lower case; zeros without words."""
+    raw = _LOWER[raw_bytes(text)]
+    words = word_hashes(raw, *word_bounds(raw))
+    if not len(words):
+        return (0,) * (1 + _WIDE)
+    long = window_hashes(words, min(WORDS, len(words)))
+    pairs = window_hashes(words, min(INDEX_SHINGLE, len(words)))
+    return (_majority(pairs), *(_majority(mix(long + np.uint64(k + 1))) for k in range(_WIDE)))
+
+
+def _wide_fingerprints(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([wide_fingerprint(x) for x in text], columns=list(_NODE[1:]))
+
+
+def similar_links(nodes: DataFrame, n: int) -> DataFrame:
+    """(_u, _v): keys of ``nodes`` (_NODE) whose links connect all that are similar.
+
+    Members of a dense group are first linked to a few centres, one per bucket and round; pairs that are
+    connected by then are left out of the full probe, so that a group of many near copies does not write
+    all its pairs.
+    """
+    sample = [r._fp for r in nodes.select("_fp").distinct().orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).collect()]
+    parts = plan_parts(sample, n, INDEX_RADIUS)
+    wide = " + ".join(f"bit_count(a._w{k} ^ b._w{k})" for k in range(_WIDE))
+    similar = f"bit_count(a._fp ^ b._fp) <= {INDEX_RADIUS} AND {wide} <= {most_bits()}"
+    same = "a._part = b._part AND a._value = b._value"
+
+    stars = None
+    for k in range(STAR_ROUNDS):
+        index = _signatures(nodes, parts, False)
+        centre = index.groupBy("_part", "_value").agg(F.min(F.struct(F.xxhash64("_key", F.lit(k)), *_NODE)).alias("_c"), F.count("*").alias("_n")).filter("_n > 1")
+        centre = materialise(centre.select("_part", "_value", *(F.col(f"_c.{c}").alias(c) for c in _NODE)), "centres")
+        star = index.alias("a").join(centre.alias("b"), F.expr(f"{same} AND a._key <> b._key AND {similar}")).select(F.col("a._key").alias("_u"), F.col("b._key").alias("_v"))
+        stars = star if stars is None else stars.union(star)
+    stars = materialise(stars.distinct(), "star-links")
+    group = components(stars)
+    grouped = materialise(nodes.join(group, F.col("_key") == F.col("_node"), "left").select(*_NODE, F.coalesce("_root", "_key").alias("_group")), "grouped")
+    probe, index = _signatures(grouped, parts, True).alias("a"), _signatures(grouped, parts, False).alias("b")
+    pairs = probe.join(index, F.expr(f"{same} AND a._key > b._key AND a._group <> b._group AND {similar}"))
+    return pairs.select(F.col("a._key").alias("_u"), F.col("b._key").alias("_v")).union(stars).distinct()
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, all columns unchanged: the one with the smallest id.
+
+    Texts are similar if their five-word shingles are, at SIMILARITY or more as SimHash estimates it; groups
+    are what similar pairs connect. Texts without words, null and empty ones among them, are one group. Rows
+    without an id come last, by their text. Of repeated rows one stays.
     """
     keyed = packed(docs).select("_row", "text", doc_key(F.col("doc_id"), F.col("text")).alias("_key"))
-    prints = materialise(keyed.select("_key", simhash("text").alias("_fp")), "prints")
-    first = prints.join(roots(prints, radius), "_fp").filter("_key = _first").select("_key").distinct()
-    kept = keyed.select("_row", "_key", F.xxhash64("text").alias("_text")).join(first, "_key", "left_semi")
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in _NODE[1:]])
+    prints = materialise(keyed.select("_key", F.pandas_udf(_wide_fingerprints, kind)("text").alias("_f")).select("_key", "_f.*"), "wide-prints")
+    nodes = materialise(prints.groupBy(*_NODE[1:]).agg(F.min("_key").alias("_key")).select(*_NODE), "nodes")
+    found = components(similar_links(nodes, nodes.count()))
+    dropped = found.filter("_node <> _root").select(F.col("_node").alias("_key"))
+    first = nodes.select("_key").join(dropped, "_key", "left_anti")
+    kept = keyed.select("_row", "_key", F.xxhash64("text").alias("_text")).join(materialise(first, "kept"), "_key", "left_semi")
     one = Window.partitionBy("_key").orderBy("_text")
     return unpacked(kept.withColumn("_rank", F.row_number().over(one)).filter("_rank = 1"))
 
