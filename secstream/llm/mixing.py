@@ -65,6 +65,7 @@ class Mixture:
     priors: dict[int, float]
     moments: dict[int, list[tuple[float, float]]]  # (mean, variance) of each feature
     steps: list[dict[int, float]] = field(default_factory=list)
+    least: float = 0.0  # no rate falls below it
 
     def posteriors(self, df: DataFrame) -> DataFrame:
         """``df`` with _p0, _p1, ..., one for each domain, adding up to 1."""
@@ -83,7 +84,7 @@ class Mixture:
 
     def stepped(self, rate: Column, step: dict[int, float]) -> Column:
         down = sum((F.lit(g) * F.col(f"_p{self.domains.index(d)}") for d, g in step.items()), F.lit(0.0))
-        return F.greatest(rate - down, F.lit(0.0))
+        return F.greatest(rate - down, F.lit(self.least))
 
     def rates(self, df: DataFrame) -> DataFrame:
         """``df`` with _rate; ``df`` has the posteriors."""
@@ -110,14 +111,18 @@ def classifier(features: DataFrame, labels: DataFrame, label: str) -> Mixture:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = LABEL, targets: dict[int, float] | None = None) -> Mixture:
+def fit(docs: DataFrame, labels: DataFrame, label: str = LABEL, targets: dict[int, float] | None = None, least: float = 0.0) -> Mixture:
     """Fit the classifier, then step until the expected totals match. Without labels all rates stay 1.
 
+    ``least`` bounds the rates from below; where posteriors overlap so much that the targets cannot be met
+    within it, the nearest totals are fitted.
+
     Domains without a target weight, or without a labelled document, take no part in the match.
     """
     targets = TARGETS if targets is None else targets
     features = materialise(with_features(docs.select("doc_id", "text")), "mix-features")
     mix = classifier(features, labels, label)
+    mix.least = least
     if not mix.domains:
         return mix
     own = materialise(mix.posteriors(features).select("_key", "_n", *(f"_p{k}" for k in range(len(mix.domains)))), "mix-posteriors")
@@ -174,9 +179,9 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Stage: each document as often as its rate says, all columns unchanged.
 
     The fractional part is decided by a hash of the document's key, so the result is the same each time.
-    As no domain shrinks, clean documents stay; those of a domain below its weight are repeated.
+    No rate is below 1: every document stays, those of a domain below its weight are repeated.
     """
-    mix = fit(docs, table(spark, sf_dir, "labels"))
+    mix = fit(docs, table(spark, sf_dir, "labels"), least=1.0)
     chance = F.pmod(F.xxhash64("_key", F.lit(SEED)), F.lit(1_000_000)) / 1_000_000
     times = applied(packed(docs), mix).select("_row", F.floor(F.col("_rate") + SLACK + chance).cast("int").alias("_times"))
     return unpacked(times.select("_row", F.explode(F.array_repeat(F.lit(True), F.col("_times")))))

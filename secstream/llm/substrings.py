@@ -46,7 +46,7 @@ def difference_cover(period: int) -> list[int]:
     return sorted({*range(min(root, period)), *range(0, period, root)})
 
 
-def _first_places(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
+def _first_places(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers, sorted by ``keys`` and then ``order``, and where in that sequence a new key starts."""
     rows = np.lexsort([*reversed(order), *reversed(keys)])
     new = np.ones(len(rows), bool)
@@ -59,27 +59,39 @@ def _place(at: np.ndarray, tag: int) -> np.ndarray:
     return at.astype(np.int64) << 16 | tag
 
 
+def _by_key(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Settled places in one binary for each document."""
+    order = np.argsort(keys, kind="stable")
+    keys, places = keys[order], places[order]
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    return keys[np.concatenate([[0], cuts])] if len(keys) else keys, [p.tobytes() for p in np.split(places, cuts)] if len(keys) else []
+
+
 def repeated_anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
-    """(_key, _at): word positions of anchors that occur more than once, from (_key, text)."""
+    """(_key, _anchors, _more): word positions of anchors that occur more than once, from (_key, text).
+
+    _anchors lists those that other batches share, _more has the ones settled within a batch, packed.
+    """
     cover, size = np.array(difference_cover(period)), window - period + 1
 
     def settled(hashes: list, keys: list, ats: list) -> pa.RecordBatch:
-        h, k, at = np.concatenate(hashes).view(np.int64), np.concatenate(keys), np.concatenate(ats)
+        h, k, at = np.concatenate(hashes).view(np.int64), np.concatenate(keys), np.concatenate(ats).astype(np.int32)
         rows, new = _first_places([h], [])
         run = np.cumsum(new) - 1
         often = np.bincount(run)[run] > 1
-        # of those that occur once here, the place goes along; repeats within the batch are settled, and one
-        # row of them tells the others
-        send = ~often | new
-        known = rows[often]
+        # repeats within the batch are settled; one row of them, without a place, tells other batches
+        send, known = rows[~often | new], rows[often]
+        place = np.where((~often | new) & often, -1, at[rows])[~often | new].astype(np.int32)
+        own, packed = _by_key(k[known], at[known])
+        n, m = len(send), len(own)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([h[rows[send]], k[known] ^ at[known] << 32])),
-                pa.array(np.concatenate([k[rows[send]], k[known]])),
-                pa.array(np.concatenate([at[rows[send]], at[known]]).astype(np.int32)),
-                pa.array(np.concatenate([np.where(often[send], 1, 0), np.full(len(known), 2)]).astype(np.int8)),
+                pa.array(np.concatenate([h[send], own])),
+                pa.array(np.concatenate([k[send], own])),
+                pa.array(np.concatenate([place, np.full(m, -1, np.int32)])),
+                pa.array([None] * n + packed, pa.binary()),
             ],
-            ["_hash", "_key", "_at", "_known"],
+            ["_hash", "_key", "_at", "_packed"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,31 +115,42 @@ def repeated_anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
         if held:
             yield settled(hashes, keys, ats)
 
-    found = docs.select("_key", "text").mapInArrow(run, "_hash long, _key long, _at int, _known byte")
+    found = docs.select("_key", "text").mapInArrow(run, "_hash long, _key long, _at int, _packed binary")
     same = Window.partitionBy("_hash")
-    return found.withColumn("_n", F.count("*").over(same)).filter("_n > 1 OR _known = 2").select("_key", "_at")
+    shared = found.withColumn("_n", F.count("*").over(same)).filter("_packed IS NOT NULL OR (_n > 1 AND _at >= 0)")
+    return shared.groupBy("_key").agg(F.collect_list(F.when(F.col("_at") >= 0, F.col("_at"))).alias("_anchors"), F.collect_list("_packed").alias("_more"))
 
 
 def repeated_windows(near: DataFrame, window: int, period: int) -> DataFrame:
-    """(_key, _place) of the windows that are repeats, from (_key, _tag, text, _anchors)."""
+    """(_key, _places, _later): places of the windows that are repeats, from (_key, _tag, text, _anchors, _more).
+
+    _places lists those that another batch precedes, _later has the ones settled within a batch, packed.
+    """
 
     def settled(h1: list, h2: list, keys: list, places: list) -> pa.RecordBatch:
-        a, b, k, p = np.concatenate(h1).view(np.int64), np.concatenate(h2).view(np.int64), np.concatenate(keys), np.concatenate(places)
+        a, b = np.concatenate(h1).view(np.int64), (np.concatenate(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        k, p = np.concatenate(keys), np.concatenate(places)
         rows, new = _first_places([a, b], [k, p])
         first = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        later = np.zeros(len(rows), bool)
-        later[:] = (k[rows] > k[first]) | (k[rows] == k[first]) & (p[rows] >> 16 > p[first] >> 16)
-        out = rows
-        spread = k[out] * np.int64(-7046029254386353131) ^ p[out]
+        later = (k[rows] > k[first]) | (k[rows] == k[first]) & (p[rows] >> 16 > p[first] >> 16)
+        send, known = rows[~later], rows[later]
+        own, packed = _by_key(k[known], p[known])
+        m = len(own)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.where(later, spread, a[out])), pa.array(np.where(later, p[out], b[out])), pa.array(k[out]), pa.array(p[out]), pa.array(later)],
-            ["_h1", "_h2", "_key", "_place", "_known"],
+            [
+                pa.array(np.concatenate([a[send], own])),
+                pa.array(np.concatenate([b[send], np.zeros(m, np.int32)])),
+                pa.array(np.concatenate([k[send], own])),
+                pa.array(np.concatenate([p[send], np.full(m, -1)])),
+                pa.array([None] * len(send) + packed, pa.binary()),
+            ],
+            ["_h1", "_h2", "_key", "_place", "_packed"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, keys, places, held = [], [], [], [], 0
         for batch in blocks(batches):
-            for key, tag, text, anchors in zip(*(batch.column(c).to_pylist() for c in ("_key", "_tag", "text", "_anchors")), strict=True):
+            for key, tag, text, anchors, more in zip(*(batch.column(c).to_pylist() for c in ("_key", "_tag", "text", "_anchors", "_more")), strict=True):
                 raw = raw_bytes(text)
                 starts, ends = word_bounds(raw)
                 n = len(starts) - window + 1
@@ -135,7 +158,8 @@ def repeated_windows(near: DataFrame, window: int, period: int) -> DataFrame:
                     continue
                 # a repeated window holds one of the repeated anchors within its first ``period`` positions
                 hit = np.zeros(len(starts) + period + 1, np.int32)
-                hit[np.asarray(anchors)] = 1
+                for at in (np.asarray(anchors, np.int64), *(np.frombuffer(x, np.int32) for x in more)):
+                    hit[at[at < len(hit)]] = 1  # another text under this id may be longer
                 before = np.concatenate([[0], np.cumsum(hit)])
                 at = np.flatnonzero(before[period : period + n] - before[:n])
                 if not len(at):
@@ -151,20 +175,22 @@ def repeated_windows(near: DataFrame, window: int, period: int) -> DataFrame:
         if held:
             yield settled(h1, h2, keys, places)
 
-    found = near.select("_key", "_tag", "text", "_anchors").mapInArrow(run, "_h1 long, _h2 long, _key long, _place long, _known boolean")
+    found = near.mapInArrow(run, "_h1 long, _h2 int, _key long, _place long, _packed binary")
     same = Window.partitionBy("_h1", "_h2")
-    first = found.withColumn("_first", F.min(F.struct("_key", F.shiftright("_place", 16).alias("_word"))).over(same))
-    later = (F.col("_key") > F.col("_first._key")) | ((F.col("_key") == F.col("_first._key")) & (F.shiftright("_place", 16) > F.col("_first._word")))
-    return first.filter(F.col("_known") | later).select("_key", "_place")
+    word = F.shiftright("_place", 16)
+    first = found.withColumn("_first", F.min(F.when(F.col("_packed").isNull(), F.struct("_key", word.alias("_word")))).over(same))
+    later = (F.col("_key") > F.col("_first._key")) | ((F.col("_key") == F.col("_first._key")) & (word > F.col("_first._word")))
+    kept = first.filter(F.col("_packed").isNotNull() | later)
+    return kept.groupBy("_key").agg(F.collect_list(F.when(F.col("_packed").isNull(), F.col("_place"))).alias("_places"), F.collect_list("_packed").alias("_later"))
 
 
-def kept_text(text: str | None, places: list[int] | None, tag: int, window: int) -> tuple[int, int, str]:
+def kept_text(text: str | None, places: list[int] | None, later: list[bytes] | None, tag: int, window: int) -> tuple[int, int, str]:
     """Word count, removed words and the kept words with one space between them."""
     raw = raw_bytes(text)
     starts, ends = word_bounds(raw)
     gone = np.zeros(len(starts) + 1, np.int64)
-    if places:
-        p = np.asarray(places, np.int64)
+    if places or later:
+        p = np.concatenate([np.asarray(places, np.int64), *(np.frombuffer(x, np.int64) for x in later)])
         at = np.unique(p[(p & 0xFFFF) == tag] >> 16)
         np.add.at(gone, at, 1)
         np.add.at(gone, np.minimum(at + window, len(starts)), -1)
@@ -177,32 +203,28 @@ def kept_text(text: str | None, places: list[int] | None, tag: int, window: int)
 def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words) for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts have no words. Rows without an id come after all others, by their text. Rows that
+    Null and empty texts have no words. Ids lie below 2^62. Rows without an id come after all others, by their text. Rows that
     are repeated with their id count as one document: their windows are not earlier than each other's.
     Different texts under one id are told apart. Other columns are ignored.
     """
     if not 1 < period <= window:
         raise ValueError("the period must lie between 2 and the window")
     text = F.col("text").cast("string")
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        doc_key(F.col("doc_id"), text).alias("_key"),
-        text.alias("text"),
-        F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("_tag"),
-    )
-    anchors = repeated_anchors(keyed, window, period).groupBy("_key").agg(F.collect_list("_at").alias("_anchors"))
-    near = keyed.join(anchors, "_key")
-    repeats = repeated_windows(near, window, period).groupBy("_key").agg(F.collect_list("_place").alias("_places"))
-    joined = keyed.join(repeats, "_key", "left")
+    # both joins take the same two columns, so that the texts are shuffled once
+    keyed = docs.select(doc_key(F.col("doc_id"), text).alias("_key"), text.alias("text"))
+    tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("_tag")
+    near = keyed.join(repeated_anchors(keyed, window, period), "_key").select("_key", tag, "text", "_anchors", "_more")
+    joined = keyed.join(repeated_windows(near, window, period), "_key", "left").select("_key", tag, "text", "_places", "_later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            columns = (batch.column(c).to_pylist() for c in ("text", "_places", "_tag"))
-            done = [kept_text(t, p, tag, window) for t, p, tag in zip(*columns, strict=True)]
+            columns = (batch.column(c).to_pylist() for c in ("text", "_places", "_later", "_tag"))
+            done = [kept_text(t, p, more, tag, window) for t, p, more, tag in zip(*columns, strict=True)]
             n, gone, kept = zip(*done, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            ids = [k if k < 1 << 62 else None for k in batch.column("_key").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("doc_id", "text", "_tag", "_places").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op4_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
