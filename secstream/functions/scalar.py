@@ -33,8 +33,13 @@ def micros(duration: str | int) -> int:
     return seconds(duration) * 1_000_000
 
 
-def clamp(limit: int, upper: int) -> int:
-    return max(1, min(int(limit), upper))
+def at_most(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of an ordered table, or all of them for None."""
+    if limit is None:
+        return rows
+    if limit < 1:
+        raise ValueError(f"limit must be positive or None, not {limit}")
+    return rows.limit(limit)
 
 
 def as_time(as_of) -> Column:
@@ -43,9 +48,10 @@ def as_time(as_of) -> Column:
 
 
 def after(ts: str, as_of, lookback: str | int) -> Column:
-    """``ts > as_of - lookback``."""
+    """``as_of - lookback < ts <= as_of``: a job for a past moment must not see what came later."""
     back = F.expr(f"INTERVAL {seconds(lookback)} SECONDS")
-    return F.col(ts) > as_time(as_of) - back
+    now = as_time(as_of)
+    return (F.col(ts) > now - back) & (F.col(ts) <= now)
 
 
 def recent(ev: DataFrame, as_of, lookback: str | int) -> DataFrame:
@@ -54,7 +60,8 @@ def recent(ev: DataFrame, as_of, lookback: str | int) -> DataFrame:
     rows = ev.filter(after("ts", as_of, lookback))
     if {"year", "month", "day"} <= set(ev.columns):
         back = F.expr(f"INTERVAL {seconds(lookback)} SECONDS")
-        rows = rows.filter(F.make_date("year", "month", "day") >= F.to_date(as_time(as_of) - back))
+        day, now = F.make_date("year", "month", "day"), as_time(as_of)
+        rows = rows.filter((day >= F.to_date(now - back)) & (day <= F.to_date(now)))
     return rows
 
 
@@ -117,11 +124,17 @@ def is_private(ip: Column) -> Column:
 
 
 def is_address(ip: Column) -> Column:
-    """IPv4 in dotted quads, or text made of hex groups and colons."""
+    """IPv4 in dotted quads, or IPv6: eight groups, fewer with one ``::``, the last two possibly dotted."""
     octet = r"(25[0-5]|2[0-4]\d|1?\d?\d)"
-    v4 = ip.rlike(rf"^{octet}(\.{octet}){{3}}$")
-    v6 = ip.rlike(r"^(?=.*:.*:)[0-9a-fA-F:]{2,39}$")
-    return v4 | v6
+    quad = rf"{octet}(\.{octet}){{3}}"
+    v4 = ip.rlike(rf"^{quad}$")
+    group = "[0-9a-fA-F]{1,4}"
+    tail = rf"({group}|{quad})"
+    shaped = ip.rlike(rf"^(({group}:)*({tail})?|({group}(:{group})*)?::(({group}:)*{tail})?)$")
+    # a dotted tail stands for two groups; a gap for one at least
+    groups = F.size(F.filter(F.split(ip, ":"), lambda g: g != "")) + F.contains(ip, F.lit(".")).cast("int")
+    whole = F.when(F.contains(ip, F.lit("::")), groups <= 7).otherwise((groups == 8) & ~ip.endswith(":"))
+    return v4 | (F.contains(ip, F.lit(":")) & shaped & whole)
 
 
 def ipv4_number(ip: Column) -> Column:

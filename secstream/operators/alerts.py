@@ -11,7 +11,7 @@ from secstream.functions.ordered import running_before
 from secstream.functions.scalar import (
     after,
     as_time,
-    clamp,
+    at_most,
     floor_time,
     gap_micros,
     micros,
@@ -123,7 +123,7 @@ def alert_list(
         rows = rows.filter("active")
     if verdict is not None:
         rows = rows.filter(F.col("triage") == verdict)
-    return rows.orderBy(F.desc("last_detected_at"), "id").limit(clamp(limit, 200))
+    return rows.orderBy(F.desc("last_detected_at"), "id").transform(at_most, limit)
 
 
 def rule_stats(stored: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from secstream.functions.scalar import as_time, clamp, gap_micros, ratio, recent
+from secstream.functions.scalar import as_time, at_most, gap_micros, ratio, recent
 
 
 def user_baseline(ev: DataFrame, as_of, days: int = 7) -> DataFrame:
@@ -80,7 +80,7 @@ def baseline_outliers(baseline: DataFrame, show: int = 10) -> DataFrame:
             "distinct_source_ips", "primary_country", "dormant_days",
         )
         .orderBy(F.desc("events_per_day"), "user_id")
-        .limit(clamp(show, 10_000))
+        .transform(at_most, show)
     )
 
 

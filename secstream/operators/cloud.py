@@ -92,6 +92,27 @@ def cloud_records(deliveries: DataFrame, value: str = "value") -> DataFrame:
     return deliveries.select(F.inline(F.from_json(array, T.ArrayType(RECORD))))
 
 
+def cloud_failures(deliveries: DataFrame, value: str = "value") -> DataFrame:
+    """Deliveries that hold no audit record, with the reason; nothing that arrives is lost silently.
+
+    Text that is cut or is not JSON is a PARSE_ERROR; JSON without a record is one as well.
+    """
+    text = F.trim(F.col(value))
+    parsed = F.try_parse_json(text)
+    wrapped = F.get_json_object(text, "$.Records")
+    records = F.when(text.startswith("["), text).when(wrapped.isNotNull(), wrapped).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    found = F.from_json(records, T.ArrayType(RECORD))
+    held = F.coalesce(F.exists(found, lambda r: r["eventName"].isNotNull()), F.lit(False))
+    reason = (
+        F.when(text.isNull() | (text == ""), "empty delivery")
+        .when(parsed.isNull(), "delivery is not JSON")
+        .when(~held, "delivery holds no audit record")
+    )
+    return deliveries.withColumn("failure_type", F.lit("PARSE_ERROR")).withColumn("failure_reason", reason).filter("failure_reason IS NOT NULL")
+
+
+
+
 def _last_segment(arn: Column) -> Column:
     return (
         F.when(F.coalesce(arn, F.lit("")) == "", F.lit("unknown"))

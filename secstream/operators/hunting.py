@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from secstream.functions.ordered import running_before
 from secstream.functions.scalar import (
-    clamp,
+    at_most,
     floor_time,
     gap_micros,
     in_cidr,
@@ -50,14 +51,14 @@ def events_per_minute(ev: DataFrame, as_of, lookback: str = "30 minutes") -> Dat
     )
 
 
-def duplicate_check(ev: DataFrame, limit: int = 10) -> DataFrame:
+def duplicate_check(ev: DataFrame, limit: int | None = 10) -> DataFrame:
     """Event ids stored more than once."""
     return (
         ev.groupBy("event_id")
         .agg(F.count("*").alias("copies"))
         .filter("copies > 1")
         .orderBy(F.desc("copies"), "event_id")
-        .limit(limit)
+        .transform(at_most, limit)
     )
 
 
@@ -69,7 +70,7 @@ def login_failure_rate(ev: DataFrame, as_of, lookback: str = "1 hour") -> DataFr
     )
 
 
-def user_activity(ev: DataFrame, as_of, lookback: str = "1 hour", limit: int = 20) -> DataFrame:
+def user_activity(ev: DataFrame, as_of, lookback: str = "1 hour", limit: int | None = 20) -> DataFrame:
     return (
         recent(ev, as_of, lookback)
         .groupBy("user_id")
@@ -78,11 +79,11 @@ def user_activity(ev: DataFrame, as_of, lookback: str = "1 hour", limit: int = 2
             F.count_if(F.col("event_outcome") == "failure").alias("failures"),
         )
         .orderBy(F.desc("events"), "user_id")
-        .limit(limit)
+        .transform(at_most, limit)
     )
 
 
-def user_countries(ev: DataFrame, as_of, lookback: str = "24 hours", limit: int = 40) -> DataFrame:
+def user_countries(ev: DataFrame, as_of, lookback: str = "24 hours", limit: int | None = 40) -> DataFrame:
     return (
         recent(ev, as_of, lookback)
         .groupBy("user_id", "source_country")
@@ -92,7 +93,7 @@ def user_countries(ev: DataFrame, as_of, lookback: str = "24 hours", limit: int
             F.max("ts").alias("last_seen"),
         )
         .orderBy("user_id", F.desc("events"), "source_country")
-        .limit(limit)
+        .transform(at_most, limit)
     )
 
 
@@ -121,7 +122,7 @@ def brute_force_hunt(
         )
         .orderBy(F.desc("failures"), "user_id")
     )
-    return found if limit is None else found.limit(limit)
+    return found if limit is None else found.transform(at_most, limit)
 
 
 def noisy_sources(ev: DataFrame, as_of, minutes: int = 15, threshold: int = 10) -> DataFrame:
@@ -141,7 +142,7 @@ def noisy_sources(ev: DataFrame, as_of, minutes: int = 15, threshold: int = 10)
 
 
 def new_country_logins(
-    ev: DataFrame, as_of, max_gap: str = "1 hour", lookback: str = "24 hours", limit: int = 20
+    ev: DataFrame, as_of, max_gap: str = "1 hour", lookback: str = "24 hours", limit: int | None = 20
 ) -> DataFrame:
     """Successful logins whose country differs from the account's previous login."""
     logins = recent(ev, as_of, lookback).filter(_login("success")).select(
@@ -162,7 +163,7 @@ def new_country_logins(
         .filter((F.col("source_country") != F.col("prev_country")) & (gap < micros(max_gap)))
         .withColumn("gap_s", gap / F.lit(1e6))
         .orderBy(F.desc("ts"), "user_id")
-        .limit(limit)
+        .transform(at_most, limit)
     )
 
 
@@ -211,26 +212,32 @@ def attack_inventory(ev: DataFrame) -> DataFrame:
     )
 
 
-def recent_events(ev: DataFrame, as_of, limit: int = 50, lookback: str = "24 hours") -> DataFrame:
+def recent_events(ev: DataFrame, as_of, limit: int | None = None, lookback: str = "24 hours") -> DataFrame:
     return (
         recent(ev, as_of, lookback)
         .orderBy(F.desc("ts"), "event_id")
-        .limit(clamp(limit, 500))
+        .transform(at_most, limit)
     )
 
 
-def entity_pivot(ev: DataFrame, address: str) -> DataFrame:
-    """Everything that mentions an address, or everything from a CIDR range."""
+def entity_pivot(ev: DataFrame, address: str, as_of=None, lookback: str = "30 days") -> DataFrame:
+    """Everything that mentions an address or name as a whole, or everything from a CIDR range.
+
+    With ``as_of`` and ``lookback`` only the events of that period, and only their days, are read. The
+    columns are looked at first; the text only counts where the value is no part of a longer one.
+    """
+    rows = ev if as_of is None else recent(ev, as_of, lookback)
     if "/" in address:
-        return ev.filter(in_cidr(F.col("source_ip"), address))
-    mentions = [F.col(c) == address for c in ("source_ip", "user_id", "user_name")]
-    return ev.filter(reduce(lambda a, b: a | b, [*mentions, F.col("raw").contains(address)]))
+        return rows.filter(in_cidr(F.col("source_ip"), address))
+    mentions = [F.coalesce(F.col(c) == address, F.lit(False)) for c in ("source_ip", "user_id", "user_name")]
+    whole = F.col("raw").contains(address) & F.col("raw").rlike(rf"(?<![\w.:-]){re.escape(address)}(?!\w|[.:-]\w)")
+    return rows.filter(reduce(lambda a, b: a | b, [*mentions, F.coalesce(whole, F.lit(False))]))
 
 
-def cloud_events(ev: DataFrame, limit: int = 20) -> DataFrame:
+def cloud_events(ev: DataFrame, limit: int | None = 20) -> DataFrame:
     """The oldest cloud events."""
     return (
-        ev.filter(F.col("labels")["cloud_provider"] == "aws").orderBy("ts", "event_id").limit(limit)
+        ev.filter(F.col("labels")["cloud_provider"] == "aws").orderBy("ts", "event_id").transform(at_most, limit)
     )
 
 
@@ -275,7 +282,7 @@ def late_events(
     return seen.filter(late_by > micros(grace)).withColumn("late_by_s", late_by / F.lit(1e6))
 
 
-def archive_actions(archive: DataFrame, limit: int = 8) -> DataFrame:
+def archive_actions(archive: DataFrame, limit: int | None = 8) -> DataFrame:
     return (
         archive.groupBy("event_action")
         .agg(
@@ -283,16 +290,16 @@ def archive_actions(archive: DataFrame, limit: int = 8) -> DataFrame:
             F.count_if(F.col("event_outcome") == "failure").alias("failures"),
         )
         .orderBy(F.desc("events"), "event_action")
-        .limit(limit)
+        .transform(at_most, limit)
     )
 
 
-def archive_sources(archive: DataFrame, limit: int = 5) -> DataFrame:
+def archive_sources(archive: DataFrame, limit: int | None = 5) -> DataFrame:
     return (
         archive.groupBy("source_ip", "source_country")
         .agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("distinct_users"))
         .orderBy(F.desc("events"), "source_ip", "source_country")
-        .limit(limit)
+        .transform(at_most, limit)
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from secstream.functions.ordered import sliced_fold, stepwise
-from secstream.functions.scalar import at_least, clamp, severity_name, severity_rank
+from secstream.functions.scalar import at_least, at_most, severity_name, severity_rank
 
 # Statuses, legal moves, and the risk at which an incident opens.
 MOVES = {
@@ -42,7 +42,7 @@ def open_incidents(attached: DataFrame) -> DataFrame:
     grown = F.max(F.when(rank >= 2, rank))
     opening = F.min_by(F.struct("alert_id", "rule_id", "severity", "score"), moment)
     first_rank = severity_rank(F.col("_first.severity"))
-    suspected = F.when(first_rank >= 3, "Suspected compromise").otherwise("Suspicious activity")
+    suspected = F.when(first_rank >= 3, "Likely takeover").otherwise("Unusual behaviour")
     return (
         attached.groupBy("entity_type", "entity_id")
         .agg(
@@ -94,7 +94,7 @@ def incident_list(
         .join(counts, "incident_id", "left")
         .na.fill(0, ["alert_count"])
         .orderBy(F.desc("updated_at"), "incident_id")
-        .limit(clamp(limit, 200))
+        .transform(at_most, limit)
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from secstream import schema
 from secstream.functions.fields import ACTIONS, CATEGORIES, OUTCOMES, known_or_unknown
-from secstream.functions.scalar import as_time, clamp, is_address, shorten
+from secstream.functions.scalar import as_time, at_most, is_address, shorten
 
 # Failure types, reasons and the length at which a reason is cut.
 PARSE_ERROR = "PARSE_ERROR"
@@ -179,14 +179,14 @@ def ingest_batch(raw: DataFrame, existing: DataFrame | None = None, as_of=None)
 
 
 def replay_candidates(
-    dead: DataFrame, failure_type: str | None = None, limit: int = 100, include_replayed: bool = False
+    dead: DataFrame, failure_type: str | None = None, limit: int | None = None, include_replayed: bool = False
 ) -> DataFrame:
     rows = dead
     if failure_type is not None:
         rows = rows.filter(F.col("failure_type") == failure_type)
     if not include_replayed:
         rows = rows.filter(F.col("replayed_at").isNull())
-    return rows.orderBy("failed_at", "source_partition", "source_offset").limit(clamp(limit, 1000))
+    return rows.orderBy("failed_at", "source_partition", "source_offset").transform(at_most, limit)
 
 
 @dataclass
@@ -198,7 +198,7 @@ class Replayed:
 def dlq_replay(
     dead: DataFrame,
     failure_type: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
     include_replayed: bool = False,
     existing: DataFrame | None = None,
     as_of=None,
@@ -225,14 +225,14 @@ def dlq_replay(
     return Replayed(ingest_batch(again, existing, as_of), bookkeeping)
 
 
-def dlq_list(dead: DataFrame, failure_type: str | None = None, limit: int = 50) -> DataFrame:
+def dlq_list(dead: DataFrame, failure_type: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest dead letters with the first 300 characters of the payload."""
     rows = dead if failure_type is None else dead.filter(F.col("failure_type") == failure_type)
     return (
         rows.withColumn("preview", F.substring("payload", 1, 300))
         .drop("payload")
         .orderBy(F.desc("failed_at"), "source_partition", "source_offset")
-        .limit(clamp(limit, 500))
+        .transform(at_most, limit)
     )
 
 

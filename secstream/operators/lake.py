@@ -299,6 +299,7 @@ def daily_maintenance(
     checks: DataFrame,
     day: dt.date,
     path: str,
+    hot_path: str | None = None,
     retain_days: int = 30,
     side_jobs: dict[str, Callable[[], object]] | None = None,
     dry_run: bool = True,
@@ -306,7 +307,8 @@ def daily_maintenance(
     """Quality gate, side jobs (baselines, scoring), archive, verify, compact, retention.
 
     Failing correctness checks stop everything; failing liveness checks are only reported. An
-    empty day skips the archive chain, and nothing is dropped unless the day was verified.
+    empty day skips the archive chain. Retention works on the hot tables under ``hot_path``, never on
+    the archive under ``path``: an old hot day is dropped only if that very day verifies in the archive.
     """
     spark = ev.sparkSession
     failing = [(r["check_name"], r["category"]) for r in checks.filter(~F.col("passed")).collect()]
@@ -323,5 +325,14 @@ def daily_maintenance(
     if not verify_archive(source, read_archive(spark, path, day)).agg(F.bool_and("ok")).first()[0]:
         raise RuntimeError(f"archive verification failed for {day}")
     compacted = compact_day(spark, path, day)
-    dropped = apply_retention(spark, path, day + dt.timedelta(days=1), retain_days, dry_run)
-    return result | {"archived": True, "verified": True, "compacted": compacted, "retention": dropped}
+    result |= {"archived": True, "verified": True, "compacted": compacted, "retention": [], "kept_unverified": []}
+    if hot_path is None:
+        return result
+    files = _Files(spark, hot_path)
+    for old in apply_retention(spark, hot_path, day + dt.timedelta(days=1), retain_days, dry_run=True):
+        hot_day = spark.read.schema(schema.T.StructType(schema.FLAT_EVENT)).parquet(day_folder(hot_path, old))
+        safe = bool(_Files(spark, path).data_files(day_folder(path, old))) and verify_archive(hot_day, read_archive(spark, path, old)).agg(F.bool_and("ok")).first()[0]
+        if safe and not dry_run:
+            files.remove(day_folder(hot_path, old))
+        result["retention" if safe else "kept_unverified"].append(old)
+    return result

@@ -33,7 +33,7 @@ def quality_checks(ev: DataFrame, dead: DataFrame, default_rows: DataFrame, as_o
     recent = F.count_if(hour)
     organic = after("ingested_at", as_of, "10 minutes") & F.col("labels").isNull()
     lag = F.when(organic, lag_seconds())
-    one = ev.agg(
+    one = ev.filter((F.col("ts") <= now) | F.col("ts").isNull()).agg(
         F.coalesce(gap_micros(now, F.max("ts")) / F.lit(1e6), F.lit(NEVER_FRESH)).alias("freshness_seconds"),
         _zero(F.max(lag)).alias("max_lag_seconds"),
         _zero(ratio(F.count_if(hour & F.col("user_id").isNull()), recent)).alias("null_user_rate"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from secstream.functions.ordered import sliced_fold, stepwise
 from secstream.functions.scalar import (
     as_time,
-    clamp,
+    at_most,
     decayed,
     gap_micros,
     seconds,
@@ -161,5 +161,5 @@ def top_risk(risk: DataFrame, as_of, limit: int = 20, half_life: str = HALF_LIFE
         )
         .filter("current_score > 0")
         .orderBy(F.desc("current_score"), "entity_type", "entity_id")
-        .limit(clamp(limit, 200))
+        .transform(at_most, limit)
     )

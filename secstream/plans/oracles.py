@@ -6,8 +6,6 @@ from secstream.functions.fields import FIELD_COLUMNS
 from secstream.functions.scalar import micros
 from secstream.operators.alerts import SEQUENCE_TECHNIQUES, VERDICTS
 from secstream.operators.cloud import CALL_ACTIONS
-from secstream.operators.incidents import MOVES
-from secstream.operators.response import ACTION_MOVES
 from secstream.operators.rules import Rule
 from secstream.plans.queries import WEEKLY
 from secstream.sources.tables import (
@@ -22,6 +20,25 @@ from secstream.sources.tables import (
 )
 
 
+# The life cycles that the queries must follow, stated here on their own.
+MOVES = {
+    "new": ["triaged", "false_positive"],
+    "triaged": ["investigating", "contained", "resolved", "false_positive"],
+    "investigating": ["contained", "resolved", "false_positive"],
+    "contained": ["investigating", "resolved"],
+    "resolved": [],
+    "false_positive": [],
+}
+ACTION_MOVES = {
+    "proposed": ["approved", "rejected", "executed", "failed"],
+    "approved": ["executed", "failed", "rejected"],
+    "executed": ["reverted", "rejected"],
+    "failed": ["rejected"],
+    "rejected": [],
+    "reverted": ["rejected"],
+}
+
+
 def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -365,7 +382,7 @@ block(
     """
 SELECT sha256(concat_ws('|', 'incident', entity_type, entity_id, first_id)) AS incident_id, 'new' AS status,
   ['info', 'low', 'medium', 'high', 'critical'][greatest(first_rank, coalesce(grown, 0)) + 1] AS severity,
-  CASE WHEN first_rank >= 3 THEN 'Suspected compromise' ELSE 'Suspicious activity' END || ': ' || entity_type || ' ' || entity_id AS title,
+  CASE WHEN first_rank >= 3 THEN 'Likely takeover' ELSE 'Unusual behaviour' END || ': ' || entity_type || ' ' || entity_id AS title,
   entity_type, entity_id, risk_score, opened_at, updated_at, opening_rule, opening_risk, alert_count FROM (
   SELECT entity_type, entity_id, arg_min(alert_id, (detected_at, alert_id)) AS first_id, arg_min(rank, (detected_at, alert_id)) AS first_rank,
     max(rank) FILTER (rank >= 2) AS grown, arg_max(score, (detected_at, alert_id)) AS risk_score, min(detected_at) AS opened_at,
@@ -374,8 +391,8 @@ SELECT sha256(concat_ws('|', 'incident', entity_type, entity_id, first_id)) AS i
   FROM attached GROUP BY ALL)""",
 )
 RULE_NAMES = {r.id: r.name for r in WEEKLY} | {
-    "impossible-travel": "Login from an implausible location change",
-    "baseline-deviation": "Login inconsistent with this account''s baseline",
+    "impossible-travel": "Two logins too far apart for the time between them",
+    "baseline-deviation": "Login unlike the account''s usual ones",
 }
 
 
@@ -385,11 +402,11 @@ SELECT c.action, c.entity_type AS target_type, c.entity_id AS target_id, c.store
   c.action <> 'revoke_sessions' AS requires_approval, true AS reversible, false AS auto_execute, c.detected_at AS proposed_at, i.incident_id,
   sha256(concat_ws('|', c.action, c.entity_type, c.entity_id, c.stored_id)) AS action_id
 FROM (
-  SELECT 'revoke_sessions' AS action, *, coalesce({_map(RULE_NAMES)}[rule_id], hijack_name) || ' (' || rule_id || ') — possible session or credential compromise' AS reason
+  SELECT 'revoke_sessions' AS action, *, coalesce({_map(RULE_NAMES)}[rule_id], hijack_name) || ' [' || rule_id || ']: the session or its credentials may be stolen' AS reason
     FROM named WHERE entity_type = 'user' AND technique IN ('T1078', 'T1539', 'T1098') AND rank >= 2
-  UNION ALL SELECT 'disable_account', *, 'risk score ' || CAST(round(score) AS BIGINT) || ' at or above containment threshold 90'
+  UNION ALL SELECT 'disable_account', *, 'containment starts at a risk of 90, now ' || CAST(round(score) AS BIGINT)
     FROM named WHERE entity_type = 'user' AND (score >= 90 OR severity = 'critical')
-  UNION ALL SELECT 'block_source_ip', *, {_map(RULE_NAMES)}[rule_id] || ' — hostile infrastructure'
+  UNION ALL SELECT 'block_source_ip', *, {_map(RULE_NAMES)}[rule_id] || ': traffic from an attacking address'
     FROM named WHERE entity_type = 'source_ip' AND rank >= 3) c
 LEFT JOIN incidents i ON i.entity_type = c.entity_type AND i.entity_id = c.entity_id {existing}
 QUALIFY row_number() OVER (PARTITION BY c.action, c.entity_type, c.entity_id ORDER BY c.detected_at, c.alert_id) = 1"""
@@ -413,14 +430,16 @@ FROM stored s JOIN verdicts v USING (id) QUALIFY row_number() OVER (PARTITION BY
 )
 
 
-def _walk(name: str, key: str, subjects: str, since: str, user: str, words: list[str], moves: dict[str, list[str]], start: str, needs: list[str], extra: str = "") -> None:
-    """Requests of each subject, numbered, and a recursive walk through the legal moves."""
+def _walk(name: str, key: str, subjects: str, since: str, user: str, words: list[str], moves: dict[str, list[str]], start: str, needs: list[str], extra: str = "", carry: str = "", gate: str = "true") -> None:
+    """Requests of each subject, numbered, and a recursive walk through the legal moves that pass the gate."""
     legal = " OR ".join(f"(w.\"left\" = '{s}' AND r.\"to\" IN {_in(to)})" for s, to in moves.items() if to)
+    legal = f"({legal}) AND ({gate.format(state='w.\"left\"')})"
     first = " OR ".join(f"'{start}' = '{s}' AND r.\"to\" IN {_in(to)}" for s, to in moves.items() if to)
+    first = f"({first}) AND ({gate.format(state=f"'{start}'")})"
     block(
         f"{name}_requests",
         ["ev", *needs],
-        f"""SELECT s.{key}, e.ts AS at, e.event_id AS seq, {_list(words)}[e.source_port % {len(words)} + 1] AS "to",
+        f"""SELECT s.{key}, {carry} e.ts AS at, e.event_id AS seq, {_list(words)}[e.source_port % {len(words)} + 1] AS "to",
   'analyst-' || e.source_port % 3 AS actor, 'note ' || e.event_id AS note,
   row_number() OVER (PARTITION BY s.{key} ORDER BY e.ts, e.event_id) AS rn
 FROM {subjects} s JOIN ev e ON e.user_id = s.{user} AND e.ts > s.{since} {extra}""",
@@ -441,6 +460,7 @@ _walk("move", "incident_id", "incidents", "opened_at", "entity_id", list(MOVES),
 _walk(
     "action", "action_id", "actions", "proposed_at", "target_id", ["approved", "executed", "failed", "rejected", "reverted"],
     ACTION_MOVES, "proposed", ["actions"], "AND s.target_type = 'user'",
+    "s.requires_approval,", """r."to" <> 'executed' OR NOT r.requires_approval OR {state} = 'approved'""",
 )
 block(
     "states",
@@ -464,13 +484,15 @@ SELECT a.*, l.* EXCLUDE (action_id) FROM (SELECT * EXCLUDE (status) FROM actions
 )
 block(
     "trail",
-    ["incidents", "actions", "move_log", "triaged"],
+    ["incidents", "actions", "move_log", "triaged", "action_log"],
     """
 SELECT opened_at AS at, 'system' AS actor, 'incident_opened' AS action, 'incident' AS subject_type, incident_id AS subject_id,
   concat_ws('|', entity_type || ':' || entity_id, opening_rule) AS detail FROM incidents
 UNION ALL SELECT proposed_at, 'system', 'action_proposed', target_type, target_id, concat_ws('|', action, reason) FROM actions
 UNION ALL SELECT "at", actor, 'incident_' || "left", 'incident', incident_id, concat_ws('|', found, "left") FROM move_log WHERE accepted
-UNION ALL SELECT triaged_at, triaged_by, 'alert_triaged', 'alert', id, triage FROM triaged WHERE triage <> 'untriaged'""",
+UNION ALL SELECT triaged_at, triaged_by, 'alert_triaged', 'alert', id, triage FROM triaged WHERE triage <> 'untriaged'
+UNION ALL SELECT g."at", g.actor, 'action_' || g."left", a.target_type, a.target_id, concat_ws('|', a.action, g.note)
+  FROM action_log g JOIN actions a USING (action_id) WHERE g.accepted""",
 )
 block("labelled", ["ev", "now"], "SELECT ev.*, now.at FROM ev, now WHERE scenario IS NOT NULL AND ts > now.at - INTERVAL 43240 MINUTE")
 block(
@@ -541,8 +563,7 @@ oracle(
 )
 oracle(
     "dlq_replay", ["dead"],
-    """SELECT failure_type, CAST(p <= 1000 AS BIGINT) AS replay_count, count(*) AS letters FROM (
-  SELECT *, row_number() OVER (ORDER BY arrived_at, "partition", "offset") AS p FROM dead) GROUP BY ALL""",
+    """SELECT failure_type, CAST(1 AS BIGINT) AS replay_count, count(*) AS letters FROM dead GROUP BY ALL""",
 )
 oracle(
     "dlq_list", ["dead"],
@@ -770,7 +791,7 @@ oracle(
     f"""SELECT check_name, category, CASE WHEN how = 'most' THEN observed <= threshold ELSE observed >= threshold END AS passed, round(observed, 6) AS observed, threshold,
   (SELECT "at" FROM now) AS checked_at FROM (
   SELECT 'freshness_seconds' AS check_name, 'liveness' AS category, 'most' AS how, 0.0::DOUBLE AS observed, 300.0::DOUBLE AS threshold
-  UNION ALL SELECT 'max_lag_seconds', 'liveness', 'most', coalesce(max({LAG}), 0), 120 FROM ev, now WHERE ingested_at > now.at - INTERVAL 10 MINUTE AND scenario IS NULL
+  UNION ALL SELECT 'max_lag_seconds', 'liveness', 'most', coalesce(max({LAG}), 0), 120 FROM ev, now WHERE ingested_at > now.at - INTERVAL 10 MINUTE AND ingested_at <= now.at AND scenario IS NULL
   UNION ALL SELECT 'null_user_rate', 'correctness', 'most', 0, 0.001
   UNION ALL SELECT 'null_source_ip_rate', 'correctness', 'most', 0, 0.01
   UNION ALL SELECT 'distinct_users_hourly', 'liveness', 'least', count(DISTINCT user_id), 10 FROM ev, now WHERE ts > now.at - INTERVAL 1 HOUR
@@ -925,7 +946,7 @@ FROM evidence e GROUP BY rule_id, entity_id, w""",
 block("travel12", ["logins"], _travel(12))
 oracle(
     "impossible_travel", ["travel12"],
-    f"SELECT {ALERT}, 'Login from an implausible location change' AS rule_name, concat_ws('|', rule_id, entity_type, entity_id) AS dedupe_key FROM travel12",
+    f"SELECT {ALERT}, 'Two logins too far apart for the time between them' AS rule_name, concat_ws('|', rule_id, entity_type, entity_id) AS dedupe_key FROM travel12",
 )
 oracle("session_hijack", ["hijack"], "SELECT *, concat_ws('|', rule_id, entity_type, entity_id) AS dedupe_key FROM hijack")
 oracle("baseline_deviation", ["deviation"], "SELECT alert_id, detected_at, entity_id, severity, observed, deviations FROM deviation")
@@ -959,10 +980,10 @@ oracle(
     "SELECT action_id, proposed_at, status, coalesce(error, result) AS outcome FROM acted ORDER BY proposed_at DESC, action_id LIMIT 50",
 )
 oracle("audit_trail", ["trail"], """SELECT actor, action, subject_type, count(*) AS entries, max("at") AS last_at FROM trail GROUP BY 1, 2, 3""")
-oracle("audit_recent", ["trail"], 'SELECT "at", subject_type, action FROM trail ORDER BY "at" DESC, subject_type, subject_id, action LIMIT 500')
+oracle("audit_recent", ["trail"], 'SELECT "at", subject_type, action FROM trail ORDER BY "at" DESC, subject_type, subject_id, action')
 oracle(
     "audit_subject", ["trail"],
-    """SELECT "at", actor, action, detail FROM trail WHERE subject_type = 'user' AND subject_id = 'u-00001' ORDER BY "at" DESC, action LIMIT 200""",
+    """SELECT "at", actor, action, detail FROM trail WHERE subject_type = 'user' AND subject_id = 'u-00001' ORDER BY "at" DESC, action""",
 )
 oracle(
     "attack_ground_truth", ["attacks"],
@@ -994,7 +1015,18 @@ oracle(
     """SELECT v AS variant, count(*) FILTER (v = 'full_scan' OR day = 10) AS rows FROM days, (VALUES ('full_scan'), ('partition_filter'), ('time_filter')) AS t(v) GROUP BY 1""",
 )
 oracle("compact_day", ["days"], "SELECT year, month, day, count(*) AS rows, count(DISTINCT event_id) AS ids FROM days GROUP BY ALL")
-oracle("daily_maintenance", ["days"], "SELECT day, event_action, count(*) AS events FROM days WHERE day = 20 GROUP BY ALL")
+block("job_day", ["ev"], "SELECT CAST(max(ts) AS DATE) - 1 AS d FROM ev")
+oracle(
+    "daily_maintenance", ["ev", "dead", "job_day"],
+    """SELECT event_action, CASE WHEN blocked THEN 0 ELSE events END AS events, blocked FROM (
+  SELECT event_action, count(*) AS events FROM ev, job_day WHERE CAST(ts AS DATE) = d GROUP BY 1), (
+  SELECT count(*) > 0 AS blocked FROM dead, job_day WHERE arrived_at > d + INTERVAL 11 HOUR AND arrived_at <= d + INTERVAL 12 HOUR)""",
+)
+oracle(
+    "daily_retention", ["ev", "job_day"],
+    """SELECT on_day, CASE WHEN kept AND on_day < d - 9 THEN 0 ELSE n END AS hot_rows, CASE WHEN kept OR on_day = d THEN n ELSE 0 END AS archive_rows
+FROM (SELECT *, day(on_day) % 5 <> 0 AND on_day < d AS kept FROM (SELECT CAST(ts AS DATE) AS on_day, count(*) AS n FROM ev GROUP BY 1), job_day)""",
+)
 oracle("snapshot_append", ["loads"], "SELECT load_id, event_action, count(*) AS events FROM loads GROUP BY ALL")
 oracle("snapshot_as_of", ["loads"], "SELECT event_action, count(*) AS events, max(ts) AS newest FROM loads WHERE load_id <= 2 GROUP BY 1")
 oracle(

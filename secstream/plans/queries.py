@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from secstream import schema
 from secstream.functions import scalar as S
 from secstream.functions.fields import ACTIONS, CATEGORIES, OUTCOMES, field, known_or_unknown
 from secstream.operators import (
@@ -175,7 +176,7 @@ class Lab:
 
     @cached_property
     def trail(self) -> DataFrame:
-        return R.audit_trail(self.response.incidents, self.response.actions, self.transitions[1], self.triaged)
+        return R.audit_trail(self.response.incidents, self.response.actions, self.transitions[1], self.triaged, self.lifecycle[1])
 
     @cached_property
     def archive(self) -> DataFrame:
@@ -289,8 +290,8 @@ def dlq_archive(x: Lab) -> DataFrame:
 
 @query()
 def dlq_replay(x: Lab) -> DataFrame:
-    """Replay the oldest dead letters; all of them still fail."""
-    outcome = G.dlq_replay(x.dead, limit=1000, as_of=x.now)
+    """Replay all dead letters; all of them still fail."""
+    outcome = G.dlq_replay(x.dead, as_of=x.now)
     return outcome.bookkeeping.groupBy("failure_type", "replay_count").agg(F.count("*").alias("letters"))
 
 
@@ -746,7 +747,7 @@ def attack_coverage(x: Lab) -> DataFrame:
 
 @query()
 def new_country_logins(x: Lab) -> DataFrame:
-    return H.new_country_logins(x.ev, x.now, "12 hours", MONTH, 1_000_000)
+    return H.new_country_logins(x.ev, x.now, "12 hours", MONTH, None)
 
 
 @query()
@@ -940,7 +941,7 @@ def audit_trail(x: Lab) -> DataFrame:
 
 @query()
 def audit_recent(x: Lab) -> DataFrame:
-    return R.audit_recent(x.trail, 500).select("at", "subject_type", "action")
+    return R.audit_recent(x.trail).select("at", "subject_type", "action")
 
 
 @query()
@@ -1020,13 +1021,44 @@ def compact_day(x: Lab) -> DataFrame:
 
 @query()
 def daily_maintenance(x: Lab) -> DataFrame:
-    """The daily job for one day: gate, archive, verify, compact; the archived rows are returned."""
-    day, path = dt.date(2024, 1, 20), f"{_scratch(x.spark)}/daily"
-    noon = F.lit("2024-01-20 12:00:00").cast("timestamp")
-    none = x.dead.limit(0)
-    checks = Q.quality_checks(x.ev, none, x.ev.filter(F.year("ts") != 2024), noon)
-    L.daily_maintenance(x.ev, checks, day, path)
-    return L.read_archive(x.spark, path).groupBy("day", "event_action").agg(F.count("*").alias("events"))
+    """The daily job for the day before the newest: gate at its noon with the dead letters of the hour
+    before, archive, verify, compact; returns the archived rows and whether the gate blocked the job."""
+    day, path = _newest_day(x) - dt.timedelta(days=1), f"{_scratch(x.spark)}/daily"
+    noon = F.lit(dt.datetime.combine(day, dt.time(12), dt.timezone.utc))
+    checks = Q.quality_checks(x.ev, x.dead, x.ev.filter(F.col("ts").isNull()), noon)
+    try:
+        L.daily_maintenance(x.ev, checks, day, path)
+        archived, blocked = L.read_archive(x.spark, path), False
+    except L.QualityGateFailed:
+        archived, blocked = L.to_archive(x.ev.filter("false")), True
+    rows = archived.groupBy("event_action").agg(F.count("*").alias("events"))
+    names = x.ev.filter(F.to_date("ts") == F.lit(day)).select("event_action").distinct()
+    return names.join(rows, "event_action", "left").select("event_action", F.coalesce("events", F.lit(0)).alias("events"), F.lit(blocked).alias("blocked"))
+
+
+def _newest_day(x: Lab) -> dt.date:
+    return x.ev.agg(F.to_date(F.max("ts"))).first()[0]
+
+
+@query()
+def daily_retention(x: Lab) -> DataFrame:
+    """Hot and archived rows per day after the daily job has dropped hot days for good.
+
+    Every fifth day of the month was never archived: its hot rows must survive. Nothing archived goes.
+    """
+    day = _newest_day(x) - dt.timedelta(days=1)
+    hot, path = f"{_scratch(x.spark)}/hot", f"{_scratch(x.spark)}/hot-archive"
+    L.with_day(x.ev.select(*schema.FLAT_COLUMNS)).write.partitionBy(*schema.DAY_PARTS).parquet(hot)
+    L.write_days(x.ev.filter((F.dayofmonth("ts") % 5 != 0) & (F.to_date("ts") < F.lit(day))), path)
+    passing = x.spark.range(1).select(F.lit("none").alias("check_name"), F.lit("correctness").alias("category"), F.lit(True).alias("passed"))
+    L.daily_maintenance(x.ev, passing, day, path, hot_path=hot, retain_days=10, dry_run=False)
+
+    def per_day(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(F.to_date("ts").alias("on_day")).agg(F.count("*").alias(name))
+
+    left = x.spark.read.schema(schema.FLAT_EVENT).parquet(hot)
+    both = per_day(left, "hot_rows").join(per_day(L.read_archive(x.spark, path), "archive_rows"), "on_day", "full")
+    return both.select("on_day", F.coalesce("hot_rows", F.lit(0)).alias("hot_rows"), F.coalesce("archive_rows", F.lit(0)).alias("archive_rows"))
 
 
 @query()

@@ -36,13 +36,14 @@ def use_utc(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir``, which all executors share.
 
-    A local run without that setting gets a scratch folder; a cluster without it is an error,
+    A run in one process without that setting gets a scratch folder; a cluster without it is an error,
     because a machine-local folder does not survive the loss of an executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = spark.conf.get("secstream.scratch.dir", None)
     if scratch is None:
@@ -51,6 +52,11 @@ def work_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{work_dir(spark)}/secstream/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -59,12 +65,12 @@ def materialise(df: DataFrame, name: str = "cut") -> DataFrame:
     pushdown and the size statistics that join selection needs.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/secstream/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Remove all intermediate tables that ``materialise`` wrote under the shared folder."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/secstream")
+    """Remove the intermediate tables of this application; DataFrames that read them are of no more use."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

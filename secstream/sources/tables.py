@@ -166,7 +166,6 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         pattern = pattern.when(k == number, F.lit(found))
         replacement = replacement.when(k == number, F.lit(new))
     edited = F.regexp_replace("raw", pattern.otherwise("^$"), replacement.otherwise(""))
-    kept = F.when(k == 50, 40).otherwise(1_000_000)
     copies = F.when(k % 10 == 4, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return (
         _events(spark, sf_dir)
@@ -176,7 +175,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("u") % 6).cast("int").alias("partition"),
             (F.col("n") * 2 + F.col("copy")).alias("offset"),
             F.col("user_id").alias("key"),
-            F.substring(edited, F.lit(1), kept).alias("value"),
+            F.when(k == 50, F.substring(edited, 1, 40)).otherwise(edited).alias("value"),
             F.timestamp_micros(
                 F.unix_micros("ingested_at") + F.col("copy") * F.lit(5_000_000)
             ).alias("arrived_at"),

@@ -30,8 +30,7 @@ from secstream.operators.threshold import (
 )
 from secstream.streaming.sources import start, write_batch
 
-# The cap on distinct values kept per entity and window, and state lifetimes.
-DISTINCT_CAP = 5000
+# State lifetimes.
 LOGIN_TTL = "2 days"
 SESSION_TTL = "8 hours"
 
@@ -73,7 +72,10 @@ _Fired = Row(*_FIRED.fieldNames())
 
 
 class _Crossing(StatefulProcessor):
-    """Counts events or distinct values of one (rule, entity, window) until it fires once."""
+    """Counts events or distinct values of one (rule, entity, window) until it fires once.
+
+    The distinct values that are kept never exceed the threshold, at which the rule fires.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -113,7 +115,7 @@ class _Crossing(StatefulProcessor):
                 samples.append(row["event_id"])
             for fact in row["facts"]:
                 self._note(fact["name"], fact["item"], CONTEXT_VALUES)
-            observed = self._note("", row["counted"], DISTINCT_CAP) if row["distinct_field"] else events
+            observed = self._note("", row["counted"], row["threshold"]) if row["distinct_field"] else events
             self.handle.registerTimer(row["closes_us"] // 1000 + 1)
             if observed >= row["threshold"]:
                 fired = True
@@ -337,7 +339,7 @@ def _sequence_alerts(pairs: DataFrame, kind: str, elapsed, threshold: str) -> Da
                 "gap_seconds": observed, "max_plausible_gap_seconds": F.lit(seconds(threshold)),
             }
         )
-        head = (TRAVEL, F.lit("Login from an implausible location change"), F.lit("medium"), "T1078")
+        head = (TRAVEL, F.lit("Two logins too far apart for the time between them"), F.lit("medium"), "T1078")
     else:
         before, now = F.col("before_one"), F.col("source_ip")
         new_client = F.coalesce(F.col("before_two") != F.col("user_agent"), F.lit(False))

@@ -51,8 +51,8 @@ def _exists(spark, path: str) -> bool:
 
 
 def stream_dedupe(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop repeats of an event that arrive within the watermark, with bounded state."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """Drop repeats of an event (same id and time) that arrive within the watermark, with bounded state."""
+    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id", "ts"])
 
 
 def stream_quality(events: DataFrame, dead_path: str, history_path: str, checkpoint: str, **options) -> StreamingQuery:

@@ -49,14 +49,14 @@ def test_incident_opens_on_accumulated_risk(spark):
     got = respond(alerts(spark, *[alert(0.001 * i, rule=f"r{i}", severity="medium") for i in range(4)]), at(10))
     incident = got.incidents.first()
     assert (incident["alert_count"], incident["severity"], incident["opening_risk"]) == (1, "medium", pytest.approx(60.0))
-    assert incident["title"] == "Suspicious activity: user u-1"
+    assert incident["title"] == "Unusual behaviour: user u-1"
     assert got.stored.filter("incident_id is null").count() == 3
 
 
 def test_high_severity_opens_at_once_and_later_firings_attach(spark):
     got = respond(alerts(spark, alert(0), alert(60), alert(120, rule="quiet", severity="low")), at(200))
     incident = got.incidents.first()
-    assert incident["title"] == "Suspected compromise: user u-1"
+    assert incident["title"] == "Likely takeover: user u-1"
     assert incident["alert_count"] == 2  # the quiet alert warrants by the entity's score
     assert incident["updated_at"].timestamp() == at(120).timestamp()
 
