@@ -1035,3 +1035,21 @@ oracle(
 FROM loads GROUP BY 1""",
 )
 oracle("schema_evolution", ["ev"], "SELECT event_action, day(ts) <= 20 AS is_old, count(*) AS events FROM ev GROUP BY 1, 2")
+
+# --- streams ---------------------------------------------------------------------------------
+
+oracle(
+    "stream_ingest_events", ["kept", "dead"],
+    """SELECT 'event' AS kind, stored_action AS name, count(*) AS n, count(DISTINCT event_id) AS ids FROM kept GROUP BY 2
+UNION ALL SELECT 'dead letter', failure_type, count(*), count(DISTINCT "offset") FROM dead GROUP BY 2""",
+)
+oracle("stream_dedupe_events", ["ev"], "SELECT event_id, CAST(2 AS BIGINT) AS kept, ts AS first_ts FROM ev")
+oracle("stream_threshold_alerts", ["threshold_alerts"], "SELECT alert_id, detected_at, rule_id, severity, entity_type, entity_id, observed, threshold FROM threshold_alerts")
+oracle("stream_travel_alerts", ["travel12"], "SELECT alert_id, detected_at, rule_id, severity, entity_id, observed FROM travel12")
+oracle("stream_hijack_alerts", ["hijack"], "SELECT alert_id, detected_at, rule_id, severity, entity_id, observed FROM hijack")
+oracle(
+    "cloud_failures", ["rec", "ev"],
+    """SELECT 'PARSE_ERROR' AS failure_type, failure_reason, count(*) AS deliveries FROM (
+  SELECT 'delivery holds no audit record' AS failure_reason FROM rec WHERE call IS NULL
+  UNION ALL SELECT CASE WHEN k = 50 THEN 'delivery is not JSON' ELSE 'delivery holds no audit record' END FROM ev) GROUP BY 2""",
+)

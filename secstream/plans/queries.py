@@ -37,6 +37,9 @@ from secstream.operators.rules import PACKS, Rule, compile_match, load_rules
 from secstream.plans.detection import detect, latest, respond
 from secstream.session import materialise, use_utc, work_dir
 from secstream.sources import tables
+from secstream.streaming import detect as D_STREAM
+from secstream.streaming import ingest as I_STREAM
+from secstream.streaming import sources
 
 WEEKLY = load_rules(PACKS / "weekly")
 MONTH = "31 days"
@@ -1087,3 +1090,74 @@ def schema_evolution(x: Lab) -> DataFrame:
     new.write.mode("append").parquet(path)
     back = L.read_evolved(x.spark, path, new.schema)
     return back.groupBy("event_action", F.col("enrichment_network").isNull().alias("is_old")).agg(F.count("*").alias("events"))
+
+
+# --- streams: run over the landed tables until they are drained, then read the result table ----
+
+
+def _landed(x: Lab, rows: DataFrame, order: str, name: str, files: int = 4) -> str:
+    """Rows as Parquet files, each holding one stretch of ``order``; files of later stretches are newer."""
+    path = f"{_scratch(x.spark)}/{name}"
+    low, high = rows.agg(F.unix_micros(F.min(order)), F.unix_micros(F.max(order))).first()
+    part = F.least(F.floor((F.unix_micros(order) - low) * files / F.lit(high - low + 1)), F.lit(files - 1))
+    cut = materialise(rows.withColumn("_part", part), f"{name}-cut")
+    for k in range(files):
+        cut.filter(F.col("_part") == k).drop("_part").repartitionByRange(2, order).write.mode("append").parquet(path)
+    return path
+
+
+def _drained(x: Lab, stream: DataFrame, name: str) -> DataFrame:
+    table = f"{_scratch(x.spark)}/{name}"
+    sources.alert_sink(stream, table, f"{table}-checkpoint").awaitTermination()
+    return x.spark.read.parquet(table).drop("batch")
+
+
+def _event_stream(x: Lab) -> DataFrame:
+    return sources.file_events(x.spark, _landed(x, x.ev.select(*schema.FLAT_COLUMNS), "ts", "stream-events"), 2)
+
+
+@query()
+def stream_ingest_events(x: Lab) -> DataFrame:
+    """Stored events and dead letters after the messages went through the ingest stream."""
+    landing = _landed(x, x.messages, "arrived_at", "stream-messages")
+    events, dead = (f"{_scratch(x.spark)}/{n}" for n in ("stream-stored", "stream-dead"))
+    I_STREAM.stream_ingest(sources.file_messages(x.spark, landing, 2), events, dead, f"{events}-checkpoint").awaitTermination()
+    stored = I_STREAM.stored_events(x.spark, events).groupBy("event_action").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    letters = x.spark.read.parquet(dead).groupBy("failure_type").agg(F.count("*").alias("n"), F.countDistinct("source_offset").alias("ids"))
+    return stored.select(F.lit("event").alias("kind"), F.col("event_action").alias("name"), "n", "ids").unionByName(
+        letters.select(F.lit("dead letter").alias("kind"), F.col("failure_type").alias("name"), "n", "ids")
+    )
+
+
+@query()
+def stream_dedupe_events(x: Lab) -> DataFrame:
+    """Each event three times, one of them an hour later under the same id: two are left of each."""
+    rows = x.ev.select(*schema.FLAT_COLUMNS)
+    later = rows.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    stream = sources.file_events(x.spark, _landed(x, rows.union(rows).union(later), "ts", "stream-copies", 2), 2)
+    return _drained(x, I_STREAM.stream_dedupe(stream, "40 days"), "stream-once").groupBy("event_id").agg(F.count("*").alias("kept"), F.min("ts").alias("first_ts"))
+
+
+@query()
+def stream_threshold_alerts(x: Lab) -> DataFrame:
+    """Alerts of all threshold rules from the stream."""
+    columns = ["alert_id", "detected_at", "rule_id", "severity", "entity_type", "entity_id", "observed", "threshold"]
+    return _drained(x, D_STREAM.stream_threshold(_event_stream(x), WEEKLY), "stream-threshold").select(*columns)
+
+
+@query()
+def stream_travel_alerts(x: Lab) -> DataFrame:
+    return _drained(x, D_STREAM.stream_travel(_event_stream(x), "12 hours"), "stream-travel").select("alert_id", "detected_at", "rule_id", "severity", "entity_id", "observed")
+
+
+@query()
+def stream_hijack_alerts(x: Lab) -> DataFrame:
+    return _drained(x, D_STREAM.stream_hijack(_event_stream(x)), "stream-hijack").select("alert_id", "detected_at", "rule_id", "severity", "entity_id", "observed")
+
+
+@query()
+def cloud_failures(x: Lab) -> DataFrame:
+    """Cloud deliveries together with messages that are none, some of them cut: what holds no audit record."""
+    astray = x.messages.filter("offset % 2 = 0").select("value")
+    failed = C.cloud_failures(tables.cloud_deliveries(x.spark, x.sf_dir).select("value").union(astray))
+    return failed.groupBy("failure_type", "failure_reason").agg(F.count("*").alias("deliveries"))
