@@ -279,8 +279,21 @@ CONTRACT_OUTCOMES = ["success", "failure", "unknown"]
 
 
 def schema_conformance(raw: DataFrame, value: str = "value") -> DataFrame:
-    """How often each path breaks the document contract: missing, unknown, wrong type or value."""
+    """How often each path breaks the document contract: missing, unknown, wrong type or value.
+
+    All but one of the checks depend on a document's shape alone, so documents of one shape and outcome
+    are counted first, from one parse each, and one of them is looked at path by path.
+    """
     document = F.try_parse_json(value)
+    shape = F.schema_of_variant("_doc").alias("_shape")
+    outcome_text = F.try_variant_get("_doc", "$.event.outcome", "string").alias("_outcome")
+    raw = (
+        raw.select(value, F.inline(F.array(F.struct(document.alias("_doc")))))
+        .select(value, shape, outcome_text)
+        .groupBy("_shape", "_outcome")
+        .agg(F.first(value).alias(value), F.count("*").alias("_documents"))
+        .select(value, "_documents")
+    )
     closed = ["", *[p for p, kind in CONTRACT_TYPES.items() if kind == "OBJECT" and p != "labels"]]
 
     def at(path: str) -> Column:
@@ -314,15 +327,16 @@ def schema_conformance(raw: DataFrame, value: str = "value") -> DataFrame:
     return (
         raw.select("*", F.inline(F.array(F.struct(document.alias("_doc")))))
         .select(
+            "_documents",
             F.explode(
                 F.when(
                     F.coalesce(F.regexp_extract(F.schema_of_variant("_doc"), r"^[A-Z]+", 0) != "OBJECT", F.lit(True)),
                     broken,
                 ).otherwise(F.concat(F.array_compact(F.array(*checks)), *strangers))
-            ).alias("p")
+            ).alias("p"),
         )
         .groupBy("p.path", "p.problem")
-        .agg(F.count("*").alias("occurrences"))
+        .agg(F.sum("_documents").alias("occurrences"))
     )
 
 

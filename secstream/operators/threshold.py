@@ -1,9 +1,10 @@
 """Threshold rules over one scan of the events.
 
-A rule fires on the one event that brings an (entity, window) to its threshold. The plan keeps
-hot entities apart: counts and first arrivals are pre-aggregated before any shuffle, and the
-ranking that finds the crossing keeps at most ``threshold`` rows per group and map task (Spark
-turns ``row_number() <= n`` into a group limit in front of the exchange).
+A rule fires on the one event that brings an (entity, window) to its threshold. Rules that count
+events rank them and keep those up to the threshold; Spark turns ``row_number() <= n`` into a group
+limit in front of the only exchange, so a hot entity leaves each map task with ``n`` rows at most. The
+rows kept are those up to the crossing, hence the evidence as well. Rules that count distinct values
+take the first arrival of each value, pre-aggregated, and read their evidence in a second scan.
 """
 
 from __future__ import annotations
@@ -62,17 +63,28 @@ def _matches(rule: Rule) -> Column:
     return compile_match(rule) & field(rule.group_by).isNotNull()
 
 
-def _nth(arrivals: DataFrame, top: int) -> DataFrame:
-    """The arrival whose position in its group equals the threshold."""
+def _ranked(arrivals: DataFrame, top: int) -> DataFrame:
+    """The arrivals of each group up to the threshold, with their position."""
     order = Window.partitionBy(*GROUP).orderBy("ts", "event_id")
     return (
         arrivals.withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= top)
-        .filter(F.col("position") == F.col("threshold"))
-        .drop("position")
+        .filter(F.col("position") <= F.col("threshold"))
     )
 
 
+def _nth(arrivals: DataFrame, top: int) -> DataFrame:
+    """The arrival whose position in its group equals the threshold."""
+    return _ranked(arrivals, top).filter(F.col("position") == F.col("threshold")).drop("position")
+
+
+def _up_to_crossing(ev: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Of groups that reach the threshold of a counting rule, all hits up to the crossing."""
+    ranked = _ranked(rule_hits(ev, rules, evidence=True), max(rule.threshold for rule in rules))
+    reached = F.max("position").over(Window.partitionBy(*GROUP))
+    return ranked.withColumn("_reached", reached).filter(F.col("_reached") == F.col("threshold")).drop("_reached")
+
+
 def threshold_crossings(ev: DataFrame, rules: list[Rule]) -> DataFrame:
     """``rule_id, entity_id, window_us, threshold, ts, event_id`` of each crossing event."""
     columns = [*GROUP, "threshold", "ts", "event_id"]
@@ -81,16 +93,7 @@ def threshold_crossings(ev: DataFrame, rules: list[Rule]) -> DataFrame:
     by_value = [rule for rule in active if rule.distinct]
     found = []
     if by_event:
-        hits = rule_hits(ev, by_event)
-        crowded = (
-            hits.groupBy(*GROUP, "threshold")
-            .count()
-            .filter(F.col("count") >= F.col("threshold"))
-            .select(*GROUP)
-        )
-        found.append(
-            _nth(hits.join(crowded, GROUP, "left_semi"), max(r.threshold for r in by_event))
-        )
+        found.append(_nth(rule_hits(ev, by_event), max(r.threshold for r in by_event)))
     if by_value:
         first = (
             rule_hits(ev, by_value)
@@ -119,14 +122,15 @@ def window_state(ev: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def _evidence(ev: DataFrame, rules: list[Rule], crossings: DataFrame) -> DataFrame:
-    """What an analyst needs to see, taken from the events up to and including the crossing."""
+def _before(ev: DataFrame, rules: list[Rule], crossings: DataFrame) -> DataFrame:
+    """Hits up to and including the crossing of their group."""
     cut = crossings.select(*GROUP, F.struct("ts", "event_id").alias("cut"))
-    seen = (
-        rule_hits(ev, rules, evidence=True)
-        .join(cut, GROUP)
-        .filter(F.struct("ts", "event_id") <= F.col("cut"))
-    )
+    hits = rule_hits(ev, rules, evidence=True).join(cut, GROUP)
+    return hits.filter(F.struct("ts", "event_id") <= F.col("cut")).drop("cut")
+
+
+def _evidence(seen: DataFrame) -> DataFrame:
+    """What an analyst needs to see, taken from the events up to and including the crossing."""
     totals = seen.groupBy(*GROUP).agg(
         F.count("*").alias("events_in_window"),
         F.min("ts").alias("first_seen"),
@@ -171,10 +175,19 @@ def threshold_alerts(ev: DataFrame, rules: list[Rule]) -> DataFrame:
     """Alerts of all enabled rules, with evidence. Finds the crossings at once, the rest is lazy."""
     active = [rule for rule in rules if rule.enabled]
     ev = ev.select("ts", "event_id", *FIELD_COLUMNS.values())
-    # One row per alert, read by both evidence passes; written, it is also small enough for Spark
-    # to see that it can be broadcast to them.
-    crossings = materialise(threshold_crossings(ev, active), "crossings")
-    rows = crossings.join(_evidence(ev, active, crossings), GROUP)
+    # Written: each part is read twice, and Spark sees how small it is.
+    columns = [*GROUP, "threshold", "ts", "event_id"]
+    by_event = [rule for rule in active if not rule.distinct]
+    by_value = [rule for rule in active if rule.distinct]
+    parts = []
+    if by_event:
+        kept = materialise(_up_to_crossing(ev, by_event), "up-to-crossing")
+        parts.append((kept.filter(F.col("position") == F.col("threshold")).select(*columns), kept.drop("position")))
+    if by_value:
+        crossed = materialise(threshold_crossings(ev, by_value), "crossings")
+        parts.append((crossed, _before(ev, by_value, crossed)))
+    crossings = reduce(DataFrame.unionByName, [crossing for crossing, _ in parts])
+    rows = crossings.join(_evidence(reduce(DataFrame.unionByName, [seen for _, seen in parts])), GROUP)
 
     def per_rule(value) -> Column:
         choice = None

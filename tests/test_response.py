@@ -72,7 +72,7 @@ def test_proposals(spark):
     found = {(r["action"], r["target_id"]): r for r in got.actions.collect()}
     assert set(found) == {("revoke_sessions", "u-1"), ("disable_account", "u-1"), ("block_source_ip", "203.0.113.9")}
     assert not found["revoke_sessions", "u-1"]["requires_approval"] and found["disable_account", "u-1"]["requires_approval"]
-    assert found["disable_account", "u-1"]["reason"].startswith("risk score 140 ")
+    assert found["disable_account", "u-1"]["reason"].startswith("containment starts at a risk of 90, now 140")
     taken = got.actions.withColumn("status", F.when(F.col("action") == "disable_account", "executed").otherwise("rejected"))
     left = propose_actions(got.attached, got.incidents, taken.select("action", "target_type", "target_id", "status"))
     assert {r["action"] for r in left.collect()} == {"revoke_sessions", "block_source_ip"}
