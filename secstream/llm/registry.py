@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_warc_chunks": warc.ORACLE,
     "op3_secret_trigrams": secrets.oracle(),
+    "op4_substring_anchors": substrings.ORACLE,
 }
