@@ -143,7 +143,7 @@ def plan_parts(sample: list[int], n: int, radius: int) -> list[tuple[list[int],
     """(bits, threshold) of the parts to use, for ``n`` distinct fingerprints."""
     u = np.array(sample or [0], np.int64).astype("<i8").view(np.uint8).reshape(-1, 8)
     bits = np.unpackbits(u, axis=1, bitorder="little")
-    plans = []
+    plans, n = [], max(n, 1)
     for parts in range(2, radius + 2):
         groups = group_bits(bits.astype(float), parts)
         costs = []

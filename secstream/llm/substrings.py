@@ -11,18 +11,19 @@ the first are repeats.
 
 What is shuffled: anchor hashes with their place, then full windows near repeated anchors only, each
 once per map batch: a batch settles among its own rows which are later copies, so a passage that a third
-of all documents share reaches its reducer as one row from each batch, not one from each occurrence. The
-documents are shuffled by id once, and both passes over their text read that exchange.
+of all documents share reaches its reducer once from each batch, not once from each occurrence. Hashes travel
+packed, one row for a batch and bucket of hashes, and a bucket is settled at a time. The documents are shuffled by id once, and both passes over their text read that exchange.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute  # noqa: F401  for pa.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secstream.llm.common import blocks, doc_key, raw_bytes, table, window_hashes, word_bounds, word_hashes
@@ -60,19 +61,94 @@ def _place(at: np.ndarray, tag: int) -> np.ndarray:
 
 
 def _by_key(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Settled places in one binary for each document."""
+    """Places in one binary for each document."""
     order = np.argsort(keys, kind="stable")
     keys, places = keys[order], places[order]
     cuts = np.flatnonzero(np.diff(keys)) + 1
     return keys[np.concatenate([[0], cuts])] if len(keys) else keys, [p.tobytes() for p in np.split(places, cuts)] if len(keys) else []
 
 
-def repeated_anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
-    """(_key, _anchors, _more): word positions of anchors that occur more than once, from (_key, text).
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of equal length as one binary, byte plane by byte plane: high bytes are alike and compress well."""
+    return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def _unpack(data: bytes, kinds: tuple[type, ...]) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+_ROW = "_bucket int, _data binary, _key long, _settled binary"
+
+
+def _rows(buckets: np.ndarray, columns: list[np.ndarray], own: np.ndarray, settled: list[bytes], spread: int) -> pa.RecordBatch:
+    """A packed row for each bucket of what other batches must see, and one for each document with settled
+    places; the latter go anywhere."""
+    order = np.argsort(buckets, kind="stable")
+    buckets, columns = buckets[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.diff(buckets)) + 1
+    ends = [0, *cuts.tolist(), len(buckets)] if len(buckets) else [0]
+    data = [_pack([c[lo:hi] for c in columns]) for lo, hi in zip(ends, ends[1:], strict=False)]
+    n, m = len(data), len(own)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([buckets[ends[:-1]], own % spread]).astype(np.int32)),
+            pa.array(data + [None] * m, pa.binary()),
+            pa.array([None] * n + own.tolist(), pa.int64()),
+            pa.array([None] * n + settled, pa.binary()),
+        ],
+        ["_bucket", "_data", "_key", "_settled"],
+    )
+
+
+def _settle(found: DataFrame, kinds: tuple[type, ...], judge: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(_key, _settled): shuffle packed rows by bucket and let ``judge`` name the keys and places of a bucket's
+    rows that are to be kept. A bucket is a small part of a partition; one is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["_key", "_settled"]
+
+        def close(parts: list[bytes]) -> pa.RecordBatch:
+            own, places = _by_key(*judge([np.concatenate(c) for c in zip(*(_unpack(x, kinds) for x in parts), strict=True)]))
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(places, pa.binary())], names)
+
+        now, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = batch.filter(pa.compute.is_valid(batch.column("_settled")))
+            yield pa.RecordBatch.from_arrays([known.column("_key"), known.column("_settled")], names)
+            rest = batch.filter(pa.compute.is_valid(batch.column("_data")))
+            for bucket, data in zip(rest.column("_bucket").to_pylist(), rest.column("_data").to_pylist(), strict=True):
+                if bucket != now and parts:
+                    yield close(parts)
+                    parts = []
+                now = bucket
+                parts.append(data)
+        if parts:
+            yield close(parts)
+
+    dealt = found.repartition("_bucket").sortWithinPartitions("_bucket")
+    return dealt.mapInArrow(run, "_key long, _settled binary").groupBy("_key").agg(F.collect_list("_settled").alias("_settled"))
 
-    _anchors lists those that other batches share, _more has the ones settled within a batch, packed.
-    """
-    cover, size = np.array(difference_cover(period)), window - period + 1
+
+def _bucket_count(spark: SparkSession) -> int:
+    """Buckets of hashes: several for each shuffle partition, whose number follows the data."""
+    return max(1024, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def repeated_anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
+    """(_key, _settled): packed word positions of anchors that occur more than once, from (_key, text)."""
+    cover, size, spread = np.array(difference_cover(period)), window - period + 1, _bucket_count(docs.sparkSession)
 
     def settled(hashes: list, keys: list, ats: list) -> pa.RecordBatch:
         h, k, at = np.concatenate(hashes).view(np.int64), np.concatenate(keys), np.concatenate(ats).astype(np.int32)
@@ -80,19 +156,10 @@ def repeated_anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
         run = np.cumsum(new) - 1
         often = np.bincount(run)[run] > 1
         # repeats within the batch are settled; one row of them, without a place, tells other batches
-        send, known = rows[~often | new], rows[often]
-        place = np.where((~often | new) & often, -1, at[rows])[~often | new].astype(np.int32)
-        own, packed = _by_key(k[known], at[known])
-        n, m = len(send), len(own)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([h[send], own])),
-                pa.array(np.concatenate([k[send], own])),
-                pa.array(np.concatenate([place, np.full(m, -1, np.int32)])),
-                pa.array([None] * n + packed, pa.binary()),
-            ],
-            ["_hash", "_key", "_at", "_packed"],
-        )
+        send = rows[~often | new]
+        place = np.where(often[~often | new], -1, at[send]).astype(np.int32)
+        own, packed = _by_key(k[rows[often]], at[rows[often]])
+        return _rows(_bucket_of(h[send], spread), [h[send], k[send], place], own, packed, spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, keys, ats, held = [], [], [], 0
@@ -115,42 +182,39 @@ def repeated_anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
         if held:
             yield settled(hashes, keys, ats)
 
-    found = docs.select("_key", "text").mapInArrow(run, "_hash long, _key long, _at int, _packed binary")
-    same = Window.partitionBy("_hash")
-    shared = found.withColumn("_n", F.count("*").over(same)).filter("_packed IS NOT NULL OR (_n > 1 AND _at >= 0)")
-    return shared.groupBy("_key").agg(F.collect_list(F.when(F.col("_at") >= 0, F.col("_at"))).alias("_anchors"), F.collect_list("_packed").alias("_more"))
+    def judge(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, k, at = columns
+        rows, new = _first_places([h], [])
+        run = np.cumsum(new) - 1
+        shared = rows[(np.bincount(run)[run] > 1) & (at[rows] >= 0)]
+        return k[shared], at[shared]
 
+    return _settle(docs.select("_key", "text").mapInArrow(run, _ROW), (np.int64, np.int64, np.int32), judge)
 
-def repeated_windows(near: DataFrame, window: int, period: int) -> DataFrame:
-    """(_key, _places, _later): places of the windows that are repeats, from (_key, _tag, text, _anchors, _more).
 
-    _places lists those that another batch precedes, _later has the ones settled within a batch, packed.
-    """
+def _later(keys: np.ndarray, places: np.ndarray, rows: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Of rows sorted by window, key and place: whether a row starts after the first of its window."""
+    first = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return (keys[rows] > keys[first]) | (keys[rows] == keys[first]) & (places[rows] >> 16 > places[first] >> 16)
+
+
+def repeated_windows(near: DataFrame, window: int, period: int) -> DataFrame:
+    """(_key, _settled): packed places of the windows that are repeats, from (_key, _tag, text, _settled)."""
+    spread = _bucket_count(near.sparkSession)
 
     def settled(h1: list, h2: list, keys: list, places: list) -> pa.RecordBatch:
         a, b = np.concatenate(h1).view(np.int64), (np.concatenate(h2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         k, p = np.concatenate(keys), np.concatenate(places)
         rows, new = _first_places([a, b], [k, p])
-        first = rows[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        later = (k[rows] > k[first]) | (k[rows] == k[first]) & (p[rows] >> 16 > p[first] >> 16)
+        later = _later(k, p, rows, new)
         send, known = rows[~later], rows[later]
         own, packed = _by_key(k[known], p[known])
-        m = len(own)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([a[send], own])),
-                pa.array(np.concatenate([b[send], np.zeros(m, np.int32)])),
-                pa.array(np.concatenate([k[send], own])),
-                pa.array(np.concatenate([p[send], np.full(m, -1)])),
-                pa.array([None] * len(send) + packed, pa.binary()),
-            ],
-            ["_h1", "_h2", "_key", "_place", "_packed"],
-        )
+        return _rows(_bucket_of(a[send], spread), [a[send], b[send], k[send], p[send]], own, packed, spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, keys, places, held = [], [], [], [], 0
         for batch in blocks(batches):
-            for key, tag, text, anchors, more in zip(*(batch.column(c).to_pylist() for c in ("_key", "_tag", "text", "_anchors", "_more")), strict=True):
+            for key, tag, text, anchors in zip(*(batch.column(c).to_pylist() for c in ("_key", "_tag", "text", "_settled")), strict=True):
                 raw = raw_bytes(text)
                 starts, ends = word_bounds(raw)
                 n = len(starts) - window + 1
@@ -158,7 +222,7 @@ def repeated_windows(near: DataFrame, window: int, period: int) -> DataFrame:
                     continue
                 # a repeated window holds one of the repeated anchors within its first ``period`` positions
                 hit = np.zeros(len(starts) + period + 1, np.int32)
-                for at in (np.asarray(anchors, np.int64), *(np.frombuffer(x, np.int32) for x in more)):
+                for at in (np.frombuffer(x, np.int32) for x in anchors):
                     hit[at[at < len(hit)]] = 1  # another text under this id may be longer
                 before = np.concatenate([[0], np.cumsum(hit)])
                 at = np.flatnonzero(before[period : period + n] - before[:n])
@@ -175,22 +239,22 @@ def repeated_windows(near: DataFrame, window: int, period: int) -> DataFrame:
         if held:
             yield settled(h1, h2, keys, places)
 
-    found = near.mapInArrow(run, "_h1 long, _h2 int, _key long, _place long, _packed binary")
-    same = Window.partitionBy("_h1", "_h2")
-    word = F.shiftright("_place", 16)
-    first = found.withColumn("_first", F.min(F.when(F.col("_packed").isNull(), F.struct("_key", word.alias("_word")))).over(same))
-    later = (F.col("_key") > F.col("_first._key")) | ((F.col("_key") == F.col("_first._key")) & (word > F.col("_first._word")))
-    kept = first.filter(F.col("_packed").isNotNull() | later)
-    return kept.groupBy("_key").agg(F.collect_list(F.when(F.col("_packed").isNull(), F.col("_place"))).alias("_places"), F.collect_list("_packed").alias("_later"))
+    def judge(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        a, b, k, p = columns
+        rows, new = _first_places([a, b], [k, p])
+        again = rows[_later(k, p, rows, new)]
+        return k[again], p[again]
+
+    return _settle(near.mapInArrow(run, _ROW), (np.int64, np.int32, np.int64, np.int64), judge)
 
 
-def kept_text(text: str | None, places: list[int] | None, later: list[bytes] | None, tag: int, window: int) -> tuple[int, int, str]:
+def kept_text(text: str | None, places: list[bytes] | None, tag: int, window: int) -> tuple[int, int, str]:
     """Word count, removed words and the kept words with one space between them."""
     raw = raw_bytes(text)
     starts, ends = word_bounds(raw)
     gone = np.zeros(len(starts) + 1, np.int64)
-    if places or later:
-        p = np.concatenate([np.asarray(places, np.int64), *(np.frombuffer(x, np.int64) for x in later)])
+    if places:
+        p = np.concatenate([np.frombuffer(x, np.int64) for x in places])
         at = np.unique(p[(p & 0xFFFF) == tag] >> 16)
         np.add.at(gone, at, 1)
         np.add.at(gone, np.minimum(at + window, len(starts)), -1)
@@ -213,13 +277,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
     # both joins take the same two columns, so that the texts are shuffled once
     keyed = docs.select(doc_key(F.col("doc_id"), text).alias("_key"), text.alias("text"))
     tag = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("_tag")
-    near = keyed.join(repeated_anchors(keyed, window, period), "_key").select("_key", tag, "text", "_anchors", "_more")
-    joined = keyed.join(repeated_windows(near, window, period), "_key", "left").select("_key", tag, "text", "_places", "_later")
+    near = keyed.join(repeated_anchors(keyed, window, period), "_key").select("_key", tag, "text", "_settled")
+    joined = keyed.join(repeated_windows(near, window, period), "_key", "left").select("_key", tag, "text", "_settled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            columns = (batch.column(c).to_pylist() for c in ("text", "_places", "_later", "_tag"))
-            done = [kept_text(t, p, more, tag, window) for t, p, more, tag in zip(*columns, strict=True)]
+            columns = (batch.column(c).to_pylist() for c in ("text", "_settled", "_tag"))
+            done = [kept_text(t, p, tag, window) for t, p, tag in zip(*columns, strict=True)]
             n, gone, kept = zip(*done, strict=True)
             ids = [k if k < 1 << 62 else None for k in batch.column("_key").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
