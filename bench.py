@@ -50,6 +50,9 @@ def main() -> None:
         "fold_and_risk": lambda: drain(risk_scores(scored_firings(materialise(alert_positions(alerts), "positions")))),
         "score_match": lambda: drain(V.matched_alerts(events, response.stored, x.now, WINDOW, TOLERANCE)),
         "archive_days": lambda: L.write_days(events, f"{_scratch(spark)}/bench"),
+        "schema_conformance": lambda: drain(named["schema_conformance"](spark, SF_DIR)),
+        "daily_maintenance": lambda: drain(named["daily_maintenance"](spark, SF_DIR)),
+        "compact_day": lambda: drain(named["compact_day"](spark, SF_DIR)),
         "brute_force_hunt": lambda: drain(named["brute_force_hunt"](spark, SF_DIR)),
         "noisy_sources": lambda: drain(named["noisy_sources"](spark, SF_DIR)),
         "scan_full": lambda: archive.agg(F.count("*")).collect(),

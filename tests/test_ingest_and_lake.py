@@ -174,7 +174,8 @@ def test_retention(spark, tmp_path):
 
 def test_daily_job(spark, tmp_path):
     ev, dead = day_events(spark), spark.createDataFrame([], DEAD_LETTER)
-    checks = quality.quality_checks(ev, dead, ev.limit(0), at(0))
+    newest = ev.agg(F.max("ts")).first()[0]
+    checks = quality.quality_checks(ev, dead, ev.limit(0), F.lit(newest))
     done = lake.daily_maintenance(ev, checks, DAY, str(tmp_path), side_jobs={"rows": ev.count})
     assert done["archived"] and done["verified"] and done["rows"] == 52 and "freshness_seconds" not in done["liveness"]
     assert lake.daily_maintenance(ev, checks, dt.date(2020, 1, 1), str(tmp_path)) == {"liveness": done["liveness"], "archived": False}
