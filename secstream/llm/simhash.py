@@ -14,8 +14,8 @@ Fingerprints within ``radius`` bits of each other are linked; a document's compo
 * A bucket with more than MOST_IN_BUCKET fingerprints is not paired. Its members write all values within
   radius/2 bits of their own instead; two of them share such a value exactly if they are within the radius,
   so linking every member to the smallest at each shared value connects the same components without pairs.
-* The pipeline's stage asks for five-word shingles and a similarity of 0.8, which takes more bits and a wider
-  radius; the same probing runs on a fingerprint of word pairs and a 256-bit one decides.
+* The pipeline's stage asks for five-word shingles and a similarity of 0.8. Minima over the shingle sets find the
+  candidates, 256 SimHash bits with a wide margin thin them out, and the exact shingle sets decide.
 * Components come from alternating large-star and small-star steps over written tables.
 """
 
@@ -278,21 +278,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most_in_bucket: int =
 
 #: Words of a shingle and the share of shingles in common that make two texts near duplicates.
 WORDS, SIMILARITY = 5, 0.8
-#: The index is over SimHash bits of word pairs: an edit touches two pairs but five long shingles, so that texts
-#: with the similarity above lie within INDEX_RADIUS bits.
-INDEX_SHINGLE, INDEX_RADIUS = 2, 8
-#: A link is decided on SimHash bits of the long shingles, four longs of them.
-_WIDE = 4
-STAR_ROUNDS = 3
-_NODE = ("_key", "_fp", *(f"_w{k}" for k in range(_WIDE)))
+#: Candidates share one of BANDS values, each made of ROWS minima over the shingle set; at SIMILARITY all BANDS
+#: miss in (1 - 0.8 ** 8) ** 64 = 8e-6 of the pairs, whatever the shape of the edit.
+BANDS, ROWS = 64, 8
+#: 256 SimHash bits of the shingle set, four longs, and the standard deviations above the mean at SIMILARITY up
+#: to which they let a candidate pass. Shingle sets decide.
+_WIDE, DEVIATIONS = 4, 6
+_WIDE_NAMES = [f"_w{k}" for k in range(_WIDE)]
+#: Centres of a bucket; a value is turned by one of these before the nearest digest is taken.
+_TURNS = [_signed(int(x)) for x in np.random.default_rng(SEED).integers(0, 1 << 64, 3, np.uint64)]
+_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+#: Shingles whose products with all factors are held at once.
+_ROWS_AT_ONCE = 128
 
 
 def most_bits() -> int:
-    """Bits of the wide fingerprint in which texts of SIMILARITY differ at most: the expected share, from the
-    angle between their shingle vectors, and one standard deviation."""
+    """Bits of the wide fingerprint in which candidates differ at most: the expected share at SIMILARITY, from
+    the angle between the shingle vectors, and DEVIATIONS standard deviations."""
     share = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
     bits = 64 * _WIDE
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -303,66 +308,108 @@ def _majority(hashes: np.ndarray) -> int:
     return _signed(sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(hashes))))
 
 
-def wide_fingerprint(text: str | None) -> tuple[int, ...]:
-    """64 SimHash bits of the word pairs and 256 of the five-word shingles, lower case; zeros without words."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of the distinct five-word shingles, lower case, in order; of a shorter text the whole is one."""
     raw = _LOWER[raw_bytes(text)]
     words = word_hashes(raw, *word_bounds(raw))
-    if not len(words):
-        return (0,) * (1 + _WIDE)
-    long = window_hashes(words, min(WORDS, len(words)))
-    pairs = window_hashes(words, min(INDEX_SHINGLE, len(words)))
-    return (_majority(pairs), *(_majority(mix(long + np.uint64(k + 1))) for k in range(_WIDE)))
+    return np.unique(window_hashes(words, min(WORDS, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
-def _wide_fingerprints(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([wide_fingerprint(x) for x in text], columns=list(_NODE[1:]))
+def band_values(shingles: np.ndarray) -> np.ndarray:
+    """BANDS values; two sets share each with a probability of their similarity to the power of ROWS."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    short, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(short), _ROWS_AT_ONCE):
+        np.minimum(least, (short[lo : lo + _ROWS_AT_ONCE, None] * _FACTORS).min(axis=0), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        out = mix(out + least[k::ROWS])
+    return out.view(np.int64)
 
 
-def similar_links(nodes: DataFrame, n: int) -> DataFrame:
-    """(_u, _v): keys of ``nodes`` (_NODE) whose links connect all that are similar.
+def _digest(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)) if len(shingles) else 0
 
-    Members of a dense group are first linked to a few centres, one per bucket and round; pairs that are
-    connected by then are left out of the full probe, so that a group of many near copies does not write
-    all its pairs.
+
+def _set_prints(text: pd.Series) -> pd.DataFrame:
+    """Digest of the shingle set, the wide bits and the band values; a digest of 0 without words."""
+    rows = []
+    for x in text:
+        s = shingle_set(x)
+        rows.append((_digest(s), *(_majority(mix(s + np.uint64(k + 1))) for k in range(_WIDE)), band_values(s)))
+    return pd.DataFrame(rows, columns=["_d", *_WIDE_NAMES, "_bands"])
+
+
+def _sets(text: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(x) for x in text]
+    return pd.DataFrame({"_d": [_digest(s) for s in sets], "_s": [s.view(np.int64) for s in sets]})
+
+
+def _common(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (_u, _v) of digests whose shingle sets, in ``sets`` (_d, _s), have SIMILARITY or more in common."""
+    size = F.size("_s")
+    both = pairs.join(sets.select(F.col("_d").alias("_u"), F.col("_s").alias("_a"), size.alias("_na")), "_u")
+    both = both.join(sets.select(F.col("_d").alias("_v"), F.col("_s").alias("_b"), size.alias("_nb")), "_v")
+    both = both.filter(F.least("_na", "_nb") >= SIMILARITY * F.greatest("_na", "_nb"))
+    both = both.withColumn("_both", F.pandas_udf(_common, T.LongType())("_a", "_b"))
+    return both.filter(F.col("_both") >= SIMILARITY * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("_u", "_v")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_u, _v): links that connect all similar ``nodes`` (_d, _key, the wide bits, _bands); ``texts`` (_key, text).
+
+    Members of a bucket are first compared with a few centres of it; pairs that are connected by then are left
+    out of the full comparison, so that a group of many near copies does not write all its pairs.
     """
-    sample = [r._fp for r in nodes.select("_fp").distinct().orderBy(F.xxhash64("_fp"), "_fp").limit(SAMPLE).collect()]
-    parts = plan_parts(sample, n, INDEX_RADIUS)
-    wide = " + ".join(f"bit_count(a._w{k} ^ b._w{k})" for k in range(_WIDE))
-    similar = f"bit_count(a._fp ^ b._fp) <= {INDEX_RADIUS} AND {wide} <= {most_bits()}"
-    same = "a._part = b._part AND a._value = b._value"
-
-    stars = None
-    for k in range(STAR_ROUNDS):
-        index = _signatures(nodes, parts, False)
-        centre = index.groupBy("_part", "_value").agg(F.min(F.struct(F.xxhash64("_key", F.lit(k)), *_NODE)).alias("_c"), F.count("*").alias("_n")).filter("_n > 1")
-        centre = materialise(centre.select("_part", "_value", *(F.col(f"_c.{c}").alias(c) for c in _NODE)), "centres")
-        star = index.alias("a").join(centre.alias("b"), F.expr(f"{same} AND a._key <> b._key AND {similar}")).select(F.col("a._key").alias("_u"), F.col("b._key").alias("_v"))
-        stars = star if stars is None else stars.union(star)
-    stars = materialise(stars.distinct(), "star-links")
+    rows = nodes.select("_d", F.explode("_bands").alias("_value"))
+    met = rows.groupBy("_value").agg(F.count("*").alias("_n")).filter("_n > 1").select("_value")
+    shared = materialise(rows.join(met, "_value").select("_value", "_d"), "shared-bands")
+    keys = nodes.select("_d", "_key").join(shared.select("_d").distinct(), "_d").select("_key").distinct()
+    kind = T.StructType([T.StructField("_d", T.LongType()), T.StructField("_s", T.ArrayType(T.LongType()))])
+    sets = texts.join(keys, "_key", "left_semi").select(F.pandas_udf(_sets, kind)("text").alias("_f")).select("_f.*")
+    sets = materialise(sets.groupBy("_d").agg(F.first("_s").alias("_s")), "shingle-sets")
+
+    turned = [F.min(F.expr(f"_d ^ _value ^ {t}L")).alias(f"_c{k}") for k, t in enumerate(_TURNS)]
+    centre = F.array(*(F.expr(f"_c{k} ^ _value ^ {t}L") for k, t in enumerate(_TURNS)))
+    centres = shared.groupBy("_value").agg(*turned).select("_value", F.explode(F.array_distinct(centre)).alias("_c"))
+    star = shared.join(centres, "_value").filter("_d <> _c")
+    star = star.select(F.greatest("_d", "_c").alias("_u"), F.least("_d", "_c").alias("_v")).distinct()
+    stars = materialise(similar(materialise(star, "star-pairs"), sets), "star-links")
     group = components(stars)
-    grouped = materialise(nodes.join(group, F.col("_key") == F.col("_node"), "left").select(*_NODE, F.coalesce("_root", "_key").alias("_group")), "grouped")
-    probe, index = _signatures(grouped, parts, True).alias("a"), _signatures(grouped, parts, False).alias("b")
-    pairs = probe.join(index, F.expr(f"{same} AND a._key > b._key AND a._group <> b._group AND {similar}"))
-    return pairs.select(F.col("a._key").alias("_u"), F.col("b._key").alias("_v")).union(stars).distinct()
+    grouped = nodes.join(group, F.col("_d") == F.col("_node"), "left").select("_d", *_WIDE_NAMES, F.coalesce("_root", "_d").alias("_group"))
+    placed = materialise(shared.join(grouped, "_d"), "placed-bands")
+    wide = " + ".join(f"bit_count(a.{w} ^ b.{w})" for w in _WIDE_NAMES)
+    near = F.expr(f"a._value = b._value AND a._d > b._d AND a._group <> b._group AND {wide} <= {most_bits()}")
+    pairs = placed.alias("a").join(placed.alias("b"), near).select(F.col("a._d").alias("_u"), F.col("b._d").alias("_v")).distinct()
+    return similar(materialise(pairs, "pairs"), sets).union(stars).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, all columns unchanged: the one with the smallest id.
 
-    Texts are similar if their five-word shingles are, at SIMILARITY or more as SimHash estimates it; groups
-    are what similar pairs connect. Texts without words, null and empty ones among them, are one group. Rows
-    without an id come last, by their text. Of repeated rows one stays.
+    Texts are similar if their sets of five-word shingles have SIMILARITY or more in common; groups are what
+    similar pairs connect. Texts without words, null and empty ones among them, are one group. Rows without an
+    id come last, by their text. Of repeated rows one stays; an id with several texts stays with each that is
+    the first of its group.
     """
     keyed = packed(docs).select("_row", "text", doc_key(F.col("doc_id"), F.col("text")).alias("_key"))
-    kind = T.StructType([T.StructField(c, T.LongType()) for c in _NODE[1:]])
-    prints = materialise(keyed.select("_key", F.pandas_udf(_wide_fingerprints, kind)("text").alias("_f")).select("_key", "_f.*"), "wide-prints")
-    nodes = materialise(prints.groupBy(*_NODE[1:]).agg(F.min("_key").alias("_key")).select(*_NODE), "nodes")
-    found = components(similar_links(nodes, nodes.count()))
-    dropped = found.filter("_node <> _root").select(F.col("_node").alias("_key"))
-    first = nodes.select("_key").join(dropped, "_key", "left_anti")
-    kept = keyed.select("_row", "_key", F.xxhash64("text").alias("_text")).join(materialise(first, "kept"), "_key", "left_semi")
-    one = Window.partitionBy("_key").orderBy("_text")
-    return unpacked(kept.withColumn("_rank", F.row_number().over(one)).filter("_rank = 1"))
+    kind = T.StructType([*(T.StructField(c, T.LongType()) for c in ("_d", *_WIDE_NAMES)), T.StructField("_bands", T.ArrayType(T.LongType()))])
+    prints = keyed.select("_key", F.xxhash64("text").alias("_text"), F.pandas_udf(_set_prints, kind)("text").alias("_f"))
+    prints = materialise(prints.select("_key", "_text", "_f.*"), "set-prints")
+    nodes = materialise(prints.groupBy("_d").agg(F.min("_key").alias("_key"), *(F.first(c).alias(c) for c in (*_WIDE_NAMES, "_bands"))), "nodes")
+    found = components(similar_links(nodes, keyed.select("_key", "text")))
+    placed = nodes.select("_d", "_key").join(found, F.col("_d") == F.col("_node"), "left").select("_d", "_key", F.coalesce("_root", "_d").alias("_root"))
+    first = placed.groupBy("_root").agg(F.min("_key").alias("_key"))
+    chosen = placed.join(first, ["_root", "_key"]).groupBy("_root", "_key").agg(F.min("_d").alias("_d"))
+    kept = prints.select("_key", "_d", "_text").join(chosen, ["_key", "_d"]).groupBy("_key", "_d").agg(F.min("_text").alias("_text"))
+    rows = keyed.withColumn("_text", F.xxhash64("text")).join(materialise(kept.select("_key", "_text"), "kept"), ["_key", "_text"], "left_semi")
+    one = Window.partitionBy("_key", "_text").orderBy(F.lit(0))
+    return unpacked(rows.withColumn("_rank", F.row_number().over(one)).filter("_rank = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:

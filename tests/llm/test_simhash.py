@@ -125,6 +125,48 @@ def test_wide_link_matches_the_similarity(spark):
     assert all(100 + k in kept for k in far)
 
 
+def pair(shape, k, share):
+    """A text of 300 words and one with about ``share`` of its five-word shingles in common, and their similarity."""
+    words, r = prose(10_000 + k, 300).split(), random.Random(k)
+    if shape == "appended":
+        other = words + prose(20_000 + k, round(296 / share) - 296).split()
+    elif shape == "cut":
+        other = words[: 4 + round(296 * share)]
+    else:
+        other = list(words)
+        while True:
+            at = r.randrange(300)
+            changed = [*other[:at], f"e{k}x{at}", *other[at + 1 :]]
+            if jaccard(words, changed) < share:
+                break
+            other = changed
+    return " ".join(words), " ".join(other), jaccard(words, other)
+
+
+def jaccard(words, other):
+    a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words, other))
+    return len(a & b) / len(a | b)
+
+
+def test_all_pairs_at_the_similarity_are_found_and_none_below(spark):
+    """Scattered edits, passages appended and passages cut off, on both sides of 0.8."""
+    rows, want = [], {}
+    for k, (shape, share) in enumerate(itertools.product(["scattered", "appended", "cut"], [0.7, 0.75, 0.785, 0.8, 0.82, 0.85, 0.9])):
+        for j in range(12):
+            n = 100 * k + j
+            a, b, want[n] = pair(shape, n, share)
+            rows += [(n, a), (100_000 + n, b)]
+    kept = {x.doc_id for x in h.keep_one(documents(spark, rows)).collect()}
+    assert set(want) <= kept
+    assert {n for n in want if 100_000 + n not in kept} == {n for n, j in want.items() if j >= h.SIMILARITY}
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    rows = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(2, 60)), (3, prose(2, 60) + " more"), (4, "One two"), (5, "one  TWO"), (None, "one two")]
+    kept = sorted((x.doc_id, x.text) for x in h.keep_one(documents(spark, rows)).collect())
+    assert kept == [(1, rows[0][1]), (2, rows[2][1]), (4, "One two")]
+
+
 def test_empty_tables(spark):
     assert h.near_duplicates(documents(spark, [])).collect() == []
     assert h.keep_one(documents(spark, [])).collect() == []
