@@ -11,14 +11,22 @@ relative misses g. A step needs the K totals only, one aggregate without a shuff
 go into the next step's expression as constants. The smallest total for which no domain has to shrink is
 used, so that mixing repeats documents rather than discards them.
 
+Where posteriors overlap these steps become too slow. Newton steps take over then: the rates nearest to 1 that
+match the targets are max(0, 1 - sum_k m_k p_ik) for K multipliers m, which solve T_k(m) = t_k. A step needs
+the K totals and the K x K sums of n_i p_ik p_il over the rates that are not at the bound, one aggregate again.
+With a bound at which no rates match, a small multiple of m is added to the misses and made smaller until they
+no longer shrink; the remaining miss is logged and kept in ``Mixture.miss``.
+
 Everything is DataFrame expressions. The features are a handful of numbers per document; they are written
 once, because every step reads them. Applying the rates to documents is a map over their rows.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +35,18 @@ from secstream.session import materialise
 
 LABEL = "quality"
 TARGETS = {1: 0.9, 0: 0.1}
-#: Largest relative miss of a domain's total at which the steps end, and the most steps.
+#: Largest relative miss of a domain's total at which the steps end, and the most gradient steps.
 TOLERANCE = 1e-4
-MOST_STEPS = 60
+MOST_STEPS = 200
+#: Gradient steps in a row at whose pace MOST_STEPS would not do, after which Newton steps follow.
+SLOW_STEPS = 3
+#: Weights of the multipliers beside the misses, one after the other, and the share of the squared misses that a
+#: smaller weight has to take away for the next to be tried.
+WEIGHTS = tuple(10.0**-k for k in range(1, 9))
+LEAST_GAIN = 0.1
+#: Newton steps at one weight, the share of the miss at which they end, and the parts of a step that are tried
+#: when the whole makes the misses larger.
+NEWTON_STEPS, INNER_SHARE, HALVED = 20, 0.02, tuple(2.0**-k for k in range(1, 9))
 #: Steps after which the rates are written, so that expressions stay short.
 CUT_EVERY = 10
 FEATURES = ("length", "symbols", "capitals", "distinct", "word_length")
@@ -66,6 +83,7 @@ class Mixture:
     moments: dict[int, list[tuple[float, float]]]  # (mean, variance) of each feature
     steps: list[dict[int, float]] = field(default_factory=list)
     least: float = 0.0  # no rate falls below it
+    miss: dict[int, float] = field(default_factory=dict)  # relative, of each domain's total, after the last step
 
     def posteriors(self, df: DataFrame) -> DataFrame:
         """``df`` with _p0, _p1, ..., one for each domain, adding up to 1."""
@@ -142,19 +160,72 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = LABEL, targets: dict[in
     # the largest change of a relative total for a unit of change in the misses
     both = own.agg(*(F.sum(F.col("_n") * F.col(f"_p{mix.domains.index(a)}") * F.col(f"_p{mix.domains.index(b)}")).alias(f"{a},{b}") for a in wanted for b in wanted)).first()
     step = 1.0 / max(sum(float(both[f"{a},{b}"] or 0.0) for b in wanted) / goal[a] for a in wanted)
+    misses = lambda now: {d: (now[d] - goal[d]) / goal[d] for d in wanted}
+    largest = lambda miss: max(map(abs, miss.values()))
+    mix.miss, slow = misses(now), 0
     for k in range(MOST_STEPS):
-        miss = {d: (now[d] - goal[d]) / goal[d] for d in wanted}
-        if max(map(abs, miss.values())) <= TOLERANCE:
+        if largest(mix.miss) <= TOLERANCE or slow >= SLOW_STEPS:
             break
-        mix.steps.append({d: step * g for d, g in miss.items()})
+        mix.steps.append({d: step * g for d, g in mix.miss.items()})
         rate = mix.stepped(rate, mix.steps[-1])
         if k % CUT_EVERY == CUT_EVERY - 1:
             own_now = materialise(own_now.withColumn("_rate", rate), "mix-rates")
             rate = F.col("_rate")
-        now = totals(rate)
+        before, mix.miss = largest(mix.miss), misses(totals(rate))
+        too_slow = largest(mix.miss) * min(1.0, largest(mix.miss) / before) ** (MOST_STEPS - k - 1) > TOLERANCE
+        slow = slow + 1 if too_slow else 0
+    if largest(mix.miss) > TOLERANCE:
+        multipliers, mix.miss = newton(own, mix, goal)
+        mix.steps = [multipliers]
+    if largest(mix.miss) > TOLERANCE:
+        logging.getLogger(__name__).warning("rates of %s or more cannot match the targets; relative misses left: %s", least, mix.miss)
     return mix
 
 
+def newton(own: DataFrame, mix: Mixture, goal: dict[int, float]) -> tuple[dict[int, float], dict[int, float]]:
+    """Multipliers m for which the rates max(least, 1 - sum_k m_k p_ik) match ``goal``, and the misses left."""
+    names = list(goal)
+    p = [F.col(f"_p{mix.domains.index(d)}") for d in names]
+    t = np.array([goal[d] for d in names])
+
+    def at(*tried: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``tried`` the relative misses, and how fast they fall with each multiplier; one aggregate."""
+        n, sums = len(names), []
+        for m in tried:
+            rate = mix.stepped(F.lit(1.0), dict(zip(names, map(float, m), strict=True)))
+            free = F.when(rate > mix.least, F.col("_n")).otherwise(0)
+            sums += [F.sum(rate * F.col("_n") * x) for x in p] + [F.sum(free * p[a] * p[b]) for a in range(n) for b in range(n)]
+        row = np.array([float(x or 0.0) for x in own.agg(*(x.alias(f"s{k}") for k, x in enumerate(sums))).first()])
+        return [(x[:n] / t - 1, x[n:].reshape(n, n) / t[:, None]) for x in row.reshape(len(tried), n + n * n)]
+
+    m = np.zeros(len(names))
+    [(miss, falls)] = at(m)
+    best, reached, size = m, miss, lambda g: float((t * g**2).sum())
+    for weight in WEIGHTS:
+        for _ in range(NEWTON_STEPS):
+            error = miss - weight * m
+            if abs(error).max() <= max(TOLERANCE / 4, INNER_SHARE * abs(miss).max()):
+                break
+            move = np.linalg.solve(falls + weight * np.eye(len(m)), error)
+            found = None
+            for shares in ((1.0,), HALVED):
+                tried = [m + share * move for share in shares]
+                results = list(zip(tried, at(*tried), strict=True))
+                found = min(results, key=lambda x: size(x[1][0] - weight * x[0]))
+                if size(found[1][0] - weight * found[0]) < size(error):
+                    break
+                found = None
+            if found is None:
+                break
+            m, (miss, falls) = found
+        before = size(reached)
+        if size(miss) < before:
+            best, reached = m, miss
+        if abs(reached).max() <= TOLERANCE or (weight < WEIGHTS[0] and size(reached) > (1 - LEAST_GAIN) * before):
+            break
+    return dict(zip(names, map(float, best), strict=True)), dict(zip(names, map(float, reached), strict=True))
+
+
 def applied(docs: DataFrame, mix: Mixture) -> DataFrame:
     """``docs`` with _key, _n, the posteriors and _rate; 1 for all rows if there were no labels."""
     df = with_features(docs)

@@ -79,3 +79,44 @@ def test_hostile_rows_and_no_labels(spark):
     none = labels.limit(0)
     assert {r.rate for r in m.mixing_rates(docs, none).collect()} == {1.0}
     assert m.mixing_rates(documents(spark, []), none).collect() == []
+
+
+def overlapping(spark, poor_share, n=4_000):
+    """Texts of two kinds whose features overlap, the labels of all, and numbers that a mixture can be fitted to."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    poor = r.random(n) < poor_share
+    odds = np.where(poor, 1.0, -1.0) * 1.5**2 / 2 + 1.5 * r.standard_normal(n) + np.log(poor_share / (1 - poor_share))
+    p = 1 / (1 + np.exp(-odds))
+    words = r.integers(50, 500, n)
+    rows = [(k, int(words[k]), float(p[k]), float(1 - p[k])) for k in range(n)]
+    return spark.createDataFrame(rows, "_key long, _n long, _p0 double, _p1 double"), words[:, None] * np.stack([p, 1 - p], axis=1)
+
+
+def fitted(spark, monkeypatch, poor_share, least):
+    own, x = overlapping(spark, poor_share)
+    mix = m.Mixture([0, 1], {0: 0.5, 1: 0.5}, {0: [], 1: []})
+    monkeypatch.setattr(m, "classifier", lambda *a: mix)
+    monkeypatch.setattr(m, "with_features", lambda docs: docs)
+    monkeypatch.setattr(m, "materialise", lambda df, name="": df.cache())
+    monkeypatch.setattr(m.Mixture, "posteriors", lambda self, df: own)
+    m.fit(spark.createDataFrame([], "doc_id long, text string"), None, least=least)
+    rows = {r._key: r._rate for r in mix.rates(own).collect()}
+    return mix, sum(rows[k] * x[k] for k in range(len(x))), x.sum(axis=0)
+
+
+def test_targets_are_met_where_posteriors_overlap(spark, monkeypatch):
+    for poor_share in (0.3, 0.5):
+        mix, got, before = fitted(spark, monkeypatch, poor_share, 0.0)
+        goal = max(before[0] / 0.1, before[1] / 0.9)
+        assert abs(got[0] / (0.1 * goal) - 1) < 2 * m.TOLERANCE and abs(got[1] / (0.9 * goal) - 1) < 2 * m.TOLERANCE
+
+
+def test_a_miss_that_stays_is_reported(spark, monkeypatch, caplog):
+    mix, got, before = fitted(spark, monkeypatch, 0.3, 1.0)
+    goal = max(before[0] / 0.1, before[1] / 0.9)
+    miss = {0: got[0] / (0.1 * goal) - 1, 1: got[1] / (0.9 * goal) - 1}
+    assert all(abs(mix.miss[d] - miss[d]) < 1e-6 for d in miss)
+    assert 0.001 < max(map(abs, miss.values())) < 0.1
+    assert "cannot match the targets" in caplog.text
