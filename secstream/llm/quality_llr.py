@@ -23,9 +23,6 @@ from secstream.llm.common import blocks, raw_bytes, table, window_hashes, word_b
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-#: Trusted documents that the target multinomial is estimated from, at most; those with the smallest hash of
-#: the id. Their ids are broadcast.
-TRUSTED_DOCS = 20_000
 #: Mean log ratio per n-gram that a document must reach. Ordinary prose lies around zero by construction,
 #: text that the trusted set hardly contains far below.
 THRESHOLD = -0.15
@@ -91,15 +88,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """Up to ``most`` ids labelled good, by the smallest hash."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_trusted_id")).distinct()
-    return good.orderBy(F.xxhash64("_trusted_id"), "_trusted_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled good."""
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_trusted_id")).distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_DOCS) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log P_trusted - log P_raw of every bucket; zero everywhere if no trusted text exists."""
-    marked = docs.join(F.broadcast(trusted_ids(labels, most)), F.col("doc_id").cast("long") == F.col("_trusted_id"), "left")
+    marked = docs.join(trusted_ids(labels), F.col("doc_id").cast("long") == F.col("_trusted_id"), "left")
     rows = gram_counts(marked.select("text", F.col("_trusted_id").isNotNull().alias("trusted"))).collect()
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:
@@ -140,9 +136,9 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COLUMNS)
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRUSTED_DOCS) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Fit on the given tables, then judge every document."""
-    return judge(docs, log_ratios(docs.select("doc_id", "text"), labels, most), threshold)
+    return judge(docs, log_ratios(docs.select("doc_id", "text"), labels), threshold)
 
 
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,12 @@ def test_counts_equal_brute_force(spark):
     assert total == sum(max(0, 2 * len(WORD.findall(t or "")) - 1) for _, t in hostile()[:9])
 
 
+def test_all_good_ids_are_trusted(spark):
+    n = 20_001
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert q.trusted_ids(labels.union(labels)).count() == n
+
+
 def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.score == 0.0 for r in q.quality_verdicts(documents(spark, hostile()[:4]), none).collect())
