@@ -5,9 +5,10 @@ estimated, with add-``SMOOTHING`` smoothing: the raw one from all documents, the
 that ``labels`` calls good. A document's score is the mean log ratio of its n-grams, so length does not
 matter, and one fixed threshold decides every document; nothing is drawn at random.
 
-Counts: every task adds up vectors of a fixed length and emits the non-zero buckets, so the only shuffle has
-as many rows per task as buckets at most, whatever a word's frequency. The two vectors (BUCKETS numbers each)
-are all that reaches the driver and goes back out.
+Counts: every task adds up a vector of a fixed length and emits the non-zero buckets, so what is added up has
+as many rows per task as buckets at most, whatever a word's frequency. The raw counts need no label and read
+the table where it lies; texts are shuffled once, to find the trusted ones. The two vectors (BUCKETS numbers
+each) are all that reaches the driver and goes back out.
 """
 
 from __future__ import annotations
@@ -69,40 +70,42 @@ def dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, raw, trusted) from (text, trusted)."""
+def gram_counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in ``texts`` (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw_n, trusted_n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        seen = np.zeros(BUCKETS, np.int64)
         for batch in blocks(batches):
-            for text, trusted in zip(batch.column("text").to_pylist(), batch.column("trusted").to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
                 raw = raw_bytes(text)
-                n = np.bincount(buckets(word_hashes(raw, *word_bounds(raw))), minlength=BUCKETS)
-                raw_n += n
-                if trusted:
-                    trusted_n += n
-        at = np.flatnonzero(raw_n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw_n[at]), pa.array(trusted_n[at])], ["bucket", "raw", "trusted"])
+                seen += np.bincount(buckets(word_hashes(raw, *word_bounds(raw))), minlength=BUCKETS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
 
-    partial = docs.select("text", "trusted").mapInArrow(run, "bucket long, raw long, trusted long")
-    return partial.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    out = np.zeros(BUCKETS)
+    for r in texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """All ids labelled good."""
-    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_trusted_id")).distinct()
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is labelled good.
+
+    A sort-merge semi-join at every size: the ids are never broadcast, so the plan that is measured on small
+    tables is the one that runs on large ones. Neither side is aggregated in front of it, which lets adaptive
+    execution split an id that many rows share.
+    """
+    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_trusted_id"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").filter("_id IS NOT NULL AND length(text) > 0")
+    return keyed.join(good.hint("merge"), F.col("_id") == F.col("_trusted_id"), "left_semi")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log P_trusted - log P_raw of every bucket; zero everywhere if no trusted text exists."""
-    marked = docs.join(trusted_ids(labels), F.col("doc_id").cast("long") == F.col("_trusted_id"), "left")
-    rows = gram_counts(marked.select("text", F.col("_trusted_id").isNotNull().alias("trusted"))).collect()
-    raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows:
-        raw[r.bucket], trusted[r.bucket] = r.raw, r.trusted
+    trusted = gram_counts(trusted_texts(docs, labels))
     if not trusted.sum():
         return np.zeros(BUCKETS)
-    p, q = trusted + SMOOTHING, raw + SMOOTHING
+    p, q = trusted + SMOOTHING, gram_counts(docs) + SMOOTHING
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
@@ -110,7 +113,8 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     """COLUMNS for every row of ``docs`` (doc_id, text).
 
     Null and empty texts have no words, fail the base rules and are not kept; their score is 0. Repeated
-    rows and ids each give their own row; a null id stays null; other columns are ignored.
+    rows and ids each give their own row; a null id stays null; other columns are ignored. An empty table
+    gives no rows. A very long text is one row like any other: all its words count, in blocks of bytes.
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
@@ -137,7 +141,12 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Fit on the given tables, then judge every document."""
+    """Fit on the given tables, then judge every document.
+
+    Rows and nulls as in ``judge``. Without labels, without good ones or with none of their documents present,
+    every score is 0 and the base rules decide. Rows without an id are never trusted; of rows that share a
+    trusted id each counts.
+    """
     return judge(docs, log_ratios(docs.select("doc_id", "text"), labels), threshold)
 
 

@@ -45,15 +45,22 @@ def test_ratio_prefers_trusted_text_and_is_the_mean(spark):
 
 
 def test_counts_equal_brute_force(spark):
-    docs = documents(spark, hostile()[:9]).selectExpr("text", "doc_id = 3 AS trusted")
-    total = sum(r.raw for r in q.gram_counts(docs).collect())
+    total = q.gram_counts(documents(spark, hostile()[:9])).sum()
     assert total == sum(max(0, 2 * len(WORD.findall(t or "")) - 1) for _, t in hostile()[:9])
 
 
-def test_all_good_ids_are_trusted(spark):
+def test_every_trusted_row_counts_once(spark):
     n = 20_001
-    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
-    assert q.trusted_ids(labels.union(labels)).count() == n
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").union(spark.createDataFrame([(None, 1, 0)], "doc_id long, quality int, toxic int"))
+    docs = documents(spark, [(k, f"w{k}") for k in range(0, n + 500, 100)] + [(5, "a b"), (5, "a b"), (None, "x"), (7, None), (8, "")])
+    found = q.trusted_texts(docs, labels.union(labels))
+    assert sorted(r._id for r in found.collect()) == sorted([*range(0, n, 100), 5, 5])
+
+
+def test_texts_are_never_broadcast_nor_ids(spark):
+    docs, labels = documents(spark, hostile()), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    plan = q.trusted_texts(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
 def test_no_labels_and_no_documents(spark):
