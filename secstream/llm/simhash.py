@@ -15,7 +15,8 @@ Fingerprints within ``radius`` bits of each other are linked; a document's compo
   radius/2 bits of their own instead; two of them share such a value exactly if they are within the radius,
   so linking every member to the smallest at each shared value connects the same components without pairs.
 * The pipeline's stage asks for five-word shingles and a similarity of 0.8. Minima over the shingle sets find the
-  candidates, 256 SimHash bits with a wide margin thin them out, and the exact shingle sets decide.
+  candidates, 256 SimHash bits with a wide margin thin them out, and the exact shingle sets decide. Buckets are
+  worked through centre by centre, so that a group of near copies costs its size times a few rounds.
 * Components come from alternating large-star and small-star steps over written tables.
 """
 
@@ -285,8 +286,8 @@ BANDS, ROWS = 64, 8
 #: to which they let a candidate pass. Shingle sets decide.
 _WIDE, DEVIATIONS = 4, 6
 _WIDE_NAMES = [f"_w{k}" for k in range(_WIDE)]
-#: Centres of a bucket; a value is turned by one of these before the nearest digest is taken.
-_TURNS = [_signed(int(x)) for x in np.random.default_rng(SEED).integers(0, 1 << 64, 3, np.uint64)]
+#: Members of a bucket that are compared in full; larger buckets go by centres.
+SMALL = 8
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 #: Shingles whose products with all factors are held at once.
 _ROWS_AT_ONCE = 128
@@ -360,11 +361,16 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("_both") >= SIMILARITY * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("_u", "_v")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(_u, _v): links that connect all similar ``nodes`` (_d, _key, the wide bits, _bands); ``texts`` (_key, text).
+def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
+    """(_u, _v): links that connect similar ``nodes`` (_d, _key, the wide bits, _bands); ``texts`` (_key, text).
 
-    Members of a bucket are first compared with a few centres of it; pairs that are connected by then are left
-    out of the full comparison, so that a group of many near copies does not write all its pairs.
+    Members of a bucket are not paired with each other. In every round each bucket that still holds several
+    groups takes one more centre and verifies the members of the other groups against it: first the member that
+    comes first in a fixed random order, the same order in all buckets, later the one with most links so far, as
+    the text that a group of edited copies derives from is similar to all of them where two copies may not be. So
+    a round writes a row per open member at most. Buckets of SMALL members or fewer are compared in full. Rounds
+    end when one connects nothing; with ``exact`` they go on until every pair of open groups that shares a bucket
+    has been looked at, which costs the square of a bucket of dissimilar texts.
     """
     rows = nodes.select("_d", F.explode("_bands").alias("_value"))
     met = rows.groupBy("_value").agg(F.count("*").alias("_n")).filter("_n > 1").select("_value")
@@ -374,35 +380,54 @@ def similar_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     sets = texts.join(keys, "_key", "left_semi").select(F.pandas_udf(_sets, kind)("text").alias("_f")).select("_f.*")
     sets = materialise(sets.groupBy("_d").agg(F.first("_s").alias("_s")), "shingle-sets")
 
-    turned = [F.min(F.expr(f"_d ^ _value ^ {t}L")).alias(f"_c{k}") for k, t in enumerate(_TURNS)]
-    centre = F.array(*(F.expr(f"_c{k} ^ _value ^ {t}L") for k, t in enumerate(_TURNS)))
-    centres = shared.groupBy("_value").agg(*turned).select("_value", F.explode(F.array_distinct(centre)).alias("_c"))
-    star = shared.join(centres, "_value").filter("_d <> _c")
-    star = star.select(F.greatest("_d", "_c").alias("_u"), F.least("_d", "_c").alias("_v")).distinct()
-    stars = materialise(similar(materialise(star, "star-pairs"), sets), "star-links")
-    group = components(stars)
-    grouped = nodes.join(group, F.col("_d") == F.col("_node"), "left").select("_d", *_WIDE_NAMES, F.coalesce("_root", "_d").alias("_group"))
-    placed = materialise(shared.join(grouped, "_d"), "placed-bands")
-    wide = " + ".join(f"bit_count(a.{w} ^ b.{w})" for w in _WIDE_NAMES)
-    near = F.expr(f"a._value = b._value AND a._d > b._d AND a._group <> b._group AND {wide} <= {most_bits()}")
-    pairs = placed.alias("a").join(placed.alias("b"), near).select(F.col("a._d").alias("_u"), F.col("b._d").alias("_v")).distinct()
-    return similar(materialise(pairs, "pairs"), sets).union(stars).distinct()
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
+    wide = " + ".join(f"bit_count({w} ^ _c{w})" for w in _WIDE_NAMES)
+    member = nodes.select("_d", *_WIDE_NAMES).withColumn("_group", F.col("_d")).withColumn("_links", F.lit(0))
+    open_, tried, found = shared.withColumn("_tried", F.lit(False)), None, None
+    while True:
+        placed = materialise(open_.join(member, "_d"), "placed-bands")
+        bucket = placed.groupBy("_value").agg(
+            F.count("*").alias("_n"),
+            (F.min("_group") < F.max("_group")).alias("_several"),
+            F.max_by(F.struct(F.col("_d").alias("_c"), F.col("_group").alias("_cgroup"), *(F.col(w).alias(f"_c{w}") for w in _WIDE_NAMES)), F.when(~F.col("_tried"), F.struct("_links", F.xxhash64("_d")))).alias("_centre"),
+        )
+        bucket = bucket.filter("_several AND _centre IS NOT NULL")
+        other = F.expr(f"_d <> _c AND _group <> _cgroup AND {wide} <= {most_bits()}")
+        ahead = placed.join(bucket.filter(f"_n > {SMALL}").select("_value", "_centre.*"), "_value")
+        few = placed.join(bucket.filter(f"_n <= {SMALL}").select("_value"), "_value")
+        centre = few.select("_value", F.col("_d").alias("_c"), F.col("_group").alias("_cgroup"), *(F.col(w).alias(f"_c{w}") for w in _WIDE_NAMES))
+        pairs = ahead.filter(other).select("_d", "_c").union(few.join(centre, "_value").filter(other).filter("_d > _c").select("_d", "_c"))
+        pairs = pairs.select(F.greatest("_d", "_c").alias("_u"), F.least("_d", "_c").alias("_v")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["_u", "_v"], "left_anti")
+        pairs = materialise(pairs, "centre-pairs")
+        links_now = materialise(similar(pairs, sets), "centre-links")
+        tried = pairs if tried is None else tried.union(pairs)
+        connected = links_now.limit(1).count() > 0
+        found = links_now if found is None else found.union(links_now)
+        open_ = materialise(ahead.select("_value", "_d", (F.col("_tried") | (F.col("_d") == F.col("_c"))).alias("_tried")), "open-bands")
+        if open_.limit(1).count() == 0 or not (connected or exact):
+            return found
+        if connected:
+            degree = found.select(F.explode(F.array("_u", "_v")).alias("_d")).groupBy("_d").agg(F.count("*").cast("int").alias("_links"))
+            root = components(found).select(F.col("_node").alias("_d"), F.col("_root").alias("_group"))
+            member = nodes.select("_d", *_WIDE_NAMES).join(root, "_d", "left").join(degree, "_d", "left")
+            member = materialise(member.select("_d", *_WIDE_NAMES, F.coalesce("_group", "_d").alias("_group"), F.coalesce("_links", F.lit(0)).alias("_links")), "groups")
+
+
+def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:
     """One document of each group of near duplicates, all columns unchanged: the one with the smallest id.
 
     Texts are similar if their sets of five-word shingles have SIMILARITY or more in common; groups are what
     similar pairs connect. Texts without words, null and empty ones among them, are one group. Rows without an
     id come last, by their text. Of repeated rows one stays; an id with several texts stays with each that is
-    the first of its group.
+    the first of its group. An empty table gives no rows. ``exact`` as in ``similar_links``.
     """
     keyed = packed(docs).select("_row", "text", doc_key(F.col("doc_id"), F.col("text")).alias("_key"))
     kind = T.StructType([*(T.StructField(c, T.LongType()) for c in ("_d", *_WIDE_NAMES)), T.StructField("_bands", T.ArrayType(T.LongType()))])
     prints = keyed.select("_key", F.xxhash64("text").alias("_text"), F.pandas_udf(_set_prints, kind)("text").alias("_f"))
     prints = materialise(prints.select("_key", "_text", "_f.*"), "set-prints")
     nodes = materialise(prints.groupBy("_d").agg(F.min("_key").alias("_key"), *(F.first(c).alias(c) for c in (*_WIDE_NAMES, "_bands"))), "nodes")
-    found = components(similar_links(nodes, keyed.select("_key", "text")))
+    found = components(similar_links(nodes, keyed.select("_key", "text"), exact))
     placed = nodes.select("_d", "_key").join(found, F.col("_d") == F.col("_node"), "left").select("_d", "_key", F.coalesce("_root", "_d").alias("_root"))
     first = placed.groupBy("_root").agg(F.min("_key").alias("_key"))
     chosen = placed.join(first, ["_root", "_key"]).groupBy("_root", "_key").agg(F.min("_d").alias("_d"))
@@ -413,7 +438,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Stage: see ``keep_one``."""
+    """Stage: the rows that ``keep_one`` keeps, with all columns of ``docs``, whatever their names.
+
+    Null and empty texts are one group, of which one row stays; an empty table gives an empty result.
+    """
     return keep_one(docs)
 
 

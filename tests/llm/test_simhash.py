@@ -161,6 +161,54 @@ def test_all_pairs_at_the_similarity_are_found_and_none_below(spark):
     assert {n for n in want if 100_000 + n not in kept} == {n for n, j in want.items() if j >= h.SIMILARITY}
 
 
+def edited_copies(n, share, shape):
+    """A text of 150 words and ``n`` copies of it, each edited in its own places down to about ``share``."""
+    base, out = prose(77, 150).split(), []
+    for k in range(n):
+        r, other = random.Random(k), list(base)
+        if shape == "block":
+            at, size = r.randrange(0, 100), max(1, round(146 * (1 - share) / (1 + share)) - 4)
+            other[at : at + size] = [f"b{k}x{j}" for j in range(size)]
+        else:
+            while True:
+                at = r.randrange(150)
+                changed = [*other[:at], f"e{k}x{at}", *other[at + 1 :]]
+                if jaccard(base, changed) < share:
+                    break
+                other = changed
+        out.append((k + 1, " ".join(other)))
+    return [(10**6, " ".join(base)), *out]
+
+
+@pytest.mark.parametrize(("n", "share", "shape"), [(2_000, 0.81, "scattered"), (500, 0.84, "block"), (500, 0.8, "scattered")])
+def test_a_large_group_writes_a_few_rows_a_member(spark, monkeypatch, n, share, shape):
+    """Copies are similar to the text they derive from, mostly not to each other; rows compared grow with the group."""
+    rows, looked_at, plain = edited_copies(n, share, shape), [], h.similar
+
+    def counted(pairs, sets):
+        looked_at.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(h, "similar", counted)
+    base = rows[0][1].split()
+    linked = sum(jaccard(base, t.split()) >= h.SIMILARITY for _, t in rows[1:])
+    kept = {x.doc_id for x in h.keep_one(documents(spark, rows)).collect()}
+    assert linked >= 0.95 * n
+    assert len(kept) - 1 <= n - linked + 0.1 * linked
+    assert sum(looked_at) <= 60 * n
+
+
+def test_the_exact_form_looks_at_all_that_share_a_bucket(spark):
+    rows = edited_copies(120, 0.8, "scattered")
+    near = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if jaccard(x.split(), y.split()) >= h.SIMILARITY}
+    group = {i: i for i, _ in rows}
+    for a, b in near:
+        lo, hi = sorted((group[a], group[b]))
+        group = {i: lo if g == hi else g for i, g in group.items()}
+    kept = {x.doc_id for x in h.keep_one(documents(spark, rows), exact=True).collect()}
+    assert kept == set(group.values())
+
+
 def test_texts_of_one_id_are_judged_each(spark):
     rows = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(2, 60)), (3, prose(2, 60) + " more"), (4, "One two"), (5, "one  TWO"), (None, "one two")]
     kept = sorted((x.doc_id, x.text) for x in h.keep_one(documents(spark, rows)).collect())
