@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from secstream.llm import decontaminate, lines, mixing, quality_llr, secrets, sharding, simhash, substrings, token_counts, toxicity, warc, zones
+from secstream.llm import conversations, decontaminate, lines, mixing, quality_llr, secrets, sharding, simhash, substrings, token_counts, toxicity, warc, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_chunks": warc.op1_warc_chunks,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_crf": toxicity.op8_toxicity_crf,
     "op9_mixing_rates": mixing.op9_mixing_rates,
     "op10_shard_lookup": sharding.op10_shard_lookup,
+    "op11_turn_repair": conversations.op11_turn_repair,
     "op12_zone_clusters": zones.op12_zone_clusters,
     "op13_line_bitmaps": lines.op13_line_bitmaps,
 }
@@ -27,6 +28,7 @@ ORACLES: dict[str, str] = {
     "op1_warc_chunks": warc.ORACLE,
     "op3_secret_trigrams": secrets.oracle(),
     "op4_substring_anchors": substrings.ORACLE,
+    "op11_turn_repair": conversations.ORACLE,
     "op12_zone_clusters": zones.ORACLE,
     "op13_line_bitmaps": lines.ORACLE,
 }
