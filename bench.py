@@ -39,9 +39,9 @@ def main() -> None:
     response = x.response
     archive = x.archive
     named = all_queries()
-    import datetime as dt
-
-    day = dt.date(2024, 1, 10)
+    day = events.agg(F.date_sub(F.to_date(F.max("ts")), 1)).first()[0]
+    split = f"{_scratch(spark)}/split"
+    L.write_days(events, split, rows_per_file=50)  # compaction alone is timed: the day lies in many files
     jobs = {
         "ingest": lambda: drain(G.ingest_batch(messages).good),
         "threshold_rules": lambda: drain(threshold_alerts(events.drop("labels", "raw"), WEEKLY)),
@@ -52,7 +52,7 @@ def main() -> None:
         "archive_days": lambda: L.write_days(events, f"{_scratch(spark)}/bench"),
         "schema_conformance": lambda: drain(named["schema_conformance"](spark, SF_DIR)),
         "daily_maintenance": lambda: drain(named["daily_maintenance"](spark, SF_DIR)),
-        "compact_day": lambda: drain(named["compact_day"](spark, SF_DIR)),
+        "compact_day": lambda: L.compact_day(spark, split, day),
         "brute_force_hunt": lambda: drain(named["brute_force_hunt"](spark, SF_DIR)),
         "noisy_sources": lambda: drain(named["noisy_sources"](spark, SF_DIR)),
         "scan_full": lambda: archive.agg(F.count("*")).collect(),
@@ -62,7 +62,7 @@ def main() -> None:
     times = {}
     for name, job in jobs.items():
         best = None
-        for _ in range(2):
+        for _ in range(1 if name == "compact_day" else 2):
             began = time.perf_counter()
             job()
             took = time.perf_counter() - began

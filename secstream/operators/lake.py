@@ -1,4 +1,9 @@
-"""The Parquet archive: day partitions, verification, compaction, retention, snapshots, reports."""
+"""The Parquet archive: day partitions, verification, compaction, retention, snapshots, reports.
+
+Which day folders are live is named by manifests (``sources/manifest.py``): archiving a day again, compacting it and
+dropping it replace its folders in one step. Rows outside the expected days go to the default partition in the same
+commit; no job ever drops them.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from pyspark.sql import functions as F
 
 from secstream import schema
 from secstream.functions.scalar import as_time, ratio
+from secstream.sources.manifest import NO_VALUE, Live, Manifest
 
 TARGET_FILE_BYTES = 128 << 20
 ARCHIVE_COLUMNS = schema.ARCHIVE.fieldNames()
@@ -43,22 +49,47 @@ def to_archive(ev: DataFrame) -> DataFrame:
     return with_day(ev.withColumn("labels", F.to_json("labels"))).select(*ARCHIVE_COLUMNS, *schema.DAY_PARTS)
 
 
-def write_days(ev: DataFrame, path: str, rows_per_file: int = 1_500_000, compression: str = "zstd") -> None:
+def write_days(
+    ev: DataFrame,
+    path: str,
+    rows_per_file: int = 1_500_000,
+    compression: str = "zstd",
+    expected: tuple[dt.date, dt.date] | None = None,
+    run: str | None = None,
+) -> None:
     """Write the days found in ``ev``, replacing those days and no others.
 
     Rows are range-partitioned by time: a heavy day is spread over several tasks, a light one
     does not get a file from every task, and files hold adjacent times, so that row-group
-    statistics on ``ts`` stay selective.
+    statistics on ``ts`` stay selective. Rows without a time, or outside the ``expected`` days where given, are
+    added to the default partition by the same commit; repeating a ``run`` replaces what it added there.
     """
-    rows = to_archive(ev).repartitionByRange(*schema.DAY_PARTS, "ts").sortWithinPartitions(*schema.DAY_PARTS, "ts")
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", compression)
-        .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy(*schema.DAY_PARTS)
-        .parquet(path)
-    )
+    run, table = run or uuid.uuid4().hex, Manifest(ev.sparkSession, path)
+    rows = to_archive(ev)
+    if expected is not None:
+        inside = F.coalesce(F.to_date("ts").between(F.lit(expected[0]), F.lit(expected[1])), F.lit(False))
+        rows = rows.withColumns({p: F.when(inside, F.col(p)) for p in schema.DAY_PARTS})
+    rows = rows.repartitionByRange(*schema.DAY_PARTS, "ts").sortWithinPartitions(*schema.DAY_PARTS, "ts")
+    new = table.stage(rows, schema.DAY_PARTS, compression=compression, maxRecordsPerFile=rows_per_file)
+    days = {_day_part(f) for f in new if not _is_default(f)}
+
+    def change(now: Live):
+        stays = [(f, r) for f, r in now.folders if (r != run if _is_default(f) else _day_part(f) not in days)]
+        return [*stays, *((f, run) for f in new)], {*now.runs, run}
+
+    table.commit(change)
+
+
+def _day_part(folder: str) -> str:
+    return "/".join(folder.split("/")[1:])
+
+
+def _is_default(folder: str) -> bool:
+    return NO_VALUE in folder
+
+
+def _folder_of(day: dt.date) -> str:
+    return f"year={day.year}/month={day.month}/day={day.day}"
 
 
 def archive_day(ev: DataFrame, day: dt.date, path: str, compression: str = "zstd") -> bool:
@@ -78,8 +109,19 @@ def archive_days(ev: DataFrame, first: dt.date, last: dt.date, path: str, compre
 
 def read_archive(spark: SparkSession, path: str, day: dt.date | None = None) -> DataFrame:
     """All days or one; the schema is explicit, so a column that is absent from old files is null."""
-    rows = spark.read.schema(schema.ARCHIVE_WITH_DAY).option("basePath", path).parquet(path)
-    return rows if day is None else rows.filter(day_between(day, day))
+    wanted = (lambda f: not _is_default(f)) if day is None else (lambda f: _day_part(f) == _folder_of(day))
+    return Manifest(spark, path).read(schema.ARCHIVE_WITH_DAY, wanted)
+
+
+def read_default(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the default partition."""
+    return Manifest(spark, path).read(schema.ARCHIVE_WITH_DAY, _is_default).drop(*schema.DAY_PARTS)
+
+
+def archived_days(spark: SparkSession, path: str) -> list[dt.date]:
+    """The days that the newest manifest names; a listing, never a scan."""
+    found = {_day_part(f) for f, _ in Manifest(spark, path).live().folders if not _is_default(f)}
+    return sorted(dt.date(*(int(p.split("=")[1]) for p in f.split("/"))) for f in found)
 
 
 def _content_hash(rows: DataFrame) -> list[Column]:
@@ -161,19 +203,13 @@ class _Files:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def data_files(self, path: str) -> list[str]:
-        if not self._fs.exists(self._path(path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(path))]
-        return sorted(name for name in names if name.endswith(".parquet"))
+    def sizes(self, path: str) -> list[int]:
+        """Bytes of each data file of a folder."""
+        return [s.getLen() for s in self._fs.listStatus(self._path(path)) if s.getPath().getName().endswith(".parquet")]
 
     def subfolders(self, path: str) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
 
-    def move(self, source: str, target: str) -> None:
-        if not self._fs.rename(self._path(source), self._path(target)):
-            raise OSError(f"could not move {source} to {target}")
-
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -183,14 +219,22 @@ def day_folder(path: str, day: dt.date) -> str:
 
 
 def apply_retention(spark: SparkSession, path: str, as_of: dt.date, retain_days: int = 30, dry_run: bool = True) -> list[dt.date]:
-    """Drop day folders past the retention and return them. The default is to drop nothing.
+    """Drop the days of a manifest table, or the day folders of a plain one, that are past the retention, and return
+    them. The default is to drop nothing; the default partition is never among them.
 
-    Only folder names are looked at, so this costs a listing, never a scan.
+    Only names are looked at, so this costs a listing, never a scan.
     """
     if retain_days < 1:
         raise ValueError("retain_days must be at least 1")
-    files = _Files(spark, path)
     cutoff = as_of - dt.timedelta(days=retain_days)
+    table = Manifest(spark, path)
+    if table.live().number:
+        dropped = [d for d in archived_days(spark, path) if d < cutoff]
+        if dropped and not dry_run:
+            gone = {_folder_of(d) for d in dropped}
+            table.commit(lambda now: ([x for x in now.folders if _day_part(x[0]) not in gone], now.runs))
+        return dropped
+    files = _Files(spark, path)
     dropped = []
     for year in _numbers(files.subfolders(path), "year"):
         for month in _numbers(files.subfolders(f"{path}/year={year}"), "month"):
@@ -210,43 +254,37 @@ def _numbers(names: list[str], part: str) -> list[int]:
 def compact_day(spark: SparkSession, path: str, day: dt.date, target_bytes: int = TARGET_FILE_BYTES) -> dict:
     """Rewrite a day into files of about ``target_bytes``.
 
-    The replacement is written and counted in a staging folder, moved in, and only then the old
-    files go: a crash in between can leave rows twice but can never lose them.
+    The replacement is written and counted first; one manifest then puts it in the place of the old folders, so
+    a reader sees every row once at any moment, and a crash before that changes nothing.
     """
+    table = Manifest(spark, path)
+    old = [f for f, _ in table.live().folders if _day_part(f) == _folder_of(day)]
     files = _Files(spark, path)
-    folder = day_folder(path, day)
-    old = files.data_files(folder)
-    if len(old) <= 1:
-        return {"day": day, "before": len(old), "after": len(old), "compacted": False}
-    rows = spark.read.schema(schema.ARCHIVE).parquet(folder)
-    size = rows.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0]
-    pieces = max(1, -(-size // target_bytes))
-    staging = f"{path}/_compact-{uuid.uuid4().hex}"
+    sizes = [n for f in old for n in files.sizes(f"{path}/data/{f}")]
+    if len(sizes) <= 1:
+        return {"day": day, "before": len(sizes), "after": len(sizes), "compacted": False}
+    rows = table.read(schema.ARCHIVE_WITH_DAY, set(old).__contains__)
+    pieces = max(1, -(-sum(sizes) // target_bytes))
     arranged = rows.repartitionByRange(pieces, "ts") if pieces > 1 else rows.repartition(1)
-    arranged.sortWithinPartitions("ts").write.option("compression", "zstd").parquet(staging)
-    expected, written = rows.count(), spark.read.parquet(staging).count()
+    new = table.stage(arranged.sortWithinPartitions("ts"), schema.DAY_PARTS, compression="zstd")
+    expected, written = rows.count(), table.spark.read.schema(schema.ARCHIVE).parquet(*(f"{path}/data/{f}" for f in new)).count()
     if expected != written:
-        files.remove(staging)
         raise RuntimeError(f"compaction of {day} wrote {written} of {expected} rows")
-    new = files.data_files(staging)
-    for name in new:
-        files.move(f"{staging}/{name}", f"{folder}/compacted-{name}")
-    for name in old:
-        files.remove(f"{folder}/{name}")
-    files.remove(staging)
-    return {"day": day, "before": len(old), "after": len(new), "rows": written, "compacted": True}
+    if not table.swap(old, new, f"compact-{day}"):
+        return {"day": day, "before": len(sizes), "after": len(sizes), "compacted": False}
+    after = sum(len(files.sizes(f"{path}/data/{f}")) for f in new)
+    return {"day": day, "before": len(sizes), "after": after, "rows": written, "compacted": True}
 
 
 def pruning_report(archive: DataFrame, day: dt.date) -> DataFrame:
-    """Files and rows that a full scan, a partition filter and a filter on the time touch."""
+    """Rows that a full scan, a partition filter and a filter on the time give, and the files that hold them."""
     start = F.lit(day).cast("timestamp")
     on_time = (F.col("ts") >= start) & (F.col("ts") < start + F.expr("INTERVAL 1 DAY"))
     variants = {"full_scan": archive, "partition_filter": archive.filter(day_between(day, day)), "time_filter": archive.filter(on_time)}
     report = None
     for name, rows in variants.items():
-        line = rows.agg(
-            F.count("*").alias("rows"), F.countDistinct("_metadata.file_path").alias("files_with_rows")
-        ).select(F.lit(name).alias("variant"), "*", F.lit(len(rows.inputFiles())).alias("files_listed"))
+        per_file = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+        line = per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("files_with_rows")).select(F.lit(name).alias("variant"), "*")
         report = line if report is None else report.unionByName(line)
     return report
 
@@ -331,7 +369,7 @@ def daily_maintenance(
     files = _Files(spark, hot_path)
     for old in apply_retention(spark, hot_path, day + dt.timedelta(days=1), retain_days, dry_run=True):
         hot_day = spark.read.schema(schema.T.StructType(schema.FLAT_EVENT)).parquet(day_folder(hot_path, old))
-        safe = bool(_Files(spark, path).data_files(day_folder(path, old))) and verify_archive(hot_day, read_archive(spark, path, old)).agg(F.bool_and("ok")).first()[0]
+        safe = old in archived_days(spark, path) and verify_archive(hot_day, read_archive(spark, path, old)).agg(F.bool_and("ok")).first()[0]
         if safe and not dry_run:
             files.remove(day_folder(hot_path, old))
         result["retention" if safe else "kept_unverified"].append(old)

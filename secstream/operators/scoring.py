@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from secstream.functions.ordered import any_overlap
 from secstream.functions.scalar import after, as_time, f1, ratio, recent, seconds
+from secstream.sources.manifest import Manifest
 
 RUN = ["scenario", "run_id"]
 ENTITY = ["entity_type", "entity_id"]
@@ -121,6 +122,12 @@ def undetected_runs(runs: DataFrame) -> DataFrame:
     return runs.filter(~F.col("detected")).select(*RUN)
 
 
+HISTORY = (
+    "scored_at timestamp, window_hours double, rule_id string, scenario string, true_positives long, false_positives long, "
+    "false_negatives long, precision double, recall double, f1 double"
+)
+
+
 def score_history_rows(rules: DataFrame, scenarios: DataFrame, as_of, window: str) -> DataFrame:
     """Rows of a scoring run in the form of the score history table."""
     none = F.lit(None).cast("double")
@@ -138,5 +145,13 @@ def score_history_rows(rules: DataFrame, scenarios: DataFrame, as_of, window: st
     return per_rule.unionByName(per_scenario)
 
 
-def append_score_history(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append_score_history(rows: DataFrame, path: str, run: str | None = None) -> bool:
+    """Append a scoring run under its key, by default the moment it scored; the same run again adds nothing."""
+    if run is None:
+        head = rows.select("scored_at", "window_hours").first()
+        run = f"{head.scored_at.isoformat()}/{head.window_hours}" if head else "nothing"
+    return Manifest(rows.sparkSession, path).append(rows, run)
+
+
+def read_score_history(spark: SparkSession, path: str) -> DataFrame:
+    return Manifest(spark, path).read(HISTORY)

@@ -316,6 +316,8 @@ SELECT *, concat_ws('|', rule_id, entity_type, entity_id) AS dedupe_key,
   UNION ALL SELECT {ALERT} FROM hijack UNION ALL SELECT {ALERT} FROM deviation)""",
 )
 
+block("job_day", ["ev"], "SELECT CAST(max(ts) AS DATE) - 1 AS d FROM ev")
+
 # --- folding, risk, incidents, response ------------------------------------------------------
 
 block(
@@ -599,9 +601,9 @@ oracle(
 WHERE path IS NOT NULL GROUP BY ALL""",
 )
 oracle(
-    "partition_by_day", ["ev"],
-    """SELECT CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-28' THEN strftime(ts, '%Y-%m-%d') ELSE '_default' END AS "partition",
-  count(*) AS events FROM ev GROUP BY 1""",
+    "partition_by_day", ["ev", "job_day"],
+    """SELECT CASE WHEN CAST(ts AS DATE) BETWEEN d - 26 AND d - 2 THEN strftime(ts, '%Y-%m-%d') ELSE '_default' END AS "partition",
+  count(*) AS events FROM ev, job_day GROUP BY 1""",
 )
 oracle(
     "cloud_audit_ingest", ["rec"],
@@ -610,7 +612,7 @@ oracle(
 )
 oracle("cloud_audit_events", ["cloud"], "SELECT * EXCLUDE (call, k, u) FROM cloud")
 oracle("archive_write", ["days"], "SELECT year, month, day, event_action, count(*) AS events, count(scenario) AS labelled FROM days GROUP BY ALL")
-oracle("archive_scan", ["days"], "SELECT event_id, ts, event_action, user_id, source_ip, day FROM days WHERE day = 10")
+oracle("archive_scan", ["days", "job_day"], "SELECT event_id, ts, event_action, user_id, source_ip, day FROM days, job_day WHERE CAST(ts AS DATE) = d")
 oracle("archive_verify", ["days"], "SELECT year, month, day, count(*) AS source_rows, count(*) AS archive_rows, true AS ok FROM days GROUP BY ALL")
 oracle(
     "publish_baselines", ["base"],
@@ -797,7 +799,7 @@ oracle(
   UNION ALL SELECT 'distinct_users_hourly', 'liveness', 'least', count(DISTINCT user_id), 10 FROM ev, now WHERE ts > now.at - INTERVAL 1 HOUR
   UNION ALL SELECT 'unknown_action_rate', 'correctness', 'most', 0, 0.01
   UNION ALL SELECT 'dead_letters_last_hour', 'correctness', 'most', count(*), 0 FROM dead, now WHERE arrived_at > now.at - INTERVAL 1 HOUR
-  UNION ALL SELECT 'default_partition_rows', 'correctness', 'most', count(*), 0 FROM ev WHERE year(ts) <> 2024)""",
+  UNION ALL SELECT 'default_partition_rows', 'correctness', 'most', count(*), 0 FROM ev, now WHERE CAST(ts AS DATE) < CAST(now.at AS DATE) - 24)""",
 )
 oracle(
     "quality_latest", ["ev"],
@@ -1011,16 +1013,23 @@ oracle(
 oracle("retention_plan", ["days", "now"], "SELECT DISTINCT year, month, day FROM days, now WHERE CAST(ts AS DATE) < CAST(now.at AS DATE) - 20")
 oracle("partition_report", ["days"], "SELECT year, month, day, count(*) AS rows FROM days GROUP BY ALL")
 oracle(
-    "pruning_report", ["days"],
-    """SELECT v AS variant, count(*) FILTER (v = 'full_scan' OR day = 10) AS rows FROM days, (VALUES ('full_scan'), ('partition_filter'), ('time_filter')) AS t(v) GROUP BY 1""",
+    "pruning_report", ["days", "job_day"],
+    """SELECT v AS variant, count(*) FILTER (v = 'full_scan' OR CAST(ts AS DATE) = d) AS rows FROM days, job_day, (VALUES ('full_scan'), ('partition_filter'), ('time_filter')) AS t(v) GROUP BY 1""",
 )
 oracle("compact_day", ["days"], "SELECT year, month, day, count(*) AS rows, count(DISTINCT event_id) AS ids FROM days GROUP BY ALL")
-block("job_day", ["ev"], "SELECT CAST(max(ts) AS DATE) - 1 AS d FROM ev")
 oracle(
     "daily_maintenance", ["ev", "dead", "job_day"],
     """SELECT event_action, CASE WHEN blocked THEN 0 ELSE events END AS events, blocked FROM (
   SELECT event_action, count(*) AS events FROM ev, job_day WHERE CAST(ts AS DATE) = d GROUP BY 1), (
-  SELECT count(*) > 0 AS blocked FROM dead, job_day WHERE arrived_at > d + INTERVAL 11 HOUR AND arrived_at <= d + INTERVAL 12 HOUR)""",
+  SELECT count(*) > 0 AS blocked FROM (
+    SELECT 1 FROM dead, job_day WHERE arrived_at > d + INTERVAL 11 HOUR AND arrived_at <= d + INTERVAL 12 HOUR
+    UNION ALL SELECT 1 FROM ev, job_day WHERE CAST(ts AS DATE) < d - 40 OR CAST(ts AS DATE) > d + 1))""",
+)
+oracle(
+    "default_partition", ["ev", "job_day"],
+    """SELECT strftime(ts, '%Y-%m-%d') AS "partition", count(*) AS events, (SELECT count(*) > 0 FROM ev WHERE source_port % 50 = 7) AS blocked
+FROM ev, job_day WHERE CAST(ts AS DATE) >= d + 1 - 10 GROUP BY 1
+UNION ALL SELECT '_default', count(*), true FROM ev WHERE source_port % 50 = 7 HAVING count(*) > 0""",
 )
 oracle(
     "daily_retention", ["ev", "job_day"],
@@ -1051,5 +1060,6 @@ oracle(
     "cloud_failures", ["rec", "ev"],
     """SELECT 'PARSE_ERROR' AS failure_type, failure_reason, count(*) AS deliveries FROM (
   SELECT 'delivery holds no audit record' AS failure_reason FROM rec WHERE call IS NULL
-  UNION ALL SELECT CASE WHEN k = 50 THEN 'delivery is not JSON' ELSE 'delivery holds no audit record' END FROM ev) GROUP BY 2""",
+  UNION ALL SELECT CASE WHEN k = 50 THEN 'delivery is not JSON' ELSE 'delivery holds no audit record' END
+    FROM ev, range(2) AS t(copy) WHERE copy = 0 OR k % 10 = 4) GROUP BY 2""",
 )
