@@ -288,6 +288,8 @@ _WIDE, DEVIATIONS = 4, 6
 _WIDE_NAMES = [f"_w{k}" for k in range(_WIDE)]
 #: Members of a bucket that are compared in full; larger buckets go by centres.
 SMALL = 8
+#: Pairs of a member that are verified in a round: those that share most buckets.
+TRIES = 2
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 #: Shingles whose products with all factors are held at once.
 _ROWS_AT_ONCE = 128
@@ -361,16 +363,43 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("_both") >= SIMILARITY * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("_u", "_v")
 
 
+def _candidates(placed: DataFrame, number: int, exact: bool) -> DataFrame:
+    """(_d, _c): pairs of one bucket and different labels to look at, from ``placed`` (_value, _d, _label, _links).
+
+    Members of buckets of SMALL or fewer meet each other, those of larger ones meet one centre: in even rounds the
+    first in a random order that all buckets share, in odd ones the one with most links so far.
+    """
+    ahead = F.struct(F.lit(0) if number % 2 == 0 else F.col("_links"), F.xxhash64("_d", F.lit(number)))
+    bucket = placed.groupBy("_value").agg(F.count("*").alias("_n"), F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.max_by(F.struct(F.col("_d").alias("_c"), F.col("_label").alias("_clabel")), ahead).alias("_centre"))
+    bucket = materialise(bucket.filter("_low < _high").select("_value", "_n", "_centre.*"), "buckets")
+    rows = placed.join(bucket, "_value")
+    met = None
+    if not exact:
+        met = rows.filter(f"_n > {SMALL} AND _label <> _clabel").select("_d", "_c")
+        rows = rows.filter(f"_n <= {SMALL}")
+    a, b = rows.select("_value", "_d", "_label"), rows.select("_value", F.col("_d").alias("_c"), F.col("_label").alias("_clabel"))
+    each = a.join(b, "_value").filter("_d > _c AND _label <> _clabel").select("_d", "_c")
+    return each if met is None else met.union(each)
+
+
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after two steps along the links, which is all of a star, and how many links each node has."""
+    edges = materialise(found.select("_u", "_v").union(found.select(F.col("_v").alias("_u"), F.col("_u").alias("_v"))), "label-edges")
+    for _ in range(2):
+        near = edges.join(labels.select(F.col("_d").alias("_v"), "_label"), "_v").groupBy("_u").agg(F.min("_label").alias("_m"), F.count("*").alias("_n"))
+        labels = labels.join(near, F.col("_d") == F.col("_u"), "left").select("_d", F.least("_label", "_m").alias("_label"), F.coalesce("_n", F.lit(0)).alias("_links"))
+    return materialise(labels, "labels")
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
     """(_u, _v): links that connect similar ``nodes`` (_d, _key, the wide bits, _bands); ``texts`` (_key, text).
 
-    Members of a bucket are not paired with each other. In every round each bucket that still holds several
-    groups takes one more centre and verifies the members of the other groups against it: first the member that
-    comes first in a fixed random order, the same order in all buckets, later the one with most links so far, as
-    the text that a group of edited copies derives from is similar to all of them where two copies may not be. So
-    a round writes a row per open member at most. Buckets of SMALL members or fewer are compared in full. Rounds
-    end when one connects nothing; with ``exact`` they go on until every pair of open groups that shares a bucket
-    has been looked at, which costs the square of a bucket of dissimilar texts.
+    Members of a large bucket are not paired with each other. In every round a member meets the centres of its
+    buckets, and of these the TRIES that it shares most buckets with are verified by their shingle sets. What is
+    connected gets one label and is not compared again. The centre with most links matters where copies are
+    edited each in its own way: the text that they derive from is similar to all of them, two copies may not be
+    similar to each other. Rounds end when one connects nothing; each writes rows in proportion to the members.
+    ``exact`` pairs all members of every bucket instead, at the cost of the square of a bucket.
     """
     rows = nodes.select("_d", F.explode("_bands").alias("_value"))
     met = rows.groupBy("_value").agg(F.count("*").alias("_n")).filter("_n > 1").select("_value")
@@ -380,38 +409,27 @@ def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> Da
     sets = texts.join(keys, "_key", "left_semi").select(F.pandas_udf(_sets, kind)("text").alias("_f")).select("_f.*")
     sets = materialise(sets.groupBy("_d").agg(F.first("_s").alias("_s")), "shingle-sets")
 
+    prints = sets.select("_d").join(nodes.select("_d", *_WIDE_NAMES), "_d")
     wide = " + ".join(f"bit_count({w} ^ _c{w})" for w in _WIDE_NAMES)
-    member = nodes.select("_d", *_WIDE_NAMES).withColumn("_group", F.col("_d")).withColumn("_links", F.lit(0))
-    open_, tried, found = shared.withColumn("_tried", F.lit(False)), None, None
+    labels = sets.select("_d", F.col("_d").alias("_label"), F.lit(0).cast("long").alias("_links"))
+    placed = shared.select("*", F.col("_d").alias("_label"), F.lit(0).cast("long").alias("_links"))
+    tried, found, number = None, None, 0
     while True:
-        placed = materialise(open_.join(member, "_d"), "placed-bands")
-        bucket = placed.groupBy("_value").agg(
-            F.count("*").alias("_n"),
-            (F.min("_group") < F.max("_group")).alias("_several"),
-            F.max_by(F.struct(F.col("_d").alias("_c"), F.col("_group").alias("_cgroup"), *(F.col(w).alias(f"_c{w}") for w in _WIDE_NAMES)), F.when(~F.col("_tried"), F.struct("_links", F.xxhash64("_d")))).alias("_centre"),
-        )
-        bucket = bucket.filter("_several AND _centre IS NOT NULL")
-        other = F.expr(f"_d <> _c AND _group <> _cgroup AND {wide} <= {most_bits()}")
-        ahead = placed.join(bucket.filter(f"_n > {SMALL}").select("_value", "_centre.*"), "_value")
-        few = placed.join(bucket.filter(f"_n <= {SMALL}").select("_value"), "_value")
-        centre = few.select("_value", F.col("_d").alias("_c"), F.col("_group").alias("_cgroup"), *(F.col(w).alias(f"_c{w}") for w in _WIDE_NAMES))
-        pairs = ahead.filter(other).select("_d", "_c").union(few.join(centre, "_value").filter(other).filter("_d > _c").select("_d", "_c"))
-        pairs = pairs.select(F.greatest("_d", "_c").alias("_u"), F.least("_d", "_c").alias("_v")).distinct()
+        pairs = _candidates(placed, number, exact).groupBy("_d", "_c").agg(F.count("*").alias("_n"))
         if tried is not None:
-            pairs = pairs.join(tried, ["_u", "_v"], "left_anti")
-        pairs = materialise(pairs, "centre-pairs")
-        links_now = materialise(similar(pairs, sets), "centre-links")
-        tried = pairs if tried is None else tried.union(pairs)
-        connected = links_now.limit(1).count() > 0
+            pairs = pairs.join(tried, F.expr("greatest(_d, _c) = _u AND least(_d, _c) = _v"), "left_anti")
+        if not exact:
+            first = Window.partitionBy("_d").orderBy(F.desc("_n"), F.xxhash64("_c"))
+            pairs = pairs.withColumn("_rank", F.row_number().over(first)).filter(f"_rank <= {TRIES}")
+        pairs = materialise(pairs.select(F.greatest("_d", "_c").alias("_u"), F.least("_d", "_c").alias("_v")).distinct(), "tries")
+        near = pairs.join(prints.select(F.col("_d").alias("_u"), *_WIDE_NAMES), "_u").join(prints.select(F.col("_d").alias("_v"), *(F.col(w).alias(f"_c{w}") for w in _WIDE_NAMES)), "_v")
+        links_now = materialise(similar(near.filter(f"{wide} <= {most_bits()}").select("_u", "_v"), sets), "links-now")
         found = links_now if found is None else found.union(links_now)
-        open_ = materialise(ahead.select("_value", "_d", (F.col("_tried") | (F.col("_d") == F.col("_c"))).alias("_tried")), "open-bands")
-        if open_.limit(1).count() == 0 or not (connected or exact):
+        if exact or links_now.limit(1).count() == 0:
             return found
-        if connected:
-            degree = found.select(F.explode(F.array("_u", "_v")).alias("_d")).groupBy("_d").agg(F.count("*").cast("int").alias("_links"))
-            root = components(found).select(F.col("_node").alias("_d"), F.col("_root").alias("_group"))
-            member = nodes.select("_d", *_WIDE_NAMES).join(root, "_d", "left").join(degree, "_d", "left")
-            member = materialise(member.select("_d", *_WIDE_NAMES, F.coalesce("_group", "_d").alias("_group"), F.coalesce("_links", F.lit(0)).alias("_links")), "groups")
+        tried = pairs if tried is None else tried.union(pairs)
+        labels, number = _relabelled(labels, found), number + 1
+        placed = materialise(shared.join(labels, "_d"), "placed-bands")
 
 
 def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:
