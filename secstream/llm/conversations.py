@@ -3,8 +3,8 @@
 Roles must read ``(s?(ua)+)?`` by their initials. Every row is kept, given another role or deleted, and empty
 user or assistant rows may be inserted; the audit is the string of the edits' initials.
 
-* A depth-first search with an explicit stack works on a piece of at most PIECE rows. Its suffix lower bounds come
-  from the least cost of single rows and of pairs of neighbours, whatever stands before them. The incumbent is the
+* A depth-first search with an explicit stack works on a piece of at most PIECE rows. Its suffix lower bounds are
+  the least costs of the rest from each state of the grammar when nothing but costs counts. The incumbent is the
   best (cost, audit) so far. Each node, a position and a state of the grammar, keeps the best prefix that reached
   it and eliminates all worse ones. The search ends when the stack is empty, which proves the incumbent optimal.
 * Two audits of the same rows, the last row's edit at their end, are never prefixes of each other. So pieces can be
@@ -70,41 +70,30 @@ def edits(state: int, step: tuple[str, int, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def _least(rows: list[tuple[str, int, int]]) -> int:
-    """The least cost of a few rows over all states before them, insertions included."""
-    best = dict.fromkeys(range(4), 0)
-    for row in rows:
-        for _ in range(2):
-            for q, c in list(best.items()):
-                best[_NEXT[q]] = min(best[_NEXT[q]], c + INSERT)
-        after: dict[int, int] = {}
-        for q, c in best.items():
-            for _, cost, to in edits(q, row):
-                after[to] = min(after.get(to, 1 << 30), c + cost)
-        best = dict.fromkeys(range(4), 1 << 30) | after
-    return min(best.values())
+NEVER = 1 << 60
 
 
-_CLASSES = [(kind, keep) for kind in "suax" for keep in (0, CUT)] + [("d", 0)]
-_ONE = {a: _least([(*a, 0)]) for a in _CLASSES}
-_TWO = {(a, b): _least([(*a, 0), (*b, 0)]) for a, b in itertools.product(_CLASSES, repeat=2)}
+def suffix_bounds(steps: Steps, ends: dict[int, tuple[int, str]]) -> list[list[int]]:
+    """For every position and state a cost that the rest has at least; NEVER where no end can be reached.
 
-
-def suffix_bounds(steps: Steps) -> list[int]:
-    """For every position a cost that its rest has at least."""
-    low = [0] * (len(steps) + 1)
-    for i in range(len(steps) - 1, -1, -1):
-        a, extra = steps[i][:2], DELETE * steps[i][2]
-        low[i] = _ONE[a] + extra + low[i + 1]
-        if i + 1 < len(steps):
-            low[i] = max(low[i], _TWO[a, steps[i + 1][:2]] + extra + DELETE * steps[i + 1][2] + low[i + 2])
-    return low
+    Costs alone are looked at, backwards: which of several repairs of equal cost comes first is left to the search.
+    """
+    low = [[ends[q][0] if q in ends else NEVER for q in range(4)]]
+    for step in reversed(steps):
+        after = low[-1]
+        here = [min(cost + after[to] for _, cost, to in edits(q, step)) for q in range(4)]
+        for _ in range(2):  # rows inserted in front of this one
+            here = [min(here[q], INSERT + here[_NEXT[q]]) for q in range(4)]
+        low.append(here)
+    return low[::-1]
 
 
 def search(steps: Steps, enter: int, ends: dict[int, tuple[int, str]]) -> tuple[int, str, int] | None:
     """(cost, audit, last state) of the best edits from state ``enter`` to one of ``ends``; of equal costs the audit
     that is least in ASCII order; None if no end can be reached."""
-    low, n = suffix_bounds(steps), len(steps)
+    low, n = suffix_bounds(steps, ends), len(steps)
+    if low[0][enter] >= NEVER:
+        return None
     best: tuple[int, str, int] | None = None
     reached: dict[tuple[int, int], tuple[int, str]] = {(0, enter): (0, "")}
     stack = [(0, enter, 0, "")]
@@ -113,7 +102,7 @@ def search(steps: Steps, enter: int, ends: dict[int, tuple[int, str]]) -> tuple[
         if reached[i, q] != (cost, audit):
             continue  # a better prefix came here since
         if best is not None:
-            bound = cost + low[i]
+            bound = cost + low[i][q]
             if bound > best[0] or bound == best[0] and audit > best[1][: len(audit)]:
                 continue
         if i == n:
@@ -122,10 +111,12 @@ def search(steps: Steps, enter: int, ends: dict[int, tuple[int, str]]) -> tuple[
                 if best is None or found < best:
                     best = found
             continue
-        options = [(c + low[i + 1], e, i + 1, to, c) for e, c, to in edits(q, steps[i])]
-        options.append((INSERT + low[i], "I", i, _NEXT[q], INSERT))
+        options = [(c + low[i + 1][to], e, i + 1, to, c) for e, c, to in edits(q, steps[i])]
+        options.append((INSERT + low[i][_NEXT[q]], "I", i, _NEXT[q], INSERT))
         options.sort(reverse=True)  # the most promising one is taken off the stack first
-        for _, e, j, to, c in options:
+        for rest, e, j, to, c in options:
+            if rest >= NEVER or best is not None and cost + rest > best[0]:
+                continue
             prefix = (cost + c, audit + e)
             if (j, to) not in reached or prefix < reached[j, to]:
                 reached[j, to] = prefix

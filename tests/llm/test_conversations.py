@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -61,16 +62,23 @@ def test_bounds_are_never_over_the_cost():
     r = random.Random(2)
     for _ in range(200):
         steps = [(k, cut if k != "d" else 0, 0) for k, cut in ((r.choice("suaxd"), r.choice([0, 5])) for _ in range(r.randint(1, 7)))]
-        low = c.suffix_bounds(steps)
-        for i, q in itertools.product(range(len(steps)), range(4)):
-            assert low[i] <= min(x[0] for e in range(4) if (x := c.search(steps[i:], q, {e: (0, "")})))
+        for ends in (c.END, *({q: (0, "")} for q in range(4))):
+            low = c.suffix_bounds(steps, ends)
+            for i, q in itertools.product(range(len(steps)), range(4)):
+                found = c.search(steps[i:], q, ends)
+                assert low[i][q] >= c.NEVER if found is None else low[i][q] <= found[0]
 
 
 def test_long_hard_rows_are_searched_in_time():
-    r = random.Random(3)
-    for kinds in ("ua", "u", "a", "s", "x", "suaxd", "uuaa"):
-        steps = [(k, r.choice([0, 5]) if k != "d" else 0, 0) for k in (r.choice(kinds) for _ in range(c.PIECE))]
-        assert c.search(steps, c.START, c.END) is not None
+    """Every way in and out of pieces of the full length, also where nothing can be kept."""
+    r, began = random.Random(3), time.process_time()
+    for kinds in ("ua", "u", "a", "s", "x", "suaxd", "uuaa", "usua"):
+        for cuts in ([0], [0, 5], [5]):
+            steps = [(k, r.choice(cuts) if k != "d" else 0, 0) for k in (r.choice(kinds) for _ in range(c.PIECE))]
+            assert c.search(steps, c.START, c.END) is not None
+            for before, after in itertools.product(range(4), repeat=2):
+                c.search(steps, before, {after: (0, "")})
+    assert time.process_time() - began < 60
 
 
 @pytest.mark.parametrize("piece", [c.PIECE, 3, 1])
