@@ -28,7 +28,7 @@ from secstream.operators.threshold import (
     as_alerts,
     rule_hits,
 )
-from secstream.streaming.sources import start, write_batch
+from secstream.streaming.sources import reach_package, start, write_batch
 
 # State lifetimes.
 LOGIN_TTL = "2 days"
@@ -156,6 +156,7 @@ def stream_threshold(events: DataFrame, rules: list[Rule]) -> DataFrame:
     The watermark waits for the longest grace of the pack; a rule with a shorter one refuses late
     events itself. State goes when its window has closed.
     """
+    reach_package(events.sparkSession)
     active = {rule.id: rule for rule in rules if rule.enabled}
     delay = max(rule.grace_seconds for rule in active.values())
 
@@ -296,6 +297,7 @@ def stream_travel(
     events: DataFrame, max_gap: str = "1 hour", ttl: str = LOGIN_TTL, delay: str = "1 hour"
 ) -> DataFrame:
     """Impossible travel on a stream, in order of arrival between micro-batches."""
+    reach_package(events.sparkSession)
     logins = events.withWatermark("ts", delay).filter(
         (F.col("event_action") == "user-login") & succeeded()
         & F.col("user_id").isNotNull() & F.col("source_country").isNotNull()
@@ -311,6 +313,7 @@ def stream_hijack(
     events: DataFrame, ttl: str = SESSION_TTL, grace: str = "20 seconds", delay: str = "1 hour"
 ) -> DataFrame:
     """Session hijack on a stream."""
+    reach_package(events.sparkSession)
     from secstream.functions.scalar import network_changed
 
     opens = is_auth() & succeeded()

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from secstream.functions.scalar import seconds, severity_name, severity_rank, severity_weight
 from secstream.operators.risk import CAP, FLOOR, HALF_LIFE
+from secstream.streaming.sources import reach_package
 
 
 def stream_fold(alerts: DataFrame, suppression: str = "30 minutes", delay: str = "1 minute") -> DataFrame:
@@ -84,6 +85,7 @@ class _Risk(StatefulProcessor):
 
 def stream_risk(alerts: DataFrame, half_life: str = HALF_LIFE, cap: float = CAP, suppression: str = "30 minutes") -> DataFrame:
     """Every firing with its occurrence number and the entity's score right after it."""
+    reach_package(alerts.sparkSession)
     rows = alerts.select(
         "entity_type", "entity_id", "dedupe_key", "alert_id",
         F.unix_micros("detected_at").alias("at_us"), severity_weight(F.col("severity")).alias("weight"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+import secstream
 from secstream import schema
+from secstream.session import STREAM_STATE_PROVIDER
 
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str, per_trigger: int = 3_000_000) -> DataFrame:
@@ -55,6 +58,12 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, parts: list[str] | No
     )
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Tell Python workers that are started from now on where this package lies. Processors of keyed state run in
+    workers that look at nothing else; a cluster without shared folders ships the package with ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(secstream.__file__))))
+
+
 def start(
     stream: DataFrame,
     each: Callable[[DataFrame, int], None],
@@ -63,6 +72,24 @@ def start(
     available_now: bool = True,
     mode: str = "append",
 ) -> StreamingQuery:
+    """Start a query that hands every micro-batch to ``each``.
+
+    Keyed state of the library's processors (timers, map state) needs the RocksDB provider, whatever the caller's
+    session says; a query keeps the setting it was started with, so the session gets its own back.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, STREAM_STATE_PROVIDER)
+    try:
+        return _started(stream, each, checkpoint, name, available_now, mode)
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _started(stream, each, checkpoint, name, available_now, mode) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(mode)
     if name:
         writer = writer.queryName(name)
