@@ -34,23 +34,32 @@ def alert_union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def alert_positions(alerts: DataFrame, suppression: str = "30 minutes") -> DataFrame:
+def alert_positions(alerts: DataFrame, suppression: str = "30 minutes", held: DataFrame | None = None) -> DataFrame:
     """Add ``stored_id`` (the alert that opened the row a firing folds into) and ``occurrence``.
 
-    A gap longer than the suppression window on the same dedupe key opens a new row.
+    A gap longer than the suppression window on the same dedupe key opens a new row. ``held`` has the rows that
+    earlier batches left open: ``dedupe_key, stored_id, occurrences, last_detected_at``. Each stands in front of its
+    key as one firing that counts as often as the row has fired.
     """
+    rows = alerts.withColumns({"_times": F.lit(1).cast("long"), "_held": F.lit(None).cast("string")})
+    if held is not None:
+        heads = held.select(
+            "dedupe_key", F.col("last_detected_at").alias("detected_at"), F.lit("").alias("alert_id"),
+            F.col("occurrences").alias("_times"), F.col("stored_id").alias("_held"),
+        )
+        rows = rows.unionByName(heads, allowMissingColumns=True)
     first = running_before(
-        alerts, ["dedupe_key"], "detected_at", ["alert_id"],
-        {"_before": ("sum", F.lit(1)), "_last": ("last", F.col("detected_at"))},
+        rows, ["dedupe_key"], "detected_at", ["alert_id"],
+        {"_before": ("sum", F.col("_times")), "_last": ("last", F.col("detected_at"))},
     ).withColumn("_before", F.coalesce("_before", F.lit(0)))
     opens = F.col("_last").isNull() | (gap_micros(F.col("detected_at"), F.col("_last")) > micros(suppression))
-    opened = F.when(opens, F.struct(F.col("alert_id").alias("id"), F.col("_before").alias("index")))
+    opened = F.when(opens, F.struct(F.coalesce("_held", "alert_id").alias("id"), F.col("_before").alias("index")))
     marked = first.withColumn("_opened", opened)
     carried = running_before(
         marked, ["dedupe_key"], "detected_at", ["alert_id"], {"_open": ("last", F.col("_opened"))}
     )
     row = F.coalesce("_opened", "_open")
-    return carried.select(
+    return carried.filter(F.col("_held").isNull()).select(
         *alerts.columns,
         row["id"].alias("stored_id"),
         (F.col("_before") - row["index"] + 1).cast("long").alias("occurrence"),

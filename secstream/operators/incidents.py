@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from secstream.functions.ordered import sliced_fold, stepwise
+from secstream.functions.ordered import running_before, sliced_fold, stepwise
 from secstream.functions.scalar import at_least, at_most, severity_name, severity_rank
+from secstream.session import materialise
 
 # Statuses, legal moves, and the risk at which an incident opens.
 MOVES = {
@@ -21,18 +22,23 @@ TERMINAL = ["resolved", "false_positive"]
 OPEN_AT = 50
 
 
-def attached_firings(scored: DataFrame, threshold: float = OPEN_AT) -> DataFrame:
+def attached_firings(scored: DataFrame, threshold: float = OPEN_AT, attached_before: DataFrame | None = None) -> DataFrame:
     """Firings that belong to an incident.
 
     A firing warrants an incident by risk or by severity. From the first warranting firing of a
-    stored alert on, all firings of that stored alert are attached.
+    stored alert on, all firings of that stored alert are attached; so are all firings of the stored
+    alerts in ``attached_before`` (``stored_id``), which earlier batches have attached.
     """
     moment = F.struct("detected_at", "alert_id")
     warrants = (F.col("score") >= threshold) | at_least(F.col("severity"), "high")
     since = (
         scored.filter(warrants).groupBy("stored_id").agg(F.min(moment).alias("_since"))
     )
-    return scored.join(since, "stored_id").filter(moment >= F.col("_since")).drop("_since")
+    if attached_before is None:
+        return scored.join(since, "stored_id").filter(moment >= F.col("_since")).drop("_since")
+    known = attached_before.select("stored_id", F.lit(True).alias("_known"))
+    both = scored.join(since, "stored_id", "left").join(known, "stored_id", "left")
+    return both.filter(F.coalesce(F.col("_known"), moment >= F.col("_since"))).drop("_since", "_known")
 
 
 def open_incidents(attached: DataFrame) -> DataFrame:
@@ -70,6 +76,96 @@ def open_incidents(attached: DataFrame) -> DataFrame:
     )
 
 
+_HISTORY = ["entity_type", "entity_id"]
+
+
+def incident_history(attached: DataFrame, requests: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All incidents of each entity, one after the other, and the log of the analysts' requests.
+
+    Attached firings and requests (``entity_type, entity_id, at, seq, to, actor, note``) are taken in one order per
+    entity. A firing opens an incident if none is open, otherwise it joins the open one; a request moves the open
+    one along the legal moves. After a terminal move nothing is open, so the next attached firing opens the next
+    incident. ``before`` has the incidents that earlier batches left, of which the newest of each entity may
+    still be open; the result holds those that this batch has opened or changed and those of ``before``.
+    """
+    rank = severity_rank(F.col("severity"))
+    firings = attached.select(
+        *_HISTORY, F.col("detected_at").alias("at"), F.col("alert_id").alias("seq"), F.lit("new").alias("to"),
+        F.struct("alert_id", "rule_id", "severity", "score", "stored_id").alias("firing"),
+    )
+    asked = F.when(F.col("to") == "new", "refused").otherwise(F.col("to"))
+    asks = requests.select(*_HISTORY, "at", "seq", asked.alias("to"), "actor", "note")
+    events = firings.unionByName(asks, allowMissingColumns=True)
+    # a state that an earlier batch left is entered by a move of its own, open from the beginning only
+    held = {f"held {s}": s for s in MOVES}
+    after = {s: [*to, *(["new"] if s in TERMINAL else [])] for s, to in MOVES.items()}
+    moves = {"none": ["new", *held]} | after | {h: after[s] for h, s in held.items()}
+    newest = None
+    if before is not None:
+        latest = F.struct("opened_at", "incident_id")
+        newest = before.groupBy(*_HISTORY).agg(F.max_by(F.struct("incident_id", "status", "updated_at", "severity"), latest).alias("b"))
+        heads = newest.select(*_HISTORY, F.col("b.updated_at").alias("at"), F.lit("").alias("seq"), F.concat(F.lit("held "), "b.status").alias("to"), F.col("b.incident_id").alias("carried"))
+        events = events.unionByName(heads, allowMissingColumns=True)
+    key = F.to_json(F.struct(*_HISTORY))
+    events = materialise(events.withColumn("_key", key), "incident-events")
+    walked = life_cycle(events.select("_key", "at", "seq", "to"), "_key", moves, "none").drop("to")
+    bare = {c: F.regexp_replace(c, "^held ", "") for c in ("found", "left")}
+    log = materialise(walked.withColumns(bare).join(events, ["_key", "at", "seq"]), "incident-log")
+    opens = F.col("accepted") & ((F.col("to") == "new") | F.col("to").startswith("held "))
+    identity = F.sha2(F.concat_ws("|", F.lit("incident"), *_HISTORY, "seq"), 256)
+    columns = {"carried": F.lit(None).cast("string")} if before is None else {}
+    opened = log.withColumns(columns).withColumn("_opened", F.when(opens, F.coalesce("carried", identity)))
+    named = running_before(opened, ["_key"], "at", ["seq"], {"_open": ("last", F.col("_opened"))})
+    named = named.withColumn("incident_id", F.coalesce("_opened", "_open"))
+
+    moment, first = F.struct("at", "seq"), F.col("firing").isNotNull()
+    severity = severity_rank(F.col("firing.severity"))
+    closing = F.col("accepted") & F.col("left").isin(TERMINAL) & ~F.col("to").startswith("held ")
+    real = ~F.col("to").startswith("held ")
+    of = named.filter(F.col("incident_id").isNotNull()).groupBy(*_HISTORY, "incident_id").agg(
+        F.max_by("left", moment).alias("status"),
+        F.min_by("firing", F.when(first, moment)).alias("_first"),
+        F.max(F.when(severity >= 2, severity)).alias("_grown"),
+        F.max_by("firing.score", F.when(first, moment)).alias("risk_score"),
+        F.min(F.when(first, F.col("at"))).alias("opened_at"),
+        F.max(F.when(real & (first | F.col("accepted")), F.col("at"))).alias("updated_at"),
+        F.max(F.when(closing, F.col("at"))).alias("closed_at"),
+        F.max_by("note", F.when(closing, moment)).alias("resolution"),
+    )
+    first_rank = severity_rank(F.col("_first.severity"))
+    grown = F.greatest(first_rank, F.coalesce("_grown", F.lit(0)))
+    suspected = F.when(first_rank >= 3, "Likely takeover").otherwise("Unusual behaviour")
+    found = of.select(
+        "incident_id", "status", severity_name(grown).alias("severity"),
+        F.concat(suspected, F.lit(": "), "entity_type", F.lit(" "), "entity_id").alias("title"),
+        *_HISTORY, "risk_score", "opened_at", "updated_at", "closed_at", "resolution",
+        F.col("_first.rule_id").alias("opening_rule"), F.col("_first.score").alias("opening_risk"),
+    )
+    requests_log = named.filter(~first & real).select("incident_id", *_HISTORY, "at", "seq", "to", "actor", "note", "found", "left", "accepted")
+    if before is None:
+        return found, requests_log
+    return _continued(before, found), requests_log
+
+
+def _continued(before: DataFrame, found: DataFrame) -> DataFrame:
+    """Incidents of earlier batches with what this one has added to them, and the new ones."""
+    new = found.select("incident_id", *[F.col(c).alias(f"_{c}") for c in found.columns if c != "incident_id"])
+    both = before.join(new, "incident_id", "full")
+    rank = F.greatest(severity_rank(F.col("severity")), F.when(severity_rank(F.col("_severity")) >= 2, severity_rank(F.col("_severity"))))
+    old = F.col("opened_at").isNotNull()
+    kept = ["title", *_HISTORY, "opened_at", "opening_rule", "opening_risk"]
+    return both.select(
+        "incident_id",
+        F.coalesce("_status", "status").alias("status"),
+        F.when(old, severity_name(rank)).otherwise(F.col("_severity")).alias("severity"),
+        *[F.coalesce(c, f"_{c}").alias(c) for c in kept],
+        F.coalesce("_risk_score", "risk_score").alias("risk_score"),
+        F.greatest("updated_at", "_updated_at").alias("updated_at"),
+        F.coalesce("_closed_at", "closed_at").alias("closed_at"),
+        F.coalesce("_resolution", "resolution").alias("resolution"),
+    ).select(*before.columns)
+
+
 def alerts_of_incidents(stored: DataFrame, attached: DataFrame, incidents: DataFrame) -> DataFrame:
     """Stored alerts with the incident they are attached to (null when none)."""
     rows = attached.select(F.col("stored_id").alias("id")).distinct()

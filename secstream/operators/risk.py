@@ -88,9 +88,13 @@ def _advance(half_life_s: int):
 
 
 def scored_firings(
-    positions: DataFrame, half_life: str = HALF_LIFE, cap: float = CAP, width: str = "5 minutes"
+    positions: DataFrame, half_life: str = HALF_LIFE, cap: float = CAP, width: str = "5 minutes", start: DataFrame | None = None
 ) -> DataFrame:
-    """Every firing with the entity's score right after it."""
+    """Every firing with the entity's score right after it.
+
+    ``start`` has the scores that earlier batches left (``entity_type, entity_id, score, updated_at``). A score from
+    nothing is its first weight, so each stands in front of its entity as a firing with that weight.
+    """
     half, top = seconds(half_life), float(cap)
     passed = ["stored_id", "rule_id", "rule_name", "technique", "severity", "occurrence"]
 
@@ -116,8 +120,12 @@ def scored_firings(
             ),
         )
 
-    return sliced_fold(
-        positions.withColumn("weight", firing_weight()),
+    rows = positions.withColumn("weight", firing_weight())
+    if start is not None:
+        heads = start.select("entity_type", "entity_id", F.col("updated_at").alias("detected_at"), F.lit("").alias("alert_id"), F.col("score").alias("weight"))
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+    scored = sliced_fold(
+        rows,
         ["entity_type", "entity_id"],
         "detected_at",
         ["alert_id"],
@@ -128,6 +136,7 @@ def scored_firings(
         replay,
         width,
     )
+    return scored if start is None else scored.filter("alert_id <> ''")
 
 
 def _timed(step: Column) -> Column:

@@ -496,6 +496,45 @@ UNION ALL SELECT triaged_at, triaged_by, 'alert_triaged', 'alert', id, triage FR
 UNION ALL SELECT g."at", g.actor, 'action_' || g."left", a.target_type, a.target_id, concat_ws('|', a.action, g.note)
   FROM action_log g JOIN actions a USING (action_id) WHERE g.accepted""",
 )
+# The incidents of an entity one after the other: a firing opens one if none is open, a request moves the open one.
+_LEGAL = " OR ".join(f"(w.\"left\" = '{s}' AND r.\"to\" IN {_in(to or ['new'])})" for s, to in MOVES.items()) + """ OR (w."left" = 'none' AND r."to" = 'new')"""
+block(
+    "life",
+    ["attached", "move_requests", "incidents"],
+    """
+SELECT *, row_number() OVER (PARTITION BY entity_type, entity_id ORDER BY "at", seq) AS rn FROM (
+  SELECT entity_type, entity_id, detected_at AS "at", alert_id AS seq, 'new' AS "to", true AS firing, rule_id, rank, score, NULL::VARCHAR AS note FROM attached
+  UNION ALL SELECT i.entity_type, i.entity_id, r."at", r.seq, CASE WHEN r."to" = 'new' THEN 'refused' ELSE r."to" END, false, NULL, NULL, NULL, r.note
+    FROM move_requests r JOIN incidents i USING (incident_id))""",
+)
+block(
+    "life_log",
+    ["life"],
+    f"""
+SELECT r.*, 'none' AS found, CASE WHEN firing THEN 'new' ELSE 'none' END AS "left", firing AS accepted, firing::INTEGER AS no FROM life r WHERE rn = 1
+    UNION ALL
+    -- recursive
+SELECT r.*, w."left", CASE WHEN {_LEGAL} THEN r."to" ELSE w."left" END, ({_LEGAL}), w.no + (({_LEGAL}) AND r."to" = 'new')::INTEGER
+  FROM life_log w JOIN life r ON r.entity_type = w.entity_type AND r.entity_id = w.entity_id AND r.rn = w.rn + 1""",
+)
+block(
+    "life_ids",
+    ["life_log"],
+    """SELECT *, sha256(concat_ws('|', 'incident', entity_type, entity_id, first_value(seq) OVER (PARTITION BY entity_type, entity_id, no ORDER BY rn))) AS incident_id FROM life_log WHERE no > 0""",
+)
+block(
+    "history",
+    ["life_ids"],
+    """
+SELECT incident_id, status, ['info', 'low', 'medium', 'high', 'critical'][greatest(first_rank, coalesce(grown, 0)) + 1] AS severity,
+  CASE WHEN first_rank >= 3 THEN 'Likely takeover' ELSE 'Unusual behaviour' END || ': ' || entity_type || ' ' || entity_id AS title,
+  entity_type, entity_id, round(risk_score, 6) AS risk_score, opened_at, updated_at, closed_at, resolution, opening_rule, round(opening_risk, 6) AS opening_risk FROM (
+  SELECT incident_id, entity_type, entity_id, arg_max("left", rn) AS status, arg_min(rank, rn) FILTER (firing) AS first_rank, max(rank) FILTER (firing AND rank >= 2) AS grown,
+    arg_max(score, rn) FILTER (firing) AS risk_score, min("at") FILTER (firing) AS opened_at, max("at") FILTER (firing OR accepted) AS updated_at,
+    max("at") FILTER (accepted AND "left" IN ('resolved', 'false_positive')) AS closed_at, arg_max(note, rn) FILTER (accepted AND "left" IN ('resolved', 'false_positive')) AS resolution,
+    arg_min(rule_id, rn) FILTER (firing) AS opening_rule, arg_min(score, rn) FILTER (firing) AS opening_risk
+  FROM life_ids GROUP BY ALL)""",
+)
 block("labelled", ["ev", "now"], "SELECT ev.*, now.at FROM ev, now WHERE scenario IS NOT NULL AND ts > now.at - INTERVAL 43240 MINUTE")
 block(
     "attacks",
@@ -1008,6 +1047,14 @@ oracle(
   UNION ALL SELECT NULL, scenario, detected, 0, missed, NULL, recall, NULL FROM scenario_scores) s""",
 )
 
+# --- carried over between runs: the same as in one go -------------------------------------------
+
+oracle("incident_history", ["history"], "SELECT * FROM history")
+oracle("incident_requests", ["life_ids"], """SELECT incident_id, entity_id, "at", seq, "to", found, "left", accepted FROM life_ids WHERE NOT firing""")
+oracle("carried_incidents", ["history"], "SELECT * FROM history")
+oracle("carried_risk", ["risk"], "SELECT * REPLACE (round(score, 6) AS score, round(peak_score, 6) AS peak_score) FROM risk")
+oracle("carried_alerts", ["stored"], "SELECT * EXCLUDE (triage) FROM stored")
+
 # --- lake ------------------------------------------------------------------------------------
 
 oracle("retention_plan", ["days", "now"], "SELECT DISTINCT year, month, day FROM days, now WHERE CAST(ts AS DATE) < CAST(now.at AS DATE) - 20")

@@ -21,6 +21,7 @@ from secstream.functions.fields import ACTIONS, CATEGORIES, OUTCOMES, field, kno
 from secstream.operators import (
     alerts as A,
     baseline as B,
+    carry as K2,
     cloud as C,
     hunting as H,
     incidents as I,
@@ -165,6 +166,21 @@ class Lab:
     def transitions(self) -> tuple[DataFrame, DataFrame]:
         return I.incident_transitions(self.response.incidents, self.transition_requests)
 
+    @cached_property
+    def entity_requests(self) -> DataFrame:
+        """The transition requests by entity, as analysts see one entity over several incidents."""
+        users = self.response.incidents.select("incident_id", "entity_type", "entity_id")
+        return self.transition_requests.join(users, "incident_id").drop("incident_id")
+
+    @cached_property
+    def carried(self) -> K2.Carried:
+        """The responder's state after two runs, one for each half of the month; the second run is repeated."""
+        state, cut = K2.Carried.at(self.spark, f"{_scratch(self.spark)}/responder"), self.now - F.expr(f"INTERVAL {HISTORY_DAYS} DAYS")
+        for run, early in (("first half", True), ("second half", False), ("second half", False)):
+            part = [(df.filter(F.col(at) <= cut) if early else df.filter(F.col(at) > cut)) for df, at in ((self.alerts, "detected_at"), (self.entity_requests, "at"))]
+            K2.fold_run(*part, state, run, self.now)
+        return state
+
     @cached_property
     def action_events(self) -> DataFrame:
         users = self.response.actions.filter("target_type = 'user'").select(
@@ -992,6 +1008,52 @@ def score_history(x: Lab) -> DataFrame:
     return back.select(*[F.round(c, 6).alias(c) if c in ("precision", "recall", "f1") else F.col(c) for c in back.columns])
 
 
+# --- carried over between runs ---------------------------------------------------------------
+
+_INCIDENTS = (
+    "incident_id string, status string, severity string, title string, entity_type string, entity_id string, risk_score double, opened_at timestamp, "
+    "updated_at timestamp, closed_at timestamp, resolution string, opening_rule string, opening_risk double"
+)
+_CARRIED_ALERTS = (
+    "id string, dedupe_key string, first_detected_at timestamp, last_detected_at timestamp, occurrences bigint, rule_id string, severity string, "
+    "technique string, entity_type string, entity_id string, observed bigint, threshold bigint, window_start timestamp, window_end timestamp, active boolean"
+)
+_RISK = "entity_type string, entity_id string, score double, peak_score double, updated_at timestamp, peaked_at timestamp"
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query()
+def incident_history(x: Lab) -> DataFrame:
+    """All incidents of each entity: after a terminal move the next attached firing opens the next one."""
+    return _rounded(I.incident_history(x.response.attached, x.entity_requests)[0], "risk_score", "opening_risk")
+
+
+@query()
+def incident_requests(x: Lab) -> DataFrame:
+    """What became of each request on an entity: the incident it met, the states before and after."""
+    log = I.incident_history(x.response.attached, x.entity_requests)[1]
+    return log.select("incident_id", "entity_id", "at", "seq", "to", "found", "left", "accepted")
+
+
+@query()
+def carried_alerts(x: Lab) -> DataFrame:
+    """Stored alerts after two runs; a row that the first run left open goes on in the second."""
+    return x.carried.stored.read(T.StructType.fromDDL(_CARRIED_ALERTS))
+
+
+@query()
+def carried_risk(x: Lab) -> DataFrame:
+    return _rounded(x.carried.risk.read(T.StructType.fromDDL(_RISK)), "score", "peak_score")
+
+
+@query()
+def carried_incidents(x: Lab) -> DataFrame:
+    return _rounded(x.carried.incidents.read(T.StructType.fromDDL(_INCIDENTS)), "risk_score", "opening_risk")
+
+
 # --- lake ------------------------------------------------------------------------------------
 
 

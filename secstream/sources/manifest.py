@@ -40,16 +40,18 @@ class Manifest:
     def _names(self, folder: str) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._at(folder))] if self._fs.exists(self._at(folder)) else []
 
-    def live(self) -> Live:
-        numbers = [int(n[:-5]) for n in self._names("_manifests") if n.endswith(".json") and n[:-5].isdigit()]
-        if not numbers:
+    def live(self, number: int | None = None) -> Live:
+        """The newest list, or that of a number not long ago; nothing before the first commit."""
+        if number is None:
+            number = max((int(n[:-5]) for n in self._names("_manifests") if n.endswith(".json") and n[:-5].isdigit()), default=0)
+        if not number:
             return Live(0, (), frozenset())
-        stream = self._fs.open(self._at(f"_manifests/{max(numbers):012d}.json"))
+        stream = self._fs.open(self._at(f"_manifests/{number:012d}.json"))
         try:
             held = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Live(max(numbers), tuple(map(tuple, held["folders"])), frozenset(held["runs"]))
+        return Live(number, tuple(map(tuple, held["folders"])), frozenset(held["runs"]))
 
     def _publish(self, number: int, folders, runs) -> bool:
         """Write manifest ``number``; False if someone else has."""
@@ -103,6 +105,16 @@ class Manifest:
 
         return self.commit(change)
 
+    def undo(self, run: str) -> bool:
+        """Go back to the list before the newest commit, if that was made by ``run``."""
+        live = self.live()
+        if run not in live.runs or live.number < 1:
+            return False
+        older = self.live(live.number - 1)
+        if run in older.runs:
+            raise RuntimeError(f"other commits came after {run}")
+        return self._publish(live.number + 1, older.folders, older.runs)
+
     def read(self, columns: StructType | str, wanted: Callable[[str], bool] = lambda folder: True) -> DataFrame:
         """The live rows of the folders that ``wanted`` takes, with these columns, partition columns included."""
         columns = StructType.fromDDL(columns) if isinstance(columns, str) else columns
