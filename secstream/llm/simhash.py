@@ -288,8 +288,11 @@ _WIDE, DEVIATIONS = 4, 6
 _WIDE_NAMES = [f"_w{k}" for k in range(_WIDE)]
 #: Members of a bucket that are compared in full; larger buckets go by centres.
 SMALL = 8
-#: Pairs of a member that are verified in a round: those that share most buckets.
+#: Pairs of a member that are verified in each of the first two rounds, those that share most buckets; all later.
 TRIES = 2
+#: Rounds of centres at most. Every round after the first two connects a few members in a thousand, each at the
+#: cost of all its shuffles; README has the share of similar pairs that ROUNDS rounds connect.
+ROUNDS = 4
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 #: Shingles whose products with all factors are held at once.
 _ROWS_AT_ONCE = 128
@@ -398,7 +401,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> Da
     buckets, and of these the TRIES that it shares most buckets with are verified by their shingle sets. What is
     connected gets one label and is not compared again. The centre with most links matters where copies are
     edited each in its own way: the text that they derive from is similar to all of them, two copies may not be
-    similar to each other. Rounds end when one connects nothing; each writes rows in proportion to the members.
+    similar to each other. There are ROUNDS rounds, fewer if one connects nothing; each writes rows in proportion to
+    the members.
     ``exact`` pairs all members of every bucket instead, at the cost of the square of a bucket.
     """
     rows = nodes.select("_d", F.explode("_bands").alias("_value"))
@@ -418,14 +422,14 @@ def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> Da
         pairs = _candidates(placed, number, exact).groupBy("_d", "_c").agg(F.count("*").alias("_n"))
         if tried is not None:
             pairs = pairs.join(tried, F.expr("greatest(_d, _c) = _u AND least(_d, _c) = _v"), "left_anti")
-        if not exact:
+        if not exact and number < 2:
             first = Window.partitionBy("_d").orderBy(F.desc("_n"), F.xxhash64("_c"))
             pairs = pairs.withColumn("_rank", F.row_number().over(first)).filter(f"_rank <= {TRIES}")
         pairs = materialise(pairs.select(F.greatest("_d", "_c").alias("_u"), F.least("_d", "_c").alias("_v")).distinct(), "tries")
         near = pairs.join(prints.select(F.col("_d").alias("_u"), *_WIDE_NAMES), "_u").join(prints.select(F.col("_d").alias("_v"), *(F.col(w).alias(f"_c{w}") for w in _WIDE_NAMES)), "_v")
         links_now = materialise(similar(near.filter(f"{wide} <= {most_bits()}").select("_u", "_v"), sets), "links-now")
         found = links_now if found is None else found.union(links_now)
-        if exact or links_now.limit(1).count() == 0:
+        if exact or number + 1 == ROUNDS or links_now.limit(1).count() == 0:
             return found
         tried = pairs if tried is None else tried.union(pairs)
         labels, number = _relabelled(labels, found), number + 1
