@@ -205,19 +205,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
         .agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     )
     shares = {r._toxic: r.n for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    texts = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
-    distinct = known.join(texts, "_id").groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"))
+    texts = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"), "text")
+    distinct = known.join(texts.drop("text"), "_id").groupBy("_text").agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic"))
     chosen = None
     for kind in (0, 1):
-        part = distinct.filter(F.col("_toxic") == kind).orderBy("_text").limit(most).select("_id", "_toxic")
+        part = distinct.filter(F.col("_toxic") == kind).orderBy("_text").limit(most).select("_id", "_text", "_toxic")
         chosen = part if chosen is None else chosen.union(part)
 
     @F.pandas_udf("binary")
     def encoded(text: pd.Series) -> pd.Series:
         return text.map(lambda x: tokens(x)[0].tobytes())
 
-    sample = docs.withColumn("_id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "_id").select("_toxic", encoded("text").alias("_tokens"))
-    rows = sample.collect()
+    # by id and text: an id with other texts, and repeated rows, add nothing to the 2 * most texts that are sent
+    found = texts.join(F.broadcast(chosen), ["_id", "_text"]).groupBy("_text", "_toxic").agg(F.first("text").alias("text"))
+    rows = found.select("_toxic", encoded("text").alias("_tokens")).collect()
     rows.sort(key=lambda r: bytes(r._tokens))
     total = max(1, sum(shares.values()))
     return fit([np.frombuffer(bytes(r._tokens), np.int32).reshape(-1, FEATURES) for r in rows], np.array([r._toxic == 1 for r in rows], bool), shares.get(1, 0) / total)
@@ -274,7 +275,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the documents with a score under a half, all their columns unchanged."""
+    """Stage: the documents with a score under a half, all their columns unchanged, whatever their names.
+
+    Null and empty texts have no tokens and stay; repeated rows are judged each; an empty table gives an empty result.
+    """
     score = toxicity(spark, train(docs, table(spark, sf_dir, "labels")))
     return docs.filter(score(F.col("text"))["score"] < 0.5)
 

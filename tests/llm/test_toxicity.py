@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from secstream.llm import toxicity as t
@@ -84,3 +85,17 @@ def test_nothing_to_learn_from(spark):
     model = t.train(documents(spark, hostile()), none)
     assert {r.predicted for r in t.score_documents(documents(spark, hostile()), model).collect()} == {0}
     assert t.score_documents(documents(spark, []), model).collect() == []
+
+
+def test_repeated_ids_send_each_text_once(spark, monkeypatch):
+    """One labelled id with very many rows and texts: the driver gets the chosen texts, no row of the id beside them."""
+    seen = []
+    plain = t.fit
+    monkeypatch.setattr(t, "fit", lambda texts, toxic, prior: seen.append(len(texts)) or plain(texts, toxic, prior))
+    rows, labels = corpus(40)
+    schema = "doc_id long, quality int, toxic int"
+    learnt = next(i for i, _, _ in labels if i in {r.doc_id for r in spark.createDataFrame(labels, schema).filter(~t.held_out(F.col("doc_id"))).collect()})
+    hot = [(learnt, f"text number {k} of one id") for k in range(30)] + [(learnt, "the same text again")] * 50 + [(learnt, "w " * (t.TRAIN_CHARS // 2 + 1))]
+    most = 10
+    t.train(documents(spark, rows + hot), spark.createDataFrame(labels, schema), most)
+    assert len(seen) == 1 and seen[0] <= 2 * most
