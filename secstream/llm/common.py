@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  for pa.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 #: Two odd multipliers give two independent word hashes.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Words of more bytes are hashed by XXH64.
+LONG_WORD = 64
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
@@ -98,7 +101,11 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
         values = raw[within + np.repeat(starts[lo:hi], n)].astype(np.uint64) + np.uint64(1)
         values *= _power(BASES[which], int(n.max()))[within]
         out[lo:hi] = np.add.reduceat(values, first) + n.astype(np.uint64)
-    return mix(out)
+    out = mix(out)
+    # sums modulo 2^64 meet for made-up words of a thousand bytes: long words take a hash that does not
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[starts[k] : ends[k]].tobytes(), which)
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:

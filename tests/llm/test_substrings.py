@@ -55,3 +55,14 @@ def test_difference_cover(period):
 
 def test_empty_table(spark):
     assert u.remove_repeats(documents(spark, [])).collect() == []
+
+
+def test_long_made_up_words_do_not_meet(spark):
+    """Thue-Morse words have equal sums modulo 2^64 whatever the multiplier."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rest = " " + prose(9, 19)
+    rows = [(1, word + rest), (2, word.translate(str.maketrans("ab", "ba")) + rest)]
+    got = u.remove_repeats(documents(spark, rows)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 0}
