@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from secstream.functions.quantiles import exact_percentiles
 from secstream.functions.scalar import as_time, at_most, gap_micros, ratio, recent
 
 
@@ -60,16 +61,17 @@ def user_baseline(ev: DataFrame, as_of, days: int = 7) -> DataFrame:
 
 def baseline_distribution(baseline: DataFrame) -> DataFrame:
     """Shape of the population; p95 over median tells how skewed the accounts are."""
+    middle = exact_percentiles(baseline, [], "events_per_day", {"_median": 0.5, "_p95": 0.95})
     stats = baseline.agg(
         F.count("*").alias("accounts"),
         F.round(F.avg("events_per_day"), 1).alias("mean_events_per_day"),
-        F.round(F.percentile("events_per_day", 0.5), 1).alias("median"),
-        F.round(F.percentile("events_per_day", 0.95), 1).alias("p95"),
         F.round(F.max("events_per_day"), 1).alias("max"),
         F.round(F.avg("failure_rate"), 4).alias("mean_failure_rate"),
         F.round(F.avg("distinct_countries"), 2).alias("mean_countries"),
-    )
-    return stats.withColumn("p95_to_median", F.round(ratio(F.col("p95"), F.col("median")), 1))
+    ).join(middle, F.lit(True), "left")  # one row on either side
+    return stats.select(
+        "accounts", "mean_events_per_day", F.round("_median", 1).alias("median"), F.round("_p95", 1).alias("p95"), "max", "mean_failure_rate", "mean_countries"
+    ).withColumn("p95_to_median", F.round(ratio(F.col("p95"), F.col("median")), 1))
 
 
 def baseline_outliers(baseline: DataFrame, show: int = 10) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from secstream.functions.quantiles import exact_percentiles
 from secstream.functions.scalar import after, as_time, floor_time, gap_micros, lag_seconds, ratio
 from secstream.operators.baseline import latest_per_key
 
@@ -86,16 +87,17 @@ def keep_up_report(samples: DataFrame, enough: float = 0.95) -> DataFrame:
         (F.max_by("ingested", "at") - F.min_by("ingested", "at")).alias("_rows"),
         (gap_micros(F.max("at"), F.min("at")) / F.lit(1e6)).alias("_secs"),
         F.round(F.max("max_lag_s"), 2).alias("max_lag_s"),
-        F.round(F.percentile("max_lag_s", 0.5), 2).alias("median_lag_s"),
         (F.max_by("max_lag_s", "at") - F.min_by("max_lag_s", "at")).alias("_trend"),
     )
+    middle = exact_percentiles(samples, ["offered_rate"], "max_lag_s", {"_median": 0.5})
+    report = report.join(middle, "offered_rate", "left")
     achieved = ratio(F.col("_rows"), F.col("_secs"))
     return report.select(
         "offered_rate",
         F.round(achieved, 1).alias("achieved_rate"),
         F.round(ratio(achieved, F.col("offered_rate")), 3).alias("keep_up_ratio"),
         "max_lag_s",
-        "median_lag_s",
+        F.round("_median", 2).alias("median_lag_s"),
         F.round("_trend", 1).alias("lag_trend_s"),
         (F.col("_trend") >= 5).alias("lag_growing"),
     ).withColumn("keeps_up", F.col("keep_up_ratio") >= enough)
@@ -182,6 +184,4 @@ def ingest_counters(ev: DataFrame, dead: DataFrame, duplicates: DataFrame) -> Da
 
 def batch_latency(progress: DataFrame) -> DataFrame:
     """Percentiles of micro-batch time; ``progress`` has ``batch_id`` and ``duration_ms``."""
-    return progress.agg(
-        *[F.percentile("duration_ms", q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    )
+    return exact_percentiles(progress, [], "duration_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from secstream import schema
 from secstream.operators.ingest import dead_letters, dedupe_events, flatten_events, parse_events, validate_events
-from secstream.operators.lake import with_day
+from secstream.operators.lake import day_between, split_by_range, with_day
 from secstream.operators.quality import quality_checks
 from secstream.streaming.sources import start, write_batch
 
@@ -25,12 +27,13 @@ def stream_ingest(
 
     Offsets are committed only after a batch's events and dead letters are written, and both are
     written under the batch number, so a repeated batch changes nothing. Events already stored by
-    other batches are left out; only the days the batch touches are read for that.
+    other batches are left out; only the days the batch touches are read for that. Each batch is
+    counted where it is parsed, see ``batch_metrics``.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        validated = validate_events(parse_events(batch)).persist()
+        validated = batch.persist()
         try:
             usable = flatten_events(validated.filter(F.col("failure_type").isNull()))
             stored = None
@@ -42,7 +45,25 @@ def stream_ingest(
         finally:
             validated.unpersist()
 
-    return start(messages, each, checkpoint, **options)
+    counted = validate_events(parse_events(messages)).observe(
+        METRICS, F.count("*").alias("received"), F.count("failure_type").alias("rejected")
+    )
+    return start(counted, each, checkpoint, **options)
+
+
+METRICS = "ingest"
+
+
+def batch_metrics(query: StreamingQuery) -> DataFrame:
+    """``batch_id, duration_ms, received, rejected`` of the query's recent micro-batches, as its progress reports
+    them: the numbers that a dashboard would scrape. Spark keeps ``spark.sql.streaming.numRecentProgressUpdates``."""
+    spark = SparkSession.active()
+    rows = []
+    for p in query.recentProgress:
+        seen = p.observedMetrics.get(METRICS)
+        if seen is not None and p.numInputRows:
+            rows.append((p.batchId, p.batchDuration, seen["received"], seen["rejected"]))
+    return spark.createDataFrame(rows, "batch_id long, duration_ms long, received long, rejected long")
 
 
 def _exists(spark, path: str) -> bool:
@@ -55,14 +76,25 @@ def stream_dedupe(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id", "ts"])
 
 
-def stream_quality(events: DataFrame, dead_path: str, history_path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Append the quality checks of each micro-batch to the check history."""
+def stream_quality(
+    events: DataFrame, events_path: str, dead_path: str, history_path: str, checkpoint: str, back_days: int = 2, expect_days: int = 40, **options
+) -> StreamingQuery:
+    """Append quality checks to the check history after every micro-batch.
+
+    The checks look at the stored events of the newest day of the batch and ``back_days`` before it, not at the batch
+    alone, so hourly rates mean hours. Events dated more than ``expect_days`` before that day, or after it,
+    count as rows of the default partition.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        newest = batch.agg(F.max("ingested_at")).first()[0]
+        if newest is None:
+            return
+        day = newest.date()
         dead = spark.read.schema(schema.DEAD_LETTER).parquet(dead_path)
-        newest = batch.agg(F.max("ingested_at")).scalar()
-        stranded = batch.filter(F.col("ts").isNull())
-        write_batch(quality_checks(batch, dead, stranded, newest), history_path, batch_id)
+        recent = stored_events(spark, events_path).filter(day_between(day - dt.timedelta(days=back_days), day))
+        stray = split_by_range(batch, day - dt.timedelta(days=expect_days), day)[1]
+        write_batch(quality_checks(recent, dead, stray, F.lit(newest)), history_path, batch_id)
 
     return start(events, each, checkpoint, **options)

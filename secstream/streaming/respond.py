@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -27,13 +28,17 @@ def stream_fold(alerts: DataFrame, suppression: str = "30 minutes", delay: str =
         .groupBy("dedupe_key", "rule_id", "entity_type", "entity_id", session)
         .agg(
             F.min_by("alert_id", order).alias("id"),
+            F.min_by(F.struct("rule_name", "technique", "threshold", "window_start", "sample_event_ids"), order).alias("_first"),
+            F.max_by("context", order).alias("context"),
+            F.max("window_end").alias("window_end"),
             F.min("detected_at").alias("first_detected_at"),
             F.max("detected_at").alias("last_detected_at"),
             F.count("*").alias("occurrences"),
             F.max("observed").alias("observed"),
             severity_name(F.max(severity_rank(F.col("severity")))).alias("severity"),
         )
-        .drop("session_window")
+        .select("*", "_first.*")
+        .drop("session_window", "_first")
     )
 
 
@@ -53,18 +58,37 @@ _Scored = Row(*_SCORED.fieldNames())
 
 
 class _Risk(StatefulProcessor):
-    """Score of one entity, and how often each of its dedupe keys has fired in its open row."""
+    """Score of one entity, and how often each of its dedupe keys has fired in its open row.
+
+    What no later firing can see goes: a dedupe key once the watermark is past its suppression window, the score
+    once it has decayed under the floor. One timer an entity, for whatever goes next.
+    """
 
     def __init__(self, half_life_s: int, cap: float, suppression_us: int) -> None:
         self.half_life_s, self.cap, self.suppression_us = half_life_s, cap, suppression_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.score = handle.getValueState("score", "score double, at_us bigint")
+        self.handle = handle
+        self.score = handle.getValueState("score", "score double, at_us bigint, timer_ms bigint")
         self.firings = handle.getMapState("firings", "dedupe_key string", "last_us bigint, n bigint")
 
+    def _dies_ms(self, score: float, at_us: int) -> int:
+        """When a score is under the floor: the first whole second at which the decay says so."""
+        lasts = max(0.0, self.half_life_s * math.log2(score / FLOOR)) if score > 0 else 0.0
+        return at_us // 1000 + (int(lasts) + 2) * 1000
+
+    def _wake(self, score: float, at_us: int, before_ms: int) -> None:
+        ends = [last // 1000 + self.suppression_us // 1000 + 1 for _, (last, _) in self.firings.iterator()]
+        timer = min([self._dies_ms(score, at_us), *ends])
+        if timer != before_ms:
+            if before_ms:
+                self.handle.deleteTimer(before_ms)
+            self.handle.registerTimer(timer)
+        self.score.update((score, at_us, timer))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.score.get()
-        score, at_us = held if held else (0.0, None)
+        score, at_us, timer = held if held else (0.0, None, 0)
         for row in sorted(rows, key=lambda r: (r["at_us"], r["alert_id"])):
             name = (row["dedupe_key"],)
             last_us, n = self.firings.getValue(name) if self.firings.containsKey(name) else (None, 0)
@@ -77,20 +101,37 @@ class _Risk(StatefulProcessor):
             score = min(self.cap, score + row["weight"] / n**0.5)
             at_us = row["at_us"]
             yield _Scored(*key, row["alert_id"], row["at_us"], n, score)
-        self.score.update((score, at_us))
+        self._wake(score, at_us, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        for name, (last, _) in list(self.firings.iterator()):
+            if last + self.suppression_us < now_ms * 1000:
+                self.firings.removeKey(name)
+        score, at_us, _ = self.score.get()
+        if self._dies_ms(score, at_us) <= now_ms:
+            score = 0.0
+        if score == 0.0 and not list(self.firings.iterator()):
+            self.score.clear()
+        else:
+            self._wake(score, at_us if score else now_ms * 1000, 0)
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
-def stream_risk(alerts: DataFrame, half_life: str = HALF_LIFE, cap: float = CAP, suppression: str = "30 minutes") -> DataFrame:
-    """Every firing with its occurrence number and the entity's score right after it."""
+def stream_risk(alerts: DataFrame, half_life: str = HALF_LIFE, cap: float = CAP, suppression: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Every firing with its occurrence number and the entity's score right after it.
+
+    Firings later than ``delay`` are too late to count, as the state they would need may be gone.
+    """
     reach_package(alerts.sparkSession)
-    rows = alerts.select(
-        "entity_type", "entity_id", "dedupe_key", "alert_id",
+    rows = alerts.withWatermark("detected_at", delay).select(
+        "detected_at", "entity_type", "entity_id", "dedupe_key", "alert_id",
         F.unix_micros("detected_at").alias("at_us"), severity_weight(F.col("severity")).alias("weight"),
     )
     scored = rows.groupBy("entity_type", "entity_id").transformWithState(
-        _Risk(seconds(half_life), float(cap), seconds(suppression) * 1_000_000), _SCORED, outputMode="Append", timeMode="None"
+        _Risk(seconds(half_life), float(cap), seconds(suppression) * 1_000_000), _SCORED, outputMode="Append", timeMode="EventTime"
     )
     return scored.withColumn("detected_at", F.timestamp_micros("detected_us")).drop("detected_us")
