@@ -1103,6 +1103,38 @@ oracle("stream_dedupe_events", ["ev"], "SELECT event_id, CAST(2 AS BIGINT) AS ke
 oracle("stream_threshold_alerts", ["threshold_alerts"], "SELECT alert_id, detected_at, rule_id, severity, entity_type, entity_id, observed, threshold FROM threshold_alerts")
 oracle("stream_travel_alerts", ["travel12"], "SELECT alert_id, detected_at, rule_id, severity, entity_id, observed FROM travel12")
 oracle("stream_hijack_alerts", ["hijack"], "SELECT alert_id, detected_at, rule_id, severity, entity_id, observed FROM hijack")
+_WATCHED = (next(r for r in WEEKLY if not r.distinct), next(r for r in WEEKLY if r.distinct))
+oracle(
+    "stream_windows", ["hits"],
+    " UNION ALL ".join(
+        f"""SELECT rule_id, entity_id, make_timestamp(w) AS window_start, make_timestamp(w) + INTERVAL {r.window_seconds} SECOND AS window_end, {"count(DISTINCT counted)" if r.distinct else "count(*)"} AS observed
+FROM hits WHERE rule_id = '{r.id}' GROUP BY rule_id, entity_id, w
+HAVING {"count(DISTINCT counted)" if r.distinct else "count(*)"} >= {r.threshold} AND make_timestamp(w) + INTERVAL {r.window_seconds} SECOND <= (SELECT max(ts) FROM hits WHERE rule_id = '{r.id}') - INTERVAL {r.grace_seconds} SECOND"""
+        for r in _WATCHED
+    ),
+)
+oracle("stream_deviation_alerts", ["deviation"], "SELECT alert_id, detected_at, rule_id, severity, entity_id, observed FROM deviation")
+oracle(
+    "stream_folded_alerts", ["stored"],
+    """SELECT id, dedupe_key, rule_id, first_detected_at, last_detected_at, occurrences, severity, technique, observed, threshold, window_start, window_end
+FROM stored WHERE last_detected_at + INTERVAL 30 MINUTE <= (SELECT max(last_detected_at) FROM stored) - INTERVAL 1 MINUTE""",
+)
+oracle("stream_risk_scores", ["scored"], "SELECT alert_id, detected_at, occurrence, round(score, 6) AS score FROM scored")
+oracle("stream_batch_metrics", ["arrivals"], "SELECT count(*) AS received, count(failure_type) AS rejected, true AS timed, true AS ordered FROM arrivals")
+block("stored_now", ["ev"], 'SELECT max(ingested_at) AS "at" FROM ev')
+oracle(
+    "stream_quality_checks", ["ev", "stored_now", "dead"],
+    f"""SELECT check_name, category, CASE WHEN how = 'most' THEN observed <= threshold ELSE observed >= threshold END AS passed, round(observed, 6) AS observed, threshold,
+  (SELECT "at" FROM stored_now) AS checked_at FROM (
+  SELECT 'freshness_seconds' AS check_name, 'liveness' AS category, 'most' AS how, (epoch_us(any_value(n."at")) - epoch_us(max(ts))) / 1000000.0::DOUBLE AS observed, 300.0::DOUBLE AS threshold FROM ev, stored_now n WHERE ts <= n."at"
+  UNION ALL SELECT 'max_lag_seconds', 'liveness', 'most', coalesce(max({LAG}), 0), 120 FROM ev, stored_now n WHERE ts <= n."at" AND ingested_at > n."at" - INTERVAL 10 MINUTE AND scenario IS NULL
+  UNION ALL SELECT 'null_user_rate', 'correctness', 'most', 0, 0.001
+  UNION ALL SELECT 'null_source_ip_rate', 'correctness', 'most', 0, 0.01
+  UNION ALL SELECT 'distinct_users_hourly', 'liveness', 'least', count(DISTINCT user_id), 10 FROM ev, stored_now n WHERE ts > n."at" - INTERVAL 1 HOUR AND ts <= n."at"
+  UNION ALL SELECT 'unknown_action_rate', 'correctness', 'most', 0, 0.01
+  UNION ALL SELECT 'dead_letters_last_hour', 'correctness', 'most', count(*), 0 FROM dead, stored_now n WHERE arrived_at > n."at" - INTERVAL 1 HOUR AND arrived_at <= n."at"
+  UNION ALL SELECT 'default_partition_rows', 'correctness', 'most', count(*), 0 FROM ev, stored_now n WHERE CAST(ts AS DATE) < CAST(n."at" AS DATE) - 40 OR CAST(ts AS DATE) > CAST(n."at" AS DATE))""",
+)
 oracle(
     "cloud_failures", ["rec", "ev"],
     """SELECT 'PARSE_ERROR' AS failure_type, failure_reason, count(*) AS deliveries FROM (

@@ -40,6 +40,7 @@ from secstream.session import materialise, use_utc, work_dir
 from secstream.sources import tables
 from secstream.streaming import detect as D_STREAM
 from secstream.streaming import ingest as I_STREAM
+from secstream.streaming import respond as R_STREAM
 from secstream.streaming import sources
 
 WEEKLY = load_rules(PACKS / "weekly")
@@ -1246,6 +1247,73 @@ def stream_hijack_alerts(x: Lab) -> DataFrame:
     return _drained(x, D_STREAM.stream_hijack(_event_stream(x)), "stream-hijack").select("alert_id", "detected_at", "rule_id", "severity", "entity_id", "observed")
 
 
+@query()
+def stream_windows(x: Lab) -> DataFrame:
+    """Closed windows of a counting and of a distinct rule. The last files also bring the first ten days once more:
+    those windows are closed by then, so the late rows must not count."""
+    newest, span = x.ev.agg(F.max("ts"), F.min("ts")).first()
+    rows = x.ev.select(*schema.FLAT_COLUMNS, F.col("ts").alias("arrives"))
+    late = rows.filter(F.col("ts") < F.lit(span) + F.expr("INTERVAL 10 DAYS")).withColumn("arrives", F.lit(newest))
+    path = _landed(x, rows.union(late), "arrives", "stream-late")
+    found = None
+    for rule in (next(r for r in WEEKLY if not r.distinct), next(r for r in WEEKLY if r.distinct)):
+        stream = D_STREAM.stream_window_counts(sources.file_events(x.spark, path, 2), rule)
+        part = _drained(x, stream, f"stream-{rule.id}").select("rule_id", "entity_id", F.col("start").alias("window_start"), F.col("end").alias("window_end"), "observed")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query()
+def stream_deviation_alerts(x: Lab) -> DataFrame:
+    """Deviations from a published baseline table that every micro-batch reads anew."""
+    base, path = (f"{_scratch(x.spark)}/{n}" for n in ("stream-baseline", "stream-deviation"))
+    x.history.write.parquet(base)
+    D_STREAM.stream_deviation(_event_stream(x), base, path, f"{path}-checkpoint").awaitTermination()
+    return x.spark.read.parquet(path).select("alert_id", "detected_at", "rule_id", "severity", "entity_id", "observed")
+
+
+def _alert_stream(x: Lab) -> DataFrame:
+    path = _landed(x, x.alerts, "detected_at", "stream-alerts")
+    return x.spark.readStream.schema(x.alerts.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query()
+def stream_folded_alerts(x: Lab) -> DataFrame:
+    """Stored alerts that have been quiet for the suppression window when the stream ends."""
+    folded = _drained(x, R_STREAM.stream_fold(_alert_stream(x)), "stream-folded")
+    return folded.select("id", "dedupe_key", "rule_id", "first_detected_at", "last_detected_at", "occurrences", "severity", "technique", "observed", "threshold", "window_start", "window_end")
+
+
+@query()
+def stream_risk_scores(x: Lab) -> DataFrame:
+    scored = _drained(x, R_STREAM.stream_risk(_alert_stream(x)), "stream-risk")
+    return scored.select("alert_id", "detected_at", "occurrence", F.round("score", 6).alias("score"))
+
+
+@query()
+def stream_quality_checks(x: Lab) -> DataFrame:
+    """The newest entry of the check history that a stream has kept over the stored events."""
+    stored, dead, history = (f"{_scratch(x.spark)}/{n}" for n in ("stream-events-stored", "stream-dead-stored", "stream-checks"))
+    sources.write_batch(L.with_day(x.ev.select(*schema.FLAT_COLUMNS)), stored, 0, schema.DAY_PARTS)
+    x.dead.write.parquet(dead)
+    landed = _landed(x, x.ev.select(*schema.FLAT_COLUMNS), "ingested_at", "stream-checked")
+    I_STREAM.stream_quality(sources.file_events(x.spark, landed, 2), stored, dead, history, f"{history}-checkpoint").awaitTermination()
+    return Q.quality_latest(x.spark.read.parquet(history).drop("batch"))
+
+
+@query()
+def stream_batch_metrics(x: Lab) -> DataFrame:
+    """Messages received and rejected as the ingest stream's own progress counts them, over all of its micro-batches,
+    and whether the percentiles of their times are in order."""
+    landing = _landed(x, x.messages, "arrived_at", "stream-counted")
+    events, dead = (f"{_scratch(x.spark)}/{n}" for n in ("stream-counted-events", "stream-counted-dead"))
+    run = I_STREAM.stream_ingest(sources.file_messages(x.spark, landing, 2), events, dead, f"{events}-checkpoint")
+    run.awaitTermination()
+    seen = materialise(I_STREAM.batch_metrics(run), "batch-metrics")
+    order = Q.batch_latency(seen).select((F.col("p50") > 0).alias("timed"), ((F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99"))).alias("ordered"))
+    return seen.agg(F.sum("received").alias("received"), F.sum("rejected").alias("rejected")).join(order, F.lit(True))
+
+
 @query()
 def cloud_failures(x: Lab) -> DataFrame:
     """Cloud deliveries together with messages that are none, some of them cut: what holds no audit record."""
