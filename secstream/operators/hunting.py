@@ -178,8 +178,9 @@ def brute_force_success(
         .filter(F.col("preceding_failures") >= threshold)
     )
     margin = F.expr(f"INTERVAL {seconds(slack)} SECONDS")
+    # the last failure lies in the look-back, so no success before it by more than the slack can be a hit
     return (
-        ev.filter(_login("success"))
+        recent(ev, as_of, seconds(lookback) + seconds(slack)).filter(_login("success"))
         .select("user_id", "ts", "source_ip", "source_country")
         .join(failures, "user_id")
         .filter(F.col("ts").between(F.col("last_failure") - margin, F.col("last_failure") + margin))

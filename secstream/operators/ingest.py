@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from secstream import schema
 from secstream.functions.fields import ACTIONS, CATEGORIES, OUTCOMES, known_or_unknown
 from secstream.functions.scalar import as_time, at_most, is_address, shorten
+from secstream.functions.ordered import running_before
 
 # Failure types, reasons and the length at which a reason is cut.
 PARSE_ERROR = "PARSE_ERROR"
@@ -52,6 +53,21 @@ def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def message_times(parsed: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Add ``time`` and ``time_from`` to parsed messages: the event's own time; without one the stream time, which is
+    the newest event time that its partition has seen before; without that the time the broker gave it.
+
+    ``held`` has the stream time that earlier batches left (``topic, partition, stream_time``). A partition is read
+    in slices of a million offsets, so none has to fit in one task.
+    """
+    place = parsed.withColumn("_at", F.timestamp_micros("offset"))
+    seen = running_before(place, ["topic", "partition"], "_at", [], {"_stream": ("max", F.col("event_ts"))}, "1 second").drop("_at")
+    if held is not None:
+        seen = seen.join(held, ["topic", "partition"], "left").withColumn("_stream", F.greatest("_stream", "stream_time")).drop("stream_time")
+    origin = F.when(F.col("event_ts").isNotNull(), "event").when(F.col("_stream").isNotNull(), "stream").otherwise("broker")
+    return seen.withColumns({"time": F.coalesce("event_ts", "_stream", "arrived_at"), "time_from": origin}).drop("_stream")
+
+
 def validate_events(parsed: DataFrame) -> DataFrame:
     """Add ``failure_type`` and ``failure_reason``; both are null for a usable event."""
     ip = F.col("event_data.source.ip")
@@ -121,13 +137,11 @@ def dedupe_events(
     first = events.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
     if existing is None:
         return first
-    days = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     stored = existing
     if set(schema.DAY_PARTS) <= set(existing.columns):
-        stored_day = F.make_date("year", "month", "day")
-        stored = existing.filter(
-            stored_day.between(days.select(F.to_date("lo")).scalar(), days.select(F.to_date("hi")).scalar())
-        )
+        # the days themselves, not the span from the oldest to the newest: one wrong clock costs one more day
+        touched = events.agg(F.collect_set(F.to_date("ts")).alias("days")).scalar()
+        stored = existing.filter(F.array_contains(touched, F.make_date("year", "month", "day")))
     return first.join(stored.select("event_id", "ts"), ["event_id", "ts"], "left_anti")
 
 

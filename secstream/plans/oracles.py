@@ -7,7 +7,7 @@ from secstream.functions.scalar import micros
 from secstream.operators.alerts import SEQUENCE_TECHNIQUES, VERDICTS
 from secstream.operators.cloud import CALL_ACTIONS
 from secstream.operators.rules import Rule
-from secstream.plans.queries import WEEKLY
+from secstream.plans.queries import SQUEEZE, STANDARD, WEEKLY
 from secstream.sources.tables import (
     BROWSERS,
     CITIES,
@@ -606,6 +606,11 @@ oracle(
     "dlq_replay", ["dead"],
     """SELECT failure_type, CAST(1 AS BIGINT) AS replay_count, count(*) AS letters FROM dead GROUP BY ALL""",
 )
+_TIMES = """SELECT "partition", "offset", coalesce(own, stream, arrived_at) AS time, CASE WHEN own IS NOT NULL THEN 'event' WHEN stream IS NOT NULL THEN 'stream' ELSE 'broker' END AS time_from
+FROM (SELECT *, max(own) OVER (PARTITION BY "partition" ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stream
+  FROM (SELECT "partition", "offset", arrived_at, CASE WHEN k NOT IN (50, 51, 52) THEN ts END AS own FROM arrivals))"""
+oracle("event_times", ["arrivals"], _TIMES)
+oracle("stream_event_times", ["arrivals"], _TIMES)
 oracle(
     "dlq_list", ["dead"],
     """SELECT arrived_at AS failed_at, "partition" AS source_partition, "offset" AS source_offset, reason AS failure_reason,
@@ -916,7 +921,8 @@ oracle("session_fingerprint", ["hijack0"], "SELECT event_id, user_id, s.id AS se
 oracle(
     "late_event_audit", ["ev"],
     f"""SELECT *, (epoch_us(newest_ts) - epoch_us(ts)) / 1000000.0::DOUBLE AS late_by_s FROM (
-  SELECT user_id, event_id, ts, ingested_at, max(ts) OVER (PARTITION BY user_id ORDER BY ingested_at, event_id {PREVIOUS}) AS newest_ts FROM ev)
+  SELECT user_id, event_id, ts, ingested_at, max(ts) OVER (PARTITION BY user_id ORDER BY ingested_at, event_id {PREVIOUS}) AS newest_ts
+  FROM (SELECT * REPLACE (CASE WHEN source_port % 20 = 3 THEN ingested_at + INTERVAL 2 DAY ELSE ingested_at END AS ingested_at) FROM ev))
 WHERE epoch_us(newest_ts) - epoch_us(ts) > 1000000""",
 )
 oracle(
@@ -1047,6 +1053,24 @@ oracle(
   UNION ALL SELECT NULL, scenario, detected, 0, missed, NULL, recall, NULL FROM scenario_scores) s""",
 )
 
+# --- the standard pack, on bursts -------------------------------------------------------------
+
+block(
+    "bursts", ["ev"],
+    f"""SELECT ev.* REPLACE (make_timestamp(epoch_us(f) + (epoch_us(ts) - epoch_us(f)) // {SQUEEZE}) AS ts,
+  'u-' || CAST(substr(user_id, 3, 5) AS INT) % (CASE WHEN event_action = 'api-key-used' THEN 5 ELSE 50 END) AS user_id, CASE WHEN source_ip LIKE '203.%' THEN '203.0.113.7' ELSE source_ip END AS source_ip,
+  CASE WHEN event_category IN ('iam', 'api') THEN 'aws' ELSE service_environment END AS service_environment)
+FROM ev, (SELECT date_trunc('day', min(ts)) AS f FROM ev)""",
+)
+block("burst_hits", ["bursts"], "\nUNION ALL\n".join(_hits(r).replace("FROM ev WHERE", "FROM bursts WHERE") for r in STANDARD))
+block("burst_crossings", ["burst_hits"], BLOCKS["crossings"][1].replace("FROM hits", "FROM burst_hits"))
+block("burst_alerts", ["burst_crossings"], BLOCKS["threshold_alerts"][1].replace("FROM crossings", "FROM burst_crossings"))
+for _rule in STANDARD:
+    oracle(
+        f"standard_{_rule.id.replace('-', '_')}", ["burst_alerts"],
+        f"SELECT alert_id, detected_at, rule_id, severity, entity_type, entity_id, observed, threshold, window_start, window_end FROM burst_alerts WHERE rule_id = '{_rule.id}'",
+    )
+
 # --- carried over between runs: the same as in one go -------------------------------------------
 
 oracle("incident_history", ["history"], "SELECT * FROM history")

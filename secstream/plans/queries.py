@@ -44,6 +44,9 @@ from secstream.streaming import respond as R_STREAM
 from secstream.streaming import sources
 
 WEEKLY = load_rules(PACKS / "weekly")
+STANDARD = load_rules(PACKS / "standard")
+#: 31 days into five minutes.
+SQUEEZE = 8928
 MONTH = "31 days"
 HISTORY_DAYS = 15
 WINDOW, TOLERANCE = "10 days", "20 minutes"
@@ -199,11 +202,29 @@ class Lab:
         return R.audit_trail(self.response.incidents, self.response.actions, self.transitions[1], self.triaged, self.lifecycle[1])
 
     @cached_property
-    def archive(self) -> DataFrame:
-        """The whole event table written as a day-partitioned archive and read back."""
+    def archive_path(self) -> str:
+        """The whole event table written as a day-partitioned archive."""
         path = f"{_scratch(self.spark)}/archive"
         L.write_days(self.ev, path)
-        return L.read_archive(self.spark, path)
+        return path
+
+    @cached_property
+    def archive(self) -> DataFrame:
+        return L.read_archive(self.spark, self.archive_path)
+
+    @cached_property
+    def bursts(self) -> DataFrame:
+        """The events of a month squeezed into five minutes and onto a few accounts and addresses: as dense as the
+        attacks that rules with windows of minutes are made for."""
+        first = self.ev.agg(F.date_trunc("day", F.min("ts"))).scalar()
+        inside = F.timestamp_micros(F.unix_micros(first) + F.floor((F.unix_micros("ts") - F.unix_micros(first)) / F.lit(SQUEEZE)))
+        account = F.concat(F.lit("u-"), (F.substring("user_id", 3, 5).cast("int") % F.when(F.col("event_action") == "api-key-used", 5).otherwise(50)).cast("string"))
+        source = F.when(F.col("source_ip").startswith("203."), "203.0.113.7").otherwise(F.col("source_ip"))
+        return self.ev.withColumns({"ts": inside, "user_id": account, "source_ip": source, "service_environment": F.when(F.col("event_category").isin("iam", "api"), "aws").otherwise(F.col("service_environment"))})
+
+    @cached_property
+    def standard_alerts(self) -> DataFrame:
+        return materialise(W.threshold_alerts(self.bursts, STANDARD), "standard-alerts")
 
     @cached_property
     def snapshots(self) -> DataFrame:
@@ -315,6 +336,12 @@ def dlq_replay(x: Lab) -> DataFrame:
     return outcome.bookkeeping.groupBy("failure_type", "replay_count").agg(F.count("*").alias("letters"))
 
 
+@query()
+def event_times(x: Lab) -> DataFrame:
+    """The time each message counts under, and where it comes from."""
+    return G.message_times(G.parse_events(x.messages)).select("partition", "offset", "time", "time_from")
+
+
 @query()
 def dlq_list(x: Lab) -> DataFrame:
     return G.dlq_list(x.dead, "VALIDATION_ERROR", 50).select(
@@ -792,7 +819,9 @@ def session_fingerprint(x: Lab) -> DataFrame:
 
 @query()
 def late_event_audit(x: Lab) -> DataFrame:
-    return H.late_events(x.ev, "user_id", "1 second")
+    """Every twentieth port stands for a collector that was cut off for two days."""
+    delayed = F.when(F.col("source_port") % 20 == 3, F.col("ingested_at") + F.expr("INTERVAL 2 DAYS")).otherwise(F.col("ingested_at"))
+    return H.late_events(x.ev.withColumn("ingested_at", delayed), "user_id", "1 second")
 
 
 @query()
@@ -1009,6 +1038,18 @@ def score_history(x: Lab) -> DataFrame:
     return back.select(*[F.round(c, 6).alias(c) if c in ("precision", "recall", "f1") else F.col(c) for c in back.columns])
 
 
+# --- the standard pack, on bursts -------------------------------------------------------------
+
+
+def _standard(rule: Rule):
+    columns = ["alert_id", "detected_at", "rule_id", "severity", "entity_type", "entity_id", "observed", "threshold", "window_start", "window_end"]
+    return lambda x: x.standard_alerts.filter(F.col("rule_id") == rule.id).select(*columns)
+
+
+for _rule in STANDARD:
+    query(f"standard_{_rule.id.replace('-', '_')}")(_standard(_rule))
+
+
 # --- carried over between runs ---------------------------------------------------------------
 
 _INCIDENTS = (
@@ -1060,7 +1101,9 @@ def carried_incidents(x: Lab) -> DataFrame:
 
 @query()
 def retention_plan(x: Lab) -> DataFrame:
-    return L.retention_plan(L.with_day(x.ev), x.now, 20).drop("partition_day")
+    """Days past the retention, from the names of the archive's folders alone."""
+    due = L.apply_retention(x.spark, x.archive_path, _newest_day(x), 20, dry_run=True)
+    return x.spark.createDataFrame([(d.year, d.month, d.day) for d in due], "year int, month int, day int")
 
 
 @query()
@@ -1221,6 +1264,15 @@ def stream_ingest_events(x: Lab) -> DataFrame:
     )
 
 
+@query()
+def stream_event_times(x: Lab) -> DataFrame:
+    """The same from a stream, whose micro-batches hand the stream time on."""
+    landing = _landed(x, x.messages.withColumn("place", F.timestamp_micros("offset")), "place", "stream-places")
+    times, state = (f"{_scratch(x.spark)}/{n}" for n in ("stream-times", "stream-times-state"))
+    I_STREAM.stream_times(sources.file_messages(x.spark, landing, 2), times, state, f"{times}-checkpoint").awaitTermination()
+    return x.spark.read.parquet(times).select("partition", "offset", "time", "time_from")
+
+
 @query()
 def stream_dedupe_events(x: Lab) -> DataFrame:
     """Each event three times, one of them an hour later under the same id: two are left of each."""

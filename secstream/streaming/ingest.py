@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from secstream import schema
-from secstream.operators.ingest import dead_letters, dedupe_events, flatten_events, parse_events, validate_events
+from secstream.operators.ingest import dead_letters, dedupe_events, flatten_events, message_times, parse_events, validate_events
 from secstream.operators.lake import day_between, split_by_range, with_day
 from secstream.operators.quality import quality_checks
 from secstream.streaming.sources import start, write_batch
@@ -66,6 +66,28 @@ def batch_metrics(query: StreamingQuery) -> DataFrame:
     return spark.createDataFrame(rows, "batch_id long, duration_ms long, received long, rejected long")
 
 
+def stream_times(messages: DataFrame, times_path: str, state_path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Event times of a message stream. The newest event time of each partition is kept for the next micro-batch,
+    one row a partition and batch, written under the batch number like the times themselves."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = None
+        if _exists(spark, state_path):
+            earlier = spark.read.parquet(state_path).filter(F.col("batch") < batch_id)
+            held = earlier.groupBy("topic", "partition").agg(F.max("stream_time").alias("stream_time"))
+        parsed = parse_events(batch).persist()
+        try:
+            timed = message_times(parsed, held)
+            write_batch(timed.select("topic", "partition", "offset", "arrived_at", "time", "time_from"), times_path, batch_id)
+            newest = parsed.groupBy("topic", "partition").agg(F.max("event_ts").alias("stream_time"))
+            write_batch(newest.filter("stream_time IS NOT NULL"), state_path, batch_id)
+        finally:
+            parsed.unpersist()
+
+    return start(messages, each, checkpoint, **options)
+
+
 def _exists(spark, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
