@@ -1,16 +1,19 @@
 """Streams give what the batch operators give on the same events."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from secstream.operators.alerts import alert_positions, fold_positions
 from secstream.operators.baseline import user_baseline
-from secstream.operators.ingest import ingest_batch
+from secstream.operators.ingest import ingest_batch, message_times, parse_events
+from secstream.operators.lake import with_day
 from secstream.operators.rules import PACKS, load_rules
 from secstream.operators.sequence import baseline_deviation, impossible_travel, session_hijack
 from secstream.operators.threshold import threshold_alerts, window_state
 from secstream.operators.risk import scored_firings
-from secstream.schema import ALERT_COLUMNS, FLAT_COLUMNS
+from secstream.schema import ALERT_COLUMNS, DAY_PARTS, FLAT_COLUMNS
 from secstream.streaming import detect, ingest, respond, sources
 
 WEEKLY = load_rules(PACKS / "weekly")
@@ -130,8 +133,47 @@ def test_risk_and_fold_streams_equal_batch(spark, small, tmp_path):
 
 
 def test_quality_stream(spark, small, landed, tmp_path):
-    dead = str(tmp_path / "dead")
+    """Checks look at the stored days around the batch; events dated far away count as the default partition's."""
+    dead, stored, history = (str(tmp_path / n) for n in ("dead", "stored", "checks"))
     small.dead.write.parquet(dead)
-    history = str(tmp_path / "checks")
-    ingest.stream_quality(sources.file_events(spark, landed, 1), dead, history, str(tmp_path / "cp")).awaitTermination()
+    sources.write_batch(with_day(small.ev.select(*FLAT_COLUMNS)), stored, 0, DAY_PARTS)
+    ingest.stream_quality(sources.file_events(spark, landed, 1), stored, dead, history, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(history).groupBy("check_name").count().count() == 8
+    assert spark.read.parquet(history).filter("check_name = 'default_partition_rows' AND observed > 0").count() == 0
+    strict = str(tmp_path / "strict")
+    ingest.stream_quality(sources.file_events(spark, landed, 1), stored, dead, strict, str(tmp_path / "cp2"), expect_days=3).awaitTermination()
+    assert spark.read.parquet(strict).filter("check_name = 'default_partition_rows' AND NOT passed").count() > 0
+
+
+def test_state_of_the_risk_stream_goes(spark, small, tmp_path):
+    """Entities whose score has decayed and whose keys are past suppression leave no state behind."""
+    landing, alerts = str(tmp_path / "alerts"), small.alerts
+    newest = alerts.agg(F.max("detected_at")).first()[0]
+    shape = alerts.limit(1)
+    rows = alerts.withColumn("entity_id", F.concat(F.lit("e"), F.col("entity_id")))
+    for k, part in enumerate((rows, *(shape.withColumns({"detected_at": F.lit(newest) + F.expr(f"INTERVAL {d} DAYS"), "entity_id": F.lit(f"later{d}")}) for d in (10, 20, 30)))):
+        part.coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)  # files are read by the second in which they were written
+    stream = spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    table = str(tmp_path / "scores")
+    query = sources.start(respond.stream_risk(stream), lambda batch, n: sources.write_batch(batch, table, n), str(tmp_path / "risk-cp"))
+    query.awaitTermination()
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    entities = rows.select("entity_type", "entity_id").distinct().count()
+    assert max(held) >= entities
+    assert held[-1] < entities / 4
+
+
+def test_stateless_event_times_equal_batch(spark, small, tmp_path):
+    """Stream time goes on from one micro-batch to the next."""
+    landing, times, state = (str(tmp_path / n) for n in ("landing", "times", "state"))
+    lo, hi = small.messages.agg(F.min("offset"), F.max("offset")).first()
+    for k in range(3):
+        third = small.messages.filter(F.floor((F.col("offset") - lo) * 3 / F.lit(hi - lo + 1)) == k)
+        third.coalesce(1).write.mode("append").parquet(landing)
+        time.sleep(1.1)
+    ingest.stream_times(sources.file_messages(spark, landing, 1), times, state, str(tmp_path / "cp")).awaitTermination()
+    want = message_times(parse_events(small.messages))
+    assert want.filter("time_from = 'stream'").count() > 0
+    columns = ["partition", "offset", "time", "time_from"]
+    assert rows(spark.read.parquet(times), *columns) == rows(want, *columns)
