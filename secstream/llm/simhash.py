@@ -352,17 +352,13 @@ def _sets(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"_d": [_digest(s) for s in sets], "_s": [s.view(np.int64) for s in sets]})
 
 
-def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (_u, _v) of digests whose shingle sets, in ``sets`` (_d, _s), have SIMILARITY or more in common."""
     size = F.size("_s")
     both = pairs.join(sets.select(F.col("_d").alias("_u"), F.col("_s").alias("_a"), size.alias("_na")), "_u")
     both = both.join(sets.select(F.col("_d").alias("_v"), F.col("_s").alias("_b"), size.alias("_nb")), "_v")
     both = both.filter(F.least("_na", "_nb") >= SIMILARITY * F.greatest("_na", "_nb"))
-    both = both.withColumn("_both", F.pandas_udf(_common, T.LongType())("_a", "_b"))
+    both = both.withColumn("_both", F.size(F.array_intersect("_a", "_b")))  # row by row: sets of long texts are large
     return both.filter(F.col("_both") >= SIMILARITY * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("_u", "_v")
 
 
