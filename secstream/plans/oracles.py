@@ -654,6 +654,11 @@ oracle(
     f"""SELECT CASE WHEN call IS NULL THEN 'skipped' ELSE 'published' END AS result, CASE WHEN call IS NOT NULL THEN coalesce({_map(CALL_ACTIONS)}[call], 'unknown') END AS event_action,
   CASE WHEN {_map(CALL_ACTIONS)}[call] IS NULL THEN call END AS unmapped_call, count(*) AS records FROM rec GROUP BY ALL""",
 )
+oracle(
+    "cloud_ingest", ["cloud"],
+    """SELECT event_action, count(*) AS events, count(DISTINCT event_id) AS ids FROM cloud GROUP BY 1
+UNION ALL SELECT '(duplicates)', count(*), CAST(0 AS BIGINT) FROM cloud""",
+)
 oracle("cloud_audit_events", ["cloud"], "SELECT * EXCLUDE (call, k, u) FROM cloud")
 oracle("archive_write", ["days"], "SELECT year, month, day, event_action, count(*) AS events, count(scenario) AS labelled FROM days GROUP BY ALL")
 oracle("archive_scan", ["days", "job_day"], "SELECT event_id, ts, event_action, user_id, source_ip, day FROM days, job_day WHERE CAST(ts AS DATE) = d")

@@ -410,6 +410,15 @@ def cloud_audit_ingest(x: Lab) -> DataFrame:
     return C.cloud_ingest_report(x.cloud_records)
 
 
+@query()
+def cloud_ingest(x: Lab) -> DataFrame:
+    """Cloud events through the ingest chain, every delivery twice: what is stored and what is turned away."""
+    done = G.ingest_batch(C.cloud_messages(x.cloud.unionByName(x.cloud)))
+    stored = done.good.groupBy("event_action").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+    totals = done.counters.select(F.lit("(duplicates)").alias("event_action"), F.col("duplicates").alias("events"), F.col("rejected").alias("ids"))
+    return stored.unionByName(totals)
+
+
 @query()
 def cloud_audit_events(x: Lab) -> DataFrame:
     return x.cloud.drop("raw", "ingested_at", "source_country", "source_city", "source_port")
