@@ -281,7 +281,7 @@ SELECT sha256(concat_ws('|', 'session-hijack', user_id, CAST(epoch_us(s.at) AS V
   ts AS detected_at, s.at AS window_start, ts AS window_end, 'session-hijack' AS rule_id,
   CASE WHEN s.agent <> user_agent OR (s.ip LIKE '10.%') <> (source_ip LIKE '10.%') THEN 'high' ELSE 'medium' END AS severity,
   'T1539' AS technique, 'user' AS entity_type, user_id AS entity_id, age // 1000000 AS observed, CAST(20 AS BIGINT) AS threshold,
-  CASE WHEN s.agent <> user_agent THEN 'Session used from a new address and a new client' ELSE 'Session used from a new address' END AS rule_name,
+  CASE WHEN s.agent <> user_agent THEN 'Open session moved: other network, other client' ELSE 'Open session moved: other network' END AS rule_name,
   CASE WHEN s.ip LIKE '10.%' AND source_ip NOT LIKE '10.%' THEN 'internal_to_external'
        WHEN s.ip NOT LIKE '10.%' AND source_ip LIKE '10.%' THEN 'external_to_internal' END AS network_class_change,
   CASE WHEN s.agent <> user_agent THEN user_agent END AS observed_user_agent

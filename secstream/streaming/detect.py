@@ -357,7 +357,7 @@ def _sequence_alerts(pairs: DataFrame, kind: str, elapsed, threshold: str) -> Da
                 "network_class_change": F.when(crossed, way),
             }
         )
-        name = F.when(new_client, "Session used from a new address and a new client").otherwise("Session used from a new address")
+        name = F.when(new_client, "Open session moved: other network, other client").otherwise("Open session moved: other network")
         head = (HIJACK, name, F.when(new_client | crossed, "high").otherwise("medium"), "T1539")
     return as_alerts(
         rows.select(
