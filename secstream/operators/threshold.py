@@ -149,7 +149,7 @@ def _evidence(seen: DataFrame) -> DataFrame:
     keep = (
         F.when(F.col("name") == "", SAMPLES)
         .when(F.col("name") == "distinct", DISTINCT_SHOWN + 1)
-        .otherwise(CONTEXT_VALUES)
+        .otherwise(CONTEXT_VALUES + 1)
     )
     shown = (
         seen.select(*GROUP, F.struct("ts", "event_id").alias("arrived"), fact.alias("fact"))
@@ -171,6 +171,13 @@ def _named(name: Column) -> Column:
     )
 
 
+def _shown(name: Column) -> Column:
+    """The first values of a field, with a mark where there are more; null where there are none."""
+    values = _named(name)
+    more = F.when(F.size(values) > CONTEXT_VALUES, ", …").otherwise("")
+    return F.when(F.size(values) > 0, F.concat(F.array_join(F.slice(values, 1, CONTEXT_VALUES), ", "), more))
+
+
 def threshold_alerts(ev: DataFrame, rules: list[Rule]) -> DataFrame:
     """Alerts of all enabled rules, with evidence. Finds the crossings at once, the rest is lazy."""
     active = [rule for rule in rules if rule.enabled]
@@ -211,10 +218,7 @@ def threshold_alerts(ev: DataFrame, rules: list[Rule]) -> DataFrame:
             "distinct_field": distinct_field,
             "distinct_count": F.when(counted, F.col("threshold")),
             "distinct_sample": F.when(counted, sample),
-            **{
-                path: F.when(F.size(_named(F.lit(path))) > 0, F.array_join(_named(F.lit(path)), ", "))
-                for path in paths
-            },
+            **{path: _shown(F.lit(path)) for path in paths},
             "first_seen": iso(F.col("first_seen")),
             "last_seen": iso(F.col("last_seen")),
         }

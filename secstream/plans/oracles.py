@@ -985,8 +985,9 @@ _SHOWS_IP = _in([r.id for r in WEEKLY if "source.ip" in r.context_fields])
 oracle(
     "threshold_evidence", ["evidence"],
     f"""SELECT sha256(concat_ws('|', rule_id, entity_id, CAST(w AS VARCHAR), any_value(cut_id))) AS alert_id, CAST(count(*) AS VARCHAR) AS events_in_window,
-  CASE WHEN rule_id IN {_SHOWS_IP} THEN (SELECT string_agg(v, ', ' ORDER BY a) FROM (SELECT source_ip AS v, min((ts, event_id)) AS a FROM evidence i
-     WHERE i.rule_id = e.rule_id AND i.entity_id = e.entity_id AND i.w = e.w GROUP BY 1 ORDER BY a LIMIT 8)) END AS source_ips,
+  CASE WHEN rule_id IN {_SHOWS_IP} THEN (SELECT string_agg(v, ', ' ORDER BY a) || CASE WHEN any_value(n) > 8 THEN ', …' ELSE '' END FROM (
+     SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY a) AS p FROM (SELECT source_ip AS v, min((ts, event_id)) AS a FROM evidence i
+     WHERE i.rule_id = e.rule_id AND i.entity_id = e.entity_id AND i.w = e.w GROUP BY 1)) WHERE p <= 8) END AS source_ips,
   CASE WHEN count(counted) > 0 THEN CAST(any_value(threshold) AS VARCHAR) END AS distinct_count,
   (SELECT string_agg(v, ', ' ORDER BY a) || CASE WHEN any_value(n) > 10 THEN ', …' ELSE '' END FROM (
      SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY a) AS p FROM (SELECT counted AS v, min((ts, event_id)) AS a FROM evidence i

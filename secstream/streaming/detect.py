@@ -114,7 +114,7 @@ class _Crossing(StatefulProcessor):
             if len(samples) < SAMPLES:
                 samples.append(row["event_id"])
             for fact in row["facts"]:
-                self._note(fact["name"], fact["item"], CONTEXT_VALUES)
+                self._note(fact["name"], fact["item"], CONTEXT_VALUES + 1)
             observed = self._note("", row["counted"], row["threshold"]) if row["distinct_field"] else events
             self.handle.registerTimer(row["closes_us"] // 1000 + 1)
             if observed >= row["threshold"]:
@@ -133,7 +133,7 @@ class _Crossing(StatefulProcessor):
         for name in {fact["name"] for fact in row["facts"]}:
             values = self._known(name)
             if values:
-                context[name] = ", ".join(values)
+                context[name] = ", ".join(values[:CONTEXT_VALUES]) + (", …" if len(values) > CONTEXT_VALUES else "")
         return context
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
