@@ -20,6 +20,7 @@ from secstream.functions.scalar import (
     recent,
     seconds,
 )
+from secstream.session import materialise
 
 
 def _login(outcome: str | None = None):
@@ -107,6 +108,7 @@ def brute_force_hunt(
         .groupBy("user_id", "source_ip")
         .agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     )
+    per_source = materialise(per_source, "failures-by-source")
     found = (
         per_source.groupBy("user_id")
         .agg(
@@ -114,9 +116,15 @@ def brute_force_hunt(
             F.count("source_ip").alias("distinct_sources"),
             F.min("first").alias("first_attempt"),
             F.max("last").alias("last_attempt"),
-            F.array_join(F.array_sort(F.collect_list("source_ip")), ", ").alias("sources"),
         )
         .filter(F.col("failures") >= threshold)
+    )
+    # sources are listed for the accounts that are reported only
+    named = per_source.join(found.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(
+        F.array_join(F.array_sort(F.collect_list("source_ip")), ", ").alias("sources")
+    )
+    found = (
+        found.join(named, "user_id")
         .withColumn(
             "duration_s", gap_micros(F.col("last_attempt"), F.col("first_attempt")) / F.lit(1e6)
         )

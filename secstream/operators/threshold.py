@@ -122,6 +122,18 @@ def window_state(ev: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def window_evidence(ev: DataFrame, rules: list[Rule]) -> DataFrame:
+    """What the state of every window holds beside its counts, whether or not it reached the threshold: the first
+    events, and the first values of each context field with a mark where there are more."""
+    active = [rule for rule in rules if rule.enabled]
+    shown = _evidence(rule_hits(ev.select("ts", "event_id", *FIELD_COLUMNS.values()), active, evidence=True))
+    paths = sorted({path for rule in active for path in rule.context_fields})
+    return shown.select(
+        *GROUP, "events_in_window", "first_seen", "last_seen",
+        _named(F.lit("")).alias("sample_event_ids"), text_map({path: _shown(F.lit(path)) for path in paths}).alias("context"),
+    )
+
+
 def _before(ev: DataFrame, rules: list[Rule], crossings: DataFrame) -> DataFrame:
     """Hits up to and including the crossing of their group."""
     cut = crossings.select(*GROUP, F.struct("ts", "event_id").alias("cut"))

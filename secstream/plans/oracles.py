@@ -996,6 +996,14 @@ oracle(
   array_to_string(list(event_id ORDER BY ts, event_id)[1:5], ',') AS sample_event_ids
 FROM evidence e GROUP BY rule_id, entity_id, w""",
 )
+oracle(
+    "window_evidence", ["hits"],
+    f"""SELECT e.rule_id, e.entity_id, make_timestamp(e.w) AS window_us, events_in_window, sample_event_ids, CASE WHEN e.rule_id IN {_SHOWS_IP} THEN ips END AS source_ips FROM (
+  SELECT rule_id, entity_id, w, count(*) AS events_in_window, array_to_string(list(event_id ORDER BY ts, event_id)[1:5], ',') AS sample_event_ids FROM hits GROUP BY ALL) e
+JOIN (SELECT rule_id, entity_id, w, string_agg(source_ip, ', ' ORDER BY p) FILTER (p <= 8) || CASE WHEN max(p) > 8 THEN ', …' ELSE '' END AS ips FROM (
+  SELECT *, row_number() OVER (PARTITION BY rule_id, entity_id, w ORDER BY a) AS p FROM (
+    SELECT rule_id, entity_id, w, source_ip, min((ts, event_id)) AS a FROM hits GROUP BY ALL)) GROUP BY 1, 2, 3) i USING (rule_id, entity_id, w)""",
+)
 block("travel12", ["logins"], _travel(12))
 oracle(
     "impossible_travel", ["travel12"],

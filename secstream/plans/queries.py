@@ -753,6 +753,13 @@ def window_state(x: Lab) -> DataFrame:
     return W.window_state(x.ev, WEEKLY).withColumn("window_us", F.timestamp_micros("window_us"))
 
 
+@query()
+def window_evidence(x: Lab) -> DataFrame:
+    """Samples and context of all windows, also of those that never fired."""
+    rows = W.window_evidence(x.ev.drop("labels", "raw"), WEEKLY)
+    return rows.select("rule_id", "entity_id", F.timestamp_micros("window_us").alias("window_us"), "events_in_window", "sample_event_ids", F.col("context")["source.ip"].alias("source_ips"))
+
+
 @query()
 def pipeline_state(x: Lab) -> DataFrame:
     return Q.pipeline_state(x.ev, latest(x.ev, "ingested_at"))
