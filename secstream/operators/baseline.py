@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from secstream.functions.quantiles import exact_percentiles
 from secstream.functions.scalar import as_time, at_most, gap_micros, ratio, recent
+from secstream.session import materialise
 
 
 def user_baseline(ev: DataFrame, as_of, days: int = 7) -> DataFrame:
@@ -68,7 +69,9 @@ def baseline_distribution(baseline: DataFrame) -> DataFrame:
         F.round(F.max("events_per_day"), 1).alias("max"),
         F.round(F.avg("failure_rate"), 4).alias("mean_failure_rate"),
         F.round(F.avg("distinct_countries"), 2).alias("mean_countries"),
-    ).join(middle, F.lit(True), "left")  # one row on either side
+    )
+    middle = materialise(middle, "percentiles")
+    stats = stats.withColumns({c: middle.select(c).scalar() for c in ("_median", "_p95")})
     return stats.select(
         "accounts", "mean_events_per_day", F.round("_median", 1).alias("median"), F.round("_p95", 1).alias("p95"), "max", "mean_failure_rate", "mean_countries"
     ).withColumn("p95_to_median", F.round(ratio(F.col("p95"), F.col("median")), 1))

@@ -1378,8 +1378,10 @@ def stream_batch_metrics(x: Lab) -> DataFrame:
     run = I_STREAM.stream_ingest(sources.file_messages(x.spark, landing, 2), events, dead, f"{events}-checkpoint")
     run.awaitTermination()
     seen = materialise(I_STREAM.batch_metrics(run), "batch-metrics")
-    order = Q.batch_latency(seen).select((F.col("p50") > 0).alias("timed"), ((F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99"))).alias("ordered"))
-    return seen.agg(F.sum("received").alias("received"), F.sum("rejected").alias("rejected")).join(order, F.lit(True))
+    order = materialise(Q.batch_latency(seen), "batch-latency")
+    timed, ordered = F.col("p50") > 0, (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99"))
+    counts = seen.agg(F.sum("received").alias("received"), F.sum("rejected").alias("rejected"))
+    return counts.withColumns({n: order.select(c.alias(n)).scalar() for n, c in (("timed", timed), ("ordered", ordered))})
 
 
 @query()
