@@ -3,12 +3,14 @@
 ``stream_window_counts`` uses native windowed aggregation: partial aggregates on the map side, so
 a hot entity costs one row per task, and the alert comes when the window closes.
 ``stream_threshold`` keeps keyed state and alerts on the very event that crosses the threshold; a
-micro-batch's rows of one key meet in one task, bounded by the trigger size.
+micro-batch's rows of one entity meet in one task, bounded by the trigger size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from dataclasses import field as dataclass_field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row
@@ -71,75 +73,110 @@ _FIRED = T.StructType(
 _Fired = Row(*_FIRED.fieldNames())
 
 
+@dataclass
+class _Window:
+    """What is known of one (rule, window) of an entity; ``seen`` has the values of each field in order of arrival."""
+
+    rule_id: str
+    window_us: int
+    closes_us: int
+    events: int = 0
+    fired: bool = False
+    first_us: int | None = None
+    last_us: int | None = None
+    samples: list[str] = dataclass_field(default_factory=list)
+    seen: dict[str, dict[str, None]] = dataclass_field(default_factory=dict)
+
+    def note(self, name: str, item: str | None, limit: int) -> int:
+        """Remember a value if there is room; returns how many different ones are known."""
+        known = self.seen.setdefault(name, {})
+        if item is not None and len(known) < limit:
+            known[item] = None
+        return len(known)
+
+    def known(self, name: str) -> list[str]:
+        return list(self.seen.get(name, ()))
+
+    @property
+    def ends_ms(self) -> int:
+        return self.closes_us // 1000 + 1
+
+    def stored(self) -> tuple:
+        seen = {name: list(items) for name, items in self.seen.items()}
+        return (self.rule_id, self.window_us, self.closes_us, self.events, self.fired, self.first_us, self.last_us, self.samples, seen)
+
+
 class _Crossing(StatefulProcessor):
-    """Counts events or distinct values of one (rule, entity, window) until it fires once.
+    """Counts events or distinct values of an entity's (rule, window)s until each fires once.
 
-    The distinct values that are kept never exceed the threshold, at which the rule fires.
+    All windows of an entity are one state value: every call to the store is a message to another process, so a
+    micro-batch reads and writes an entity once, however many rules and windows its events fall into. The distinct
+    values that are kept never exceed the threshold, at which the rule fires; a window that has fired keeps none.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tally = handle.getValueState(
-            "tally", "events bigint, fired boolean, first_us bigint, last_us bigint, samples array<string>"
+        self.windows = handle.getValueState(
+            "windows",
+            "open array<struct<rule_id string, window_us bigint, closes_us bigint, events bigint, fired boolean, first_us bigint, "
+            "last_us bigint, samples array<string>, seen map<string, array<string>>>>",
         )
-        self.seen = handle.getMapState("seen", "name string, item string", "position int")
-        self.sizes = handle.getMapState("sizes", "name string", "size int")
-
-    def _note(self, name: str, item: str | None, limit: int) -> int:
-        """Remember a value if there is room; returns how many different ones are known."""
-        known = self.sizes.getValue((name,))[0] if self.sizes.containsKey((name,)) else 0
-        if item is not None and known < limit and not self.seen.containsKey((name, item)):
-            self.seen.updateValue((name, item), (known,))
-            known += 1
-            self.sizes.updateValue((name,), (known,))
-        return known
 
-    def _known(self, name: str) -> list[str]:
-        pairs = [(value[0], key[1]) for key, value in self.seen.iterator() if key[0] == name]
-        return [item for _, item in sorted(pairs)]
+    def _held(self) -> dict[tuple[str, int], _Window]:
+        state = self.windows.get()
+        held = [_Window(*w[:7], list(w[7]), {n: dict.fromkeys(items) for n, items in w[8].items()}) for w in state[0]] if state else []
+        return {(w.rule_id, w.window_us): w for w in held}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        rule_id, entity_id, window_us = key
-        state = self.tally.get()
-        events, fired, first, last, samples = state if state else (0, False, None, None, [])
-        if fired:
-            return
-        samples = list(samples)
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        held = self._held()
+        timed, changed = {w.ends_ms for w in held.values()}, False
         for row in sorted(rows, key=lambda r: (r["ts_us"], r["event_id"])):
-            if row["closes_us"] <= row["delay_us"] + timerValues.getCurrentWatermarkInMs() * 1000:
+            if row["closes_us"] <= row["delay_us"] + watermark_us:
+                continue
+            at = (row["rule_id"], row["window_us"])
+            window = held.get(at)
+            if window is None:
+                window = held[at] = _Window(*at, row["closes_us"])
+            if window.fired:
                 continue
-            events += 1
-            first = row["ts_us"] if first is None else min(first, row["ts_us"])
-            last = row["ts_us"] if last is None else max(last, row["ts_us"])
-            if len(samples) < SAMPLES:
-                samples.append(row["event_id"])
+            changed = True
+            window.events += 1
+            window.first_us = row["ts_us"] if window.first_us is None else min(window.first_us, row["ts_us"])
+            window.last_us = row["ts_us"] if window.last_us is None else max(window.last_us, row["ts_us"])
+            if len(window.samples) < SAMPLES:
+                window.samples.append(row["event_id"])
             for fact in row["facts"]:
-                self._note(fact["name"], fact["item"], CONTEXT_VALUES + 1)
-            observed = self._note("", row["counted"], row["threshold"]) if row["distinct_field"] else events
-            self.handle.registerTimer(row["closes_us"] // 1000 + 1)
+                window.note(fact["name"], fact["item"], CONTEXT_VALUES + 1)
+            observed = window.note("", row["counted"], row["threshold"]) if row["distinct_field"] else window.events
             if observed >= row["threshold"]:
-                fired = True
-                context = self._context(row, events, observed, first, last)
-                yield _Fired(rule_id, entity_id, window_us, row["ts_us"], row["event_id"], row["threshold"], context, samples)
-                break
-        self.tally.update((events, fired, first, last, samples))
-
-    def _context(self, row, events, observed, first, last) -> dict[str, str]:
-        context = {"events_in_window": str(events), "first_seen": _instant(first), "last_seen": _instant(last)}
+                context = self._context(row, window, observed)
+                yield _Fired(at[0], key[0], at[1], row["ts_us"], row["event_id"], row["threshold"], context, window.samples)
+                window.fired, window.samples, window.seen = True, [], {}
+        if changed:
+            self.windows.update(([w.stored() for w in held.values()],))
+            for ends_ms in {w.ends_ms for w in held.values()} - timed:
+                self.handle.registerTimer(ends_ms)
+
+    def _context(self, row, window: _Window, observed: int) -> dict[str, str]:
+        context = {"events_in_window": str(window.events), "first_seen": _instant(window.first_us), "last_seen": _instant(window.last_us)}
         if row["distinct_field"]:
-            values = self._known("")
+            values = window.known("")
             sample = ", ".join(values[:DISTINCT_SHOWN]) + (", …" if len(values) > DISTINCT_SHOWN else "")
             context |= {"distinct_field": row["distinct_field"], "distinct_count": str(observed), "distinct_sample": sample}
         for name in {fact["name"] for fact in row["facts"]}:
-            values = self._known(name)
+            values = window.known(name)
             if values:
                 context[name] = ", ".join(values[:CONTEXT_VALUES]) + (", …" if len(values) > CONTEXT_VALUES else "")
         return context
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.tally.clear()
-        self.seen.clear()
-        self.sizes.clear()
+        """Windows that closed by this time go, the others stay."""
+        left = [w.stored() for w in self._held().values() if w.ends_ms > expiredTimerInfo.getExpiryTimeInMs()]
+        if left:
+            self.windows.update((left,))
+        else:
+            self.windows.clear()
         yield from ()
 
     def close(self) -> None:
@@ -173,7 +210,7 @@ def stream_threshold(events: DataFrame, rules: list[Rule]) -> DataFrame:
         .withColumn("closes_us", F.col("window_us") + per_rule(lambda r: micros(r.window) + micros(r.grace), "long"))
         .withColumn("delay_us", F.lit(delay * 1_000_000))
     )
-    fired = hits.groupBy("rule_id", "entity_id", "window_us").transformWithState(
+    fired = hits.groupBy("entity_id").transformWithState(
         _Crossing(), _FIRED, outputMode="Append", timeMode="EventTime"
     )
     return as_alerts(
