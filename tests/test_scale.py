@@ -1,7 +1,11 @@
 """Work of streams and carried state grows with the data in bounded tasks."""
 
+import datetime as dt
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from secstream.plans import queries
 from secstream.streaming import detect
 
 
@@ -51,3 +55,19 @@ def test_a_batch_reads_and_writes_an_entity_once():
     assert list(processor.handleInputRows(("u",), iter([_hit(50, 2_000_000)]), now)) == []
     list(processor.handleExpiredTimer(("u",), now, SimpleNamespace(getExpiryTimeInMs=lambda: 4_000)))
     assert [w[1] for w in handle.states[0].value[0]] == [4_000_000, 6_000_000, 8_000_000]
+
+
+def test_landed_stretches_take_files_by_their_rows(spark, small, monkeypatch):
+    """All stretches have as many files as the largest needs, so a trigger takes a stretch."""
+    monkeypatch.setattr(queries, "ROWS_A_FILE", 50)
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    n = F.col("id")
+    minutes = F.when(n < 800, n).when(n < 802, n + 900).otherwise(n + 2000)  # a stretch with two rows
+    rows = spark.range(2000).select("id", (F.lit(start) + minutes * F.expr("INTERVAL 1 MINUTE")).alias("at"))
+    landed = queries._landed(small, rows, "at", "test-landed")
+    back = spark.read.parquet(landed.path).select("id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("m"))
+    assert back.count() == 2000 and landed.per_stretch >= 16
+    files = back.groupBy("f").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.max("m").alias("m")).orderBy("m").collect()
+    assert len(files) % landed.per_stretch == 0 and max(f.n for f in files) < 200
+    batches = [files[k : k + landed.per_stretch] for k in range(0, len(files), landed.per_stretch)]
+    assert all(max(f.hi for f in a) < min(f.lo for f in b) for a, b in zip(batches, batches[1:], strict=False))
