@@ -85,6 +85,19 @@ def test_runs_one_after_the_other_equal_one(spark, small, whole, tmp_path):
     assert held(state) == whole
 
 
+def test_the_newest_of_incidents_opened_at_one_instant_goes_on(spark):
+    """The first firing opens one, a request of the same instant closes it, the next firing opens the second."""
+    users = [f"u{k}" for k in range(12)]
+    first = firing(spark, [(0, i, u, "high", 60, f"{u}-{i}") for u in users for i in ("a", "z")])
+    later = firing(spark, [(9, "b", u, "critical", 80, f"{u}-z") for u in users])
+    asked = [requests(spark, [(m, u, to) for u in users]) for m, to in ((0, "false_positive"), (5, "triaged"))]
+    before, _ = incident_history(first, asked[0])
+    assert before.count() == 24
+    got, _ = incident_history(later, asked[1], before)
+    whole, _ = incident_history(first.union(later), asked[0].union(asked[1]))
+    assert plain(got.select(*whole.columns)) == plain(whole)
+
+
 def test_upsert_rewrites_touched_keys_only(spark, tmp_path):
     table = carry.KeyedState(spark, str(tmp_path), ["k"], StructType.fromDDL("k bigint, v string"), buckets=4)
     rows = lambda lo, hi, v: spark.range(lo, hi).select(F.col("id").alias("k"), F.lit(v).alias("v"))
