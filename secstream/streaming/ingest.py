@@ -12,6 +12,7 @@ from secstream import schema
 from secstream.operators.ingest import dead_letters, dedupe_events, flatten_events, message_times, parse_events, validate_events
 from secstream.operators.lake import day_between, split_by_range, with_day
 from secstream.operators.quality import quality_checks
+from secstream.session import written
 from secstream.streaming.sources import start, write_batch
 
 
@@ -28,13 +29,13 @@ def stream_ingest(
     Offsets are committed only after a batch's events and dead letters are written, and both are
     written under the batch number, so a repeated batch changes nothing. Events already stored by
     other batches are left out; only the days the batch touches are read for that. Each batch is
-    counted where it is parsed, see ``batch_metrics``.
+    counted where it is parsed, see ``batch_metrics``. It is parsed once, in front of one write: a cached batch may be
+    parsed by two executors at the same time, or again after a loss, and would then be counted twice.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        validated = batch.persist()
-        try:
+        with written(batch, "ingest-batch") as validated:
             usable = flatten_events(validated.filter(F.col("failure_type").isNull()))
             stored = None
             if _exists(spark, events_path):
@@ -42,8 +43,6 @@ def stream_ingest(
             good = dedupe_events(usable, stored).select(*schema.FLAT_COLUMNS)
             write_batch(with_day(good), events_path, batch_id, schema.DAY_PARTS)
             write_batch(dead_letters(validated), dead_path, batch_id)
-        finally:
-            validated.unpersist()
 
     counted = validate_events(parse_events(messages)).observe(
         METRICS, F.count("*").alias("received"), F.count("failure_type").alias("rejected")

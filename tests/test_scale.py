@@ -5,8 +5,11 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql
 from secstream.plans import queries
+from secstream.sources import tables
 from secstream.streaming import detect
+from tests import oracle_check
 
 
 class _Value:
@@ -71,3 +74,24 @@ def test_landed_stretches_take_files_by_their_rows(spark, small, monkeypatch):
     assert len(files) % landed.per_stretch == 0 and max(f.n for f in files) < 200
     batches = [files[k : k + landed.per_stretch] for k in range(0, len(files), landed.per_stretch)]
     assert all(max(f.hi for f in a) < min(f.lo for f in b) for a, b in zip(batches, batches[1:], strict=False))
+
+
+def test_a_batch_is_counted_once_whatever_becomes_of_the_cache(spark, small, monkeypatch):
+    """Two executors may compute one cached partition at the same time; without a cache every use computes it."""
+    monkeypatch.setattr(type(small.ev), "persist", lambda df, *_: df)
+    got = queries.QUERIES["stream_batch_metrics"](small).first()
+    assert got.received == small.messages.count() and got.rejected == small.dead.count()
+
+
+def test_dead_letters_after_the_moment_of_the_checks_do_not_count(spark, tmp_path):
+    """The newest event is a cut message, and it arrives after the moment that the checks are made for."""
+    from tests.conftest import SMALL
+
+    con = oracle_check.connect(SMALL)
+    con.execute(f"COPY (SELECT * FROM events UNION ALL SELECT 1000000, max(ts) + INTERVAL 1 SECOND, 1, 'view', 50.0, '{{\"k\": 50}}' FROM events) TO '{tmp_path}/events.parquet'")
+    for table in oracle_check.TABLES:
+        if table != "events":
+            (tmp_path / f"{table}.parquet").symlink_to(f"{SMALL}/{table}.parquet")
+    assert tables.messages(spark, str(tmp_path)).filter("offset = 2000000 AND length(value) = 40").count() == 1
+    got = oracle_check.spark_rows(queries.all_queries()["quality_checks"](spark, str(tmp_path)))
+    assert oracle_check.difference(got, oracle_check.duck_rows(oracle_check.connect(str(tmp_path)), oracle_sql()["quality_checks"])) is None
