@@ -16,7 +16,8 @@ Fingerprints within ``radius`` bits of each other are linked; a document's compo
   so linking every member to the smallest at each shared value connects the same components without pairs.
 * The pipeline's stage asks for five-word shingles and a similarity of 0.8. Minima over the shingle sets find the
   candidates, 256 SimHash bits with a wide margin thin them out, and the exact shingle sets decide. Buckets are
-  worked through centre by centre, so that a group of near copies costs its size times a few rounds.
+  worked through centre by centre, so that a group of near copies costs its size times a few rounds; members that
+  the rounds leave apart are then compared with all of their buckets.
 * Components come from alternating large-star and small-star steps over written tables.
 """
 
@@ -291,7 +292,7 @@ SMALL = 8
 #: Pairs of a member that are verified in each of the first two rounds, those that share most buckets; all later.
 TRIES = 2
 #: Rounds of centres at most. Every round after the first two connects a few members in a thousand, each at the
-#: cost of all its shuffles; README has the share of similar pairs that ROUNDS rounds connect.
+#: cost of all its shuffles; pairs that ROUNDS rounds have not decided are compared one by one.
 ROUNDS = 4
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 #: Shingles whose products with all factors are held at once.
@@ -306,6 +307,11 @@ def most_bits() -> int:
     return int(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
+#: The other side's wide bits, and whether a pair passes them.
+_OTHER_WIDE = [f"{w} AS _c{w}" for w in _WIDE_NAMES]
+_NEAR = " + ".join(f"bit_count({w} ^ _c{w})" for w in _WIDE_NAMES) + f" <= {most_bits()}"
+
+
 def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), _AT_ONCE):
@@ -362,7 +368,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(F.col("_both") >= SIMILARITY * (F.col("_na") + F.col("_nb") - F.col("_both"))).select("_u", "_v")
 
 
-def _candidates(placed: DataFrame, number: int, exact: bool) -> DataFrame:
+def _candidates(placed: DataFrame, number: int) -> DataFrame:
     """(_d, _c): pairs of one bucket and different labels to look at, from ``placed`` (_value, _d, _label, _links).
 
     Members of buckets of SMALL or fewer meet each other, those of larger ones meet one centre: in even rounds the
@@ -372,13 +378,21 @@ def _candidates(placed: DataFrame, number: int, exact: bool) -> DataFrame:
     bucket = placed.groupBy("_value").agg(F.count("*").alias("_n"), F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.max_by(F.struct(F.col("_d").alias("_c"), F.col("_label").alias("_clabel")), ahead).alias("_centre"))
     bucket = materialise(bucket.filter("_low < _high").select("_value", "_n", "_centre.*"), "buckets")
     rows = placed.join(bucket, "_value")
-    met = None
-    if not exact:
-        met = rows.filter(f"_n > {SMALL} AND _label <> _clabel").select("_d", "_c")
-        rows = rows.filter(f"_n <= {SMALL}")
+    met = rows.filter(f"_n > {SMALL} AND _label <> _clabel").select("_d", "_c")
+    rows = rows.filter(f"_n <= {SMALL}")
     a, b = rows.select("_value", "_d", "_label"), rows.select("_value", F.col("_d").alias("_c"), F.col("_label").alias("_clabel"))
-    each = a.join(b, "_value").filter("_d > _c AND _label <> _clabel").select("_d", "_c")
-    return each if met is None else met.union(each)
+    return met.union(a.join(b, "_value").filter("_d > _c AND _label <> _clabel").select("_d", "_c"))
+
+
+def _rest(placed: DataFrame, prints: DataFrame) -> DataFrame:
+    """(_u, _v): all pairs of one bucket and different labels whose wide bits pass. The bits are compared inside the
+    join, so what is written are pairs that pass, not pairs of a bucket."""
+    mixed = placed.groupBy("_value").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low < _high").select("_value")
+    rows = materialise(placed.join(mixed, "_value").join(prints, "_d").select("_value", "_d", "_label", *_WIDE_NAMES), "rest-bands")
+    a = rows.select("_value", F.col("_d").alias("_u"), "_label", *_WIDE_NAMES)
+    b = rows.selectExpr("_value", "_d AS _v", "_label AS _vlabel", *_OTHER_WIDE)
+    met = a.join(b, (a["_value"] == b["_value"]) & F.expr(f"_u > _v AND _label <> _vlabel AND {_NEAR}"))
+    return met.select("_u", "_v").distinct()
 
 
 def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -398,8 +412,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> Da
     connected gets one label and is not compared again. The centre with most links matters where copies are
     edited each in its own way: the text that they derive from is similar to all of them, two copies may not be
     similar to each other. There are ROUNDS rounds, fewer if one connects nothing; each writes rows in proportion to
-    the members.
-    ``exact`` pairs all members of every bucket instead, at the cost of the square of a bucket.
+    the members. What then is left, all pairs of a bucket that have different labels and were not tried, is compared
+    in one exact step, so no candidate is lost: where the rounds have connected a bucket nothing is left of it.
+    ``exact`` leaves out the rounds: all members of every bucket are paired, at the cost of the square of a bucket.
     """
     rows = nodes.select("_d", F.explode("_bands").alias("_value"))
     met = rows.groupBy("_value").agg(F.count("*").alias("_n")).filter("_n > 1").select("_value")
@@ -410,26 +425,31 @@ def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> Da
     sets = materialise(sets.groupBy("_d").agg(F.first("_s").alias("_s")), "shingle-sets")
 
     prints = sets.select("_d").join(nodes.select("_d", *_WIDE_NAMES), "_d")
-    wide = " + ".join(f"bit_count({w} ^ _c{w})" for w in _WIDE_NAMES)
     labels = sets.select("_d", F.col("_d").alias("_label"), F.lit(0).cast("long").alias("_links"))
     placed = shared.select("*", F.col("_d").alias("_label"), F.lit(0).cast("long").alias("_links"))
     tried, found, number = None, None, 0
-    while True:
-        pairs = _candidates(placed, number, exact).groupBy("_d", "_c").agg(F.count("*").alias("_n"))
+    while not exact and number < ROUNDS:
+        pairs = _candidates(placed, number).groupBy("_d", "_c").agg(F.count("*").alias("_n"))
         if tried is not None:
             pairs = pairs.join(tried, F.expr("greatest(_d, _c) = _u AND least(_d, _c) = _v"), "left_anti")
-        if not exact and number < 2:
+        if number < 2:
             first = Window.partitionBy("_d").orderBy(F.desc("_n"), F.xxhash64("_c"))
             pairs = pairs.withColumn("_rank", F.row_number().over(first)).filter(f"_rank <= {TRIES}")
         pairs = materialise(pairs.select(F.greatest("_d", "_c").alias("_u"), F.least("_d", "_c").alias("_v")).distinct(), "tries")
-        near = pairs.join(prints.select(F.col("_d").alias("_u"), *_WIDE_NAMES), "_u").join(prints.select(F.col("_d").alias("_v"), *(F.col(w).alias(f"_c{w}") for w in _WIDE_NAMES)), "_v")
-        links_now = materialise(similar(near.filter(f"{wide} <= {most_bits()}").select("_u", "_v"), sets), "links-now")
+        near = pairs.join(prints.select(F.col("_d").alias("_u"), *_WIDE_NAMES), "_u").join(prints.selectExpr("_d AS _v", *_OTHER_WIDE), "_v")
+        links_now = materialise(similar(near.filter(_NEAR).select("_u", "_v"), sets), "links-now")
         found = links_now if found is None else found.union(links_now)
-        if exact or number + 1 == ROUNDS or links_now.limit(1).count() == 0:
-            return found
         tried = pairs if tried is None else tried.union(pairs)
-        labels, number = _relabelled(labels, found), number + 1
+        number += 1
+        if links_now.limit(1).count() == 0:
+            break
+        labels = _relabelled(labels, found)
         placed = materialise(shared.join(labels, "_d"), "placed-bands")
+    rest = _rest(placed, prints)
+    if tried is not None:
+        rest = rest.join(tried, ["_u", "_v"], "left_anti")
+    last = materialise(similar(materialise(rest, "rest-tries"), sets), "links-now")
+    return last if found is None else found.union(last)
 
 
 def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:

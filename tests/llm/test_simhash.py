@@ -209,6 +209,16 @@ def test_the_exact_form_looks_at_all_that_share_a_bucket(spark):
     assert kept == set(group.values())
 
 
+def test_what_the_rounds_leave_apart_is_compared_in_full(spark, monkeypatch):
+    """One round with one try a member leaves most similar pairs undecided; none of them may be lost."""
+    monkeypatch.setattr(h, "ROUNDS", 1)
+    monkeypatch.setattr(h, "TRIES", 1)
+    monkeypatch.setattr(h, "SMALL", 2)
+    rows = edited_copies(120, 0.8, "scattered")
+    apart = {x.doc_id for x in h.keep_one(documents(spark, rows), exact=True).collect()}
+    assert {x.doc_id for x in h.keep_one(documents(spark, rows)).collect()} == apart
+
+
 def test_texts_of_one_id_are_judged_each(spark):
     rows = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(2, 60)), (3, prose(2, 60) + " more"), (4, "One two"), (5, "one  TWO"), (None, "one two")]
     kept = sorted((x.doc_id, x.text) for x in h.keep_one(documents(spark, rows)).collect())
