@@ -1,10 +1,55 @@
 """Work that grew faster than the data, or was done several times over."""
 
 from collections import Counter
+from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from secstream.operators import carry
 from secstream.operators import lake as L
+from secstream.operators.incidents import incident_transitions
+from secstream.operators.risk import scored_firings
+from secstream.operators.scoring import HISTORY, append_score_history, read_score_history
 from secstream.plans.queries import QUERIES, lab
 from secstream.sources.manifest import Manifest
+from secstream.streaming.respond import _Risk
+from tests.helpers import at
+from tests.test_carry import firing, requests
+from tests.test_scale import _Handle
+
+
+def test_a_request_comes_back_once(spark):
+    """Requests of one instant and number were joined to each other."""
+    asked = spark.createDataFrame([("i", at(1), "q", "triaged", "ann", "one"), ("i", at(1), "q", "triaged", "bob", "two")], "incident_id string, at timestamp, seq string, to string, actor string, note string")
+    opened = spark.createDataFrame([("i", "new", at(0))], "incident_id string, status string, updated_at timestamp")
+    log = incident_transitions(opened, asked)[1]
+    assert sorted((r.actor, r.note, r.found, r.accepted) for r in log.collect()) == [("ann", "one", "new", True), ("bob", "two", "triaged", False)]
+
+
+def test_a_run_walks_the_incidents_once(spark, small, tmp_path, monkeypatch):
+    calls, real = Counter(), carry.incident_history
+    monkeypatch.setattr(carry, "incident_history", lambda *a: (calls.update(["walk"]), real(*a))[1])
+    state = carry.Carried.at(spark, str(tmp_path))
+    first, second = (small.alerts.filter(F.col("detected_at") <= "2024-01-15"), small.alerts.filter(F.col("detected_at") > "2024-01-15"))
+    for name, part in (("one", first), ("two", second)):
+        assert carry.fold_run(part, small.entity_requests.limit(0), state, name, small.now)
+    assert calls["walk"] == 2
+
+
+def test_many_slices_are_walked_as_one(spark):
+    """Over three stretches of slices, the last of them not full."""
+    rows = firing(spark, [(10 * m, f"a{m:04d}", "u", "medium", 0, "s") for m in range(300)])
+    rows = rows.drop("score").withColumns({"rule_name": F.lit("R"), "technique": F.lit("T"), "occurrence": F.lit(1).cast("long")})
+    got, whole = ({r.alert_id: round(r.score, 9) for r in scored_firings(rows, width=w).collect()} for w in ("5 minutes", "100 days"))
+    assert len(got) == 300 and got == whole
+
+
+def test_a_scoring_run_is_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda s: (seen.add(1), s)[1], "string").asNondeterministic()
+    rows = spark.createDataFrame([(at(0), 1.0, "r", None, 1, 0, 0, 1.0, None, None)], HISTORY).withColumn("rule_id", count("rule_id"))
+    assert append_score_history(rows, str(tmp_path)) and seen.value == 1
+    assert read_score_history(spark, str(tmp_path)).count() == 1
 
 
 def test_one_day_is_split_over_many_files(spark, monkeypatch):
@@ -20,3 +65,14 @@ def test_one_day_is_split_over_many_files(spark, monkeypatch):
     days = QUERIES["compact_day"](x).collect()
     assert sum(r["rows"] for r in days) == x.ev.count() and len(days) == 30
     assert files[True] >= 5 and files[False] <= 2 * 29
+
+
+def test_a_batch_reads_and_writes_a_score_once():
+    handle, now = _Handle(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    handle.deleteTimer = lambda at_ms: None
+    processor = _Risk(3600, 300.0, 1_800_000_000)
+    processor.init(handle)
+    rows = [{"at_us": n * 1_000_000, "alert_id": f"a{n}", "dedupe_key": f"k{n % 3}", "weight": 1.0} for n in range(40)]
+    assert [s.occurrence for s in processor.handleInputRows(("user", "u"), iter(rows[:20]), now)] == [n // 3 + 1 for n in range(20)]
+    assert [s.occurrence for s in processor.handleInputRows(("user", "u"), iter(rows[20:]), now)] == [n // 3 + 1 for n in range(20, 40)]
+    assert [s.calls for s in handle.states] == [4]
