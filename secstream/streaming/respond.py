@@ -61,7 +61,8 @@ class _Risk(StatefulProcessor):
     """Score of one entity, and how often each of its dedupe keys has fired in its open row.
 
     What no later firing can see goes: a dedupe key once the watermark is past its suppression window, the score
-    once it has decayed under the floor. One timer an entity, for whatever goes next.
+    once it has decayed under the floor. One timer an entity, for whatever goes next. Both are one state value, as
+    every call to the state store is a message to another process: one read and one write a micro-batch.
     """
 
     def __init__(self, half_life_s: int, cap: float, suppression_us: int) -> None:
@@ -69,31 +70,32 @@ class _Risk(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.score = handle.getValueState("score", "score double, at_us bigint, timer_ms bigint")
-        self.firings = handle.getMapState("firings", "dedupe_key string", "last_us bigint, n bigint")
+        self.state = handle.getValueState("state", "score double, at_us bigint, timer_ms bigint, firings array<struct<dedupe_key:string,last_us:bigint,n:bigint>>")
 
     def _dies_ms(self, score: float, at_us: int) -> int:
         """When a score is under the floor: the first whole second at which the decay says so."""
         lasts = max(0.0, self.half_life_s * math.log2(score / FLOOR)) if score > 0 else 0.0
         return at_us // 1000 + (int(lasts) + 2) * 1000
 
-    def _wake(self, score: float, at_us: int, before_ms: int) -> None:
-        ends = [last // 1000 + self.suppression_us // 1000 + 1 for _, (last, _) in self.firings.iterator()]
+    def _wake(self, score: float, at_us: int, before_ms: int, firings: dict) -> None:
+        ends = [last // 1000 + self.suppression_us // 1000 + 1 for last, _ in firings.values()]
         timer = min([self._dies_ms(score, at_us), *ends])
         if timer != before_ms:
             if before_ms:
                 self.handle.deleteTimer(before_ms)
             self.handle.registerTimer(timer)
-        self.score.update((score, at_us, timer))
+        self.state.update((score, at_us, timer, [(name, *fired) for name, fired in firings.items()]))
+
+    def _held(self) -> tuple[float, int | None, int, dict]:
+        score, at_us, timer, firings = self.state.get() or (0.0, None, 0, [])
+        return score, at_us, timer, {name: (last, n) for name, last, n in firings}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.score.get()
-        score, at_us, timer = held if held else (0.0, None, 0)
+        score, at_us, timer, firings = self._held()
         for row in sorted(rows, key=lambda r: (r["at_us"], r["alert_id"])):
-            name = (row["dedupe_key"],)
-            last_us, n = self.firings.getValue(name) if self.firings.containsKey(name) else (None, 0)
+            last_us, n = firings.get(row["dedupe_key"], (None, 0))
             n = n + 1 if last_us is not None and row["at_us"] - last_us <= self.suppression_us else 1
-            self.firings.updateValue(name, (row["at_us"], n))
+            firings[row["dedupe_key"]] = row["at_us"], n
             elapsed = row["at_us"] - at_us if at_us is not None else 0
             if elapsed > 0:
                 score *= 0.5 ** ((elapsed // 1_000_000) / self.half_life_s)
@@ -101,20 +103,18 @@ class _Risk(StatefulProcessor):
             score = min(self.cap, score + row["weight"] / n**0.5)
             at_us = row["at_us"]
             yield _Scored(*key, row["alert_id"], row["at_us"], n, score)
-        self._wake(score, at_us, timer)
+        self._wake(score, at_us, timer, firings)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now_ms = timerValues.getCurrentWatermarkInMs()
-        for name, (last, _) in list(self.firings.iterator()):
-            if last + self.suppression_us < now_ms * 1000:
-                self.firings.removeKey(name)
-        score, at_us, _ = self.score.get()
+        score, at_us, _, firings = self._held()
+        firings = {name: (last, n) for name, (last, n) in firings.items() if last + self.suppression_us >= now_ms * 1000}
         if self._dies_ms(score, at_us) <= now_ms:
             score = 0.0
-        if score == 0.0 and not list(self.firings.iterator()):
-            self.score.clear()
+        if score == 0.0 and not firings:
+            self.state.clear()
         else:
-            self._wake(score, at_us if score else now_ms * 1000, 0)
+            self._wake(score, at_us if score else now_ms * 1000, 0, firings)
         yield from ()
 
     def close(self) -> None:
