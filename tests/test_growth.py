@@ -5,15 +5,17 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from secstream.functions.scalar import text_map
 from secstream.operators import carry
 from secstream.operators import lake as L
 from secstream.operators.incidents import incident_transitions
 from secstream.operators.risk import scored_firings
 from secstream.operators.scoring import HISTORY, append_score_history, read_score_history
 from secstream.plans.queries import QUERIES, lab
+from secstream.sources import tables
 from secstream.sources.manifest import Manifest
 from secstream.streaming.respond import _Risk
-from tests.helpers import at
+from tests.helpers import at, plan
 from tests.test_carry import firing, requests
 from tests.test_scale import _Handle
 
@@ -76,3 +78,20 @@ def test_a_batch_reads_and_writes_a_score_once():
     assert [s.occurrence for s in processor.handleInputRows(("user", "u"), iter(rows[:20]), now)] == [n // 3 + 1 for n in range(20)]
     assert [s.occurrence for s in processor.handleInputRows(("user", "u"), iter(rows[20:]), now)] == [n // 3 + 1 for n in range(20, 40)]
     assert [s.calls for s in handle.states] == [4]
+
+
+def test_events_are_derived_once_and_dealt_out(spark, small):
+    """Each scan parsed the JSON of the activity again, once for every condition, in as many tasks as there are row groups."""
+    assert "get_json_object" not in plan(small.transition_requests) and "get_json_object" not in plan(small.events)
+    dealt = tables.security_events(spark, small.sf_dir, dealt=True)
+    assert "REPARTITION_BY_COL" in plan(dealt)
+    assert small.events.columns == small.ev.drop("raw").columns
+    told = [df.withColumn("run", F.col("labels")["run_id"]).drop("labels", "raw") for df in (small.ev, small.events)]
+    assert small.events.count() == small.ev.count() and told[0].exceptAll(told[1]).isEmpty()
+
+
+def test_a_text_map_stays_in_generated_code(spark):
+    rows = spark.createDataFrame([(1, None), (None, "x"), (None, None)], "a int, b string")
+    got = rows.select(text_map({"a": F.col("a"), "b": F.col("b")}).alias("m"))
+    assert [r.m for r in got.collect()] == [{"a": "1"}, {"b": "x"}, {}] and got.schema["m"].dataType.simpleString() == "map<string,string>"
+    assert "lambda" not in plan(got)
