@@ -95,3 +95,12 @@ def test_a_text_map_stays_in_generated_code(spark):
     got = rows.select(text_map({"a": F.col("a"), "b": F.col("b")}).alias("m"))
     assert [r.m for r in got.collect()] == [{"a": "1"}, {"b": "x"}, {}] and got.schema["m"].dataType.simpleString() == "map<string,string>"
     assert "lambda" not in plan(got)
+
+
+def test_alerts_that_are_stored_are_not_written_again(small, monkeypatch):
+    from secstream.plans import detection
+
+    names, real = [], detection.materialise
+    monkeypatch.setattr(detection, "materialise", lambda df, name: (names.append(name), real(df, name))[1])
+    detection.respond(small.alerts, small.now, stored=True)
+    assert names == ["positions", "scored"]
