@@ -104,3 +104,9 @@ def test_alerts_that_are_stored_are_not_written_again(small, monkeypatch):
     monkeypatch.setattr(detection, "materialise", lambda df, name: (names.append(name), real(df, name))[1])
     detection.respond(small.alerts, small.now, stored=True)
     assert names == ["positions", "scored"]
+
+
+def test_incidents_and_actions_are_worked_out_once(small):
+    for written, lazy in ((small.incidents, small.response.incidents), (small.actions, small.response.actions)):
+        assert "Aggregate" in plan(lazy) and "Aggregate" not in plan(written)
+        assert lazy.exceptAll(written).isEmpty() and written.count() == lazy.count()
