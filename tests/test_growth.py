@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from secstream.functions.scalar import text_map
 from secstream.operators import carry
 from secstream.operators import lake as L
-from secstream.operators.incidents import incident_transitions
+from secstream.operators.incidents import incident_history, incident_transitions
 from secstream.operators.risk import scored_firings
 from secstream.operators.scoring import HISTORY, append_score_history, read_score_history
 from secstream.plans.queries import QUERIES, lab
@@ -106,6 +106,14 @@ def test_alerts_that_are_stored_are_not_written_again(small, monkeypatch):
     assert names == ["positions", "scored"]
 
 
+def test_a_request_comes_back_once_in_a_history(spark):
+    attached = firing(spark, [(0, "a", "u", "high", 60, "s1")])
+    asked = requests(spark, [(5, "u", "triaged"), (5, "u", "contained")]).withColumn("seq", F.lit("q"))
+    found, log = incident_history(attached, asked)
+    assert sorted((r.to, r.found, r.left) for r in log.collect()) == [("contained", "new", "new"), ("triaged", "new", "triaged")]
+    assert [(r.entity_id, r.status) for r in found.collect()] == [("u", "triaged")]
+
+
 def test_incidents_and_actions_are_worked_out_once(small):
     for written, lazy in ((small.incidents, small.response.incidents), (small.actions, small.response.actions)):
         assert "Aggregate" in plan(lazy) and "Aggregate" not in plan(written)
