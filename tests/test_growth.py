@@ -114,6 +114,12 @@ def test_a_request_comes_back_once_in_a_history(spark):
     assert [(r.entity_id, r.status) for r in found.collect()] == [("u", "triaged")]
 
 
+def test_a_request_for_nobody_comes_back(spark):
+    asked = requests(spark, [(5, "u", "triaged"), (6, None, "triaged")])
+    log = incident_history(firing(spark, [(0, "a", "u", "high", 60, "s1")]), asked)[1]
+    assert sorted((r.seq, r.found, r.left, r.accepted, r.incident_id is None) for r in log.collect()) == [("q0", "new", "triaged", True, False), ("q1", "none", "none", False, True)]
+
+
 def test_incidents_and_actions_are_worked_out_once(small):
     for written, lazy in ((small.incidents, small.response.incidents), (small.actions, small.response.actions)):
         assert "Aggregate" in plan(lazy) and "Aggregate" not in plan(written)
