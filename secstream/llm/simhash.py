@@ -17,7 +17,7 @@ Fingerprints within ``radius`` bits of each other are linked; a document's compo
 * The pipeline's stage asks for five-word shingles and a similarity of 0.8. Minima over the shingle sets find the
   candidates, 256 SimHash bits with a wide margin thin them out, and the exact shingle sets decide. Buckets are
   worked through centre by centre, so that a group of near copies costs its size times a few rounds; members that
-  the rounds leave apart are then compared with all of their buckets.
+  the rounds leave apart are then compared by their differences from one centre, in which only similar ones meet.
 * Components come from alternating large-star and small-star steps over written tables.
 """
 
@@ -283,6 +283,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: Candidates share one of BANDS values, each made of ROWS minima over the shingle set; at SIMILARITY all BANDS
 #: miss in (1 - 0.8 ** 8) ** 64 = 8e-6 of the pairs, whatever the shape of the edit.
 BANDS, ROWS = 64, 8
+#: Shingles in which two similar texts differ at most, as a share of the sum of their numbers of shingles.
+FAR = (1 - SIMILARITY) / (1 + SIMILARITY)
 #: 256 SimHash bits of the shingle set, four longs, and the standard deviations above the mean at SIMILARITY up
 #: to which they let a candidate pass. Shingle sets decide.
 _WIDE, DEVIATIONS = 4, 6
@@ -292,7 +294,7 @@ SMALL = 8
 #: Pairs of a member that are verified in each of the first two rounds, those that share most buckets; all later.
 TRIES = 2
 #: Rounds of centres at most. Every round after the first two connects a few members in a thousand, each at the
-#: cost of all its shuffles; pairs that ROUNDS rounds have not decided are compared one by one.
+#: cost of all its shuffles; pairs that ROUNDS rounds have not decided are left to ``_apart``.
 ROUNDS = 4
 _FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 #: Shingles whose products with all factors are held at once.
@@ -384,15 +386,56 @@ def _candidates(placed: DataFrame, number: int) -> DataFrame:
     return met.union(a.join(b, "_value").filter("_d > _c AND _label <> _clabel").select("_d", "_c"))
 
 
-def _rest(placed: DataFrame, prints: DataFrame) -> DataFrame:
-    """(_u, _v): all pairs of one bucket and different labels whose wide bits pass. The bits are compared inside the
-    join, so what is written are pairs that pass, not pairs of a bucket."""
-    mixed = placed.groupBy("_value").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low < _high").select("_value")
-    rows = materialise(placed.join(mixed, "_value").join(prints, "_d").select("_value", "_d", "_label", *_WIDE_NAMES), "rest-bands")
-    a = rows.select("_value", F.col("_d").alias("_u"), "_label", *_WIDE_NAMES)
-    b = rows.selectExpr("_value", "_d AS _v", "_label AS _vlabel", *_OTHER_WIDE)
-    met = a.join(b, (a["_value"] == b["_value"]) & F.expr(f"_u > _v AND _label <> _vlabel AND {_NEAR}"))
-    return met.select("_u", "_v").distinct()
+def _all_pairs(placed: DataFrame, prints: DataFrame) -> DataFrame:
+    """(_u, _v): all pairs of one bucket whose wide bits pass, at the cost of the square of a bucket."""
+    rows = materialise(placed.join(prints, "_d").select("_value", "_d", *_WIDE_NAMES), "rest-bands")
+    a = rows.select("_value", F.col("_d").alias("_u"), *_WIDE_NAMES)
+    b = rows.selectExpr("_value", "_d AS _v", *_OTHER_WIDE)
+    return a.join(b, (a["_value"] == b["_value"]) & F.expr(f"_u > _v AND {_NEAR}")).select("_u", "_v").distinct()
+
+
+def _apart(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """What decides all pairs of one bucket and different labels: links to centres, which are exact, and candidates
+    (_u, _v); None without such pairs.
+
+    Buckets that have labels in common are one group, its centre c the member with most links. With D = the shingles
+    that are in either x or c, not in both, x and y are similar exactly if D(x) and D(y) differ in at most FAR of
+    |x| + |y| shingles, so they have (|D(x)| + |D(y)| - FAR (|x| + |y|)) / 2 in common, and the first one they have in
+    common, rarest first, is that far from the end of both. Copies of one text that were edited each in its own way
+    differ from it in rare shingles, so they do not meet. Where that number is not above 0, x and y are both similar
+    to c.
+    """
+    bucket = placed.groupBy("_value").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low < _high")
+    rows = materialise(placed.join(bucket.select("_value", "_low"), "_value").select("_low", "_d", "_label", "_links").distinct(), "rest-bands")
+    if rows.limit(1).count() == 0:
+        return None
+    groups = components(rows.select(F.col("_label").alias("_u"), F.col("_low").alias("_v")))
+    members = rows.select("_d", "_label", "_links").distinct().join(groups, F.col("_label") == F.col("_node"), "left")
+    members = materialise(members.select(F.coalesce("_root", "_label").alias("_g"), "_d", "_label", "_links"), "rest-members")
+    centre = members.groupBy("_g").agg(F.max_by("_d", F.struct("_links", F.xxhash64("_d"))).alias("_d"))
+    centre = centre.join(sets, "_d").select("_g", F.col("_d").alias("_c"), F.col("_s").alias("_cs"))
+    both = members.join(sets, "_d").join(centre, "_g")
+    differ = F.concat(F.array_except("_s", "_cs"), F.array_except("_cs", "_s"))
+    both = both.select("_g", "_d", "_label", "_c", F.size("_s").alias("_n"), F.size("_cs").alias("_cn"), differ.alias("_diff"))
+    both = materialise(both.withColumn("_m", F.size("_diff")), "differences")
+    common = (F.col("_n") + F.col("_cn") - F.col("_m")) / 2
+    near = both.filter(F.col("_d") != F.col("_c")).filter(common >= SIMILARITY * (F.col("_n") + F.col("_cn") - common))
+
+    each = both.select("_g", "_d", "_label", "_n", "_m", F.explode("_diff").alias("_e"))
+    met = each.groupBy("_g", "_e").agg(F.count("*").alias("_times")).filter("_times > 1")
+    ranked = each.join(met, ["_g", "_e"]).groupBy("_g", "_d", "_label", "_n", "_m")
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("_times", "_e"))).alias("_shared"))
+    # shingles that no other member has come first; what lies beyond the most that a partner can leave is not needed
+    ranked = ranked.withColumn("_own", F.col("_m") - F.size("_shared"))
+    most = F.floor(F.col("_n") * ((1 - SIMILARITY) / SIMILARITY) + 1e-6).cast("int") + 1 - F.col("_own")
+    at = ranked.select("_g", "_d", "_label", "_n", "_m", "_own", F.posexplode(F.slice("_shared", F.lit(1), F.greatest(most, F.lit(0)))).alias("_p", "_x"))
+    at = materialise(at.select("_g", "_x._e", "_d", "_label", "_n", "_m", (F.col("_own") + F.col("_p")).alias("_p")), "rest-shingles")
+    a = at.withColumnRenamed("_d", "_u")
+    b = at.selectExpr("_g", "_e", "_d AS _v", "_label AS _vlabel", "_n AS _vn", "_m AS _vm", "_p AS _vp")
+    slack = f"(_n + _vn) * {FAR} + 1e-6"
+    meet = F.expr(f"_u > _v AND _label <> _vlabel AND 2 * _p <= _m - _vm + {slack} AND 2 * _vp <= _vm - _m + {slack}")
+    pairs = a.join(b, (a["_g"] == b["_g"]) & (a["_e"] == b["_e"]) & meet).select("_u", "_v").distinct()
+    return near.select(F.greatest("_d", "_c").alias("_u"), F.least("_d", "_c").alias("_v")), pairs
 
 
 def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -412,9 +455,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> Da
     connected gets one label and is not compared again. The centre with most links matters where copies are
     edited each in its own way: the text that they derive from is similar to all of them, two copies may not be
     similar to each other. There are ROUNDS rounds, fewer if one connects nothing; each writes rows in proportion to
-    the members. What then is left, all pairs of a bucket that have different labels and were not tried, is compared
-    in one exact step, so no candidate is lost: where the rounds have connected a bucket nothing is left of it.
-    ``exact`` leaves out the rounds: all members of every bucket are paired, at the cost of the square of a bucket.
+    the members. What then is left, all pairs of a bucket that have different labels and were not tried, is decided
+    exactly by their differences from a centre (``_apart``), so no candidate is lost and members that are similar to
+    nothing do not meet. ``exact`` leaves out both: all members of every bucket are paired, at the cost of the square
+    of a bucket.
     """
     rows = nodes.select("_d", F.explode("_bands").alias("_value"))
     met = rows.groupBy("_value").agg(F.count("*").alias("_n")).filter("_n > 1").select("_value")
@@ -445,11 +489,17 @@ def similar_links(nodes: DataFrame, texts: DataFrame, exact: bool = False) -> Da
             break
         labels = _relabelled(labels, found)
         placed = materialise(shared.join(labels, "_d"), "placed-bands")
-    rest = _rest(placed, prints)
-    if tried is not None:
-        rest = rest.join(tried, ["_u", "_v"], "left_anti")
-    last = materialise(similar(materialise(rest, "rest-tries"), sets), "links-now")
-    return last if found is None else found.union(last)
+    if exact:
+        return similar(materialise(_all_pairs(placed, prints), "rest-tries"), sets)
+    if number > 2:  # the third round tries all pairs of buckets of SMALL or fewer
+        large = shared.groupBy("_value").agg(F.count("*").alias("_n")).filter(f"_n > {SMALL}").select("_value")
+        placed = placed.join(large, "_value")
+    rest = _apart(placed, sets)
+    if rest is None:
+        return found
+    to_centre, pairs = rest
+    pairs = pairs.join(tried, ["_u", "_v"], "left_anti")
+    return found.union(to_centre).union(similar(materialise(pairs, "rest-tries"), sets))
 
 
 def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:

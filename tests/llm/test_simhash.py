@@ -219,6 +219,56 @@ def test_what_the_rounds_leave_apart_is_compared_in_full(spark, monkeypatch):
     assert {x.doc_id for x in h.keep_one(documents(spark, rows)).collect()} == apart
 
 
+def brute_force(rows):
+    """The smallest id of each group that pairs of SIMILARITY or more connect."""
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    group = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if group[a] != group[b] and both >= h.SIMILARITY * (len(sets[a]) + len(sets[b]) - both):
+            lo, hi = sorted((group[a], group[b]))
+            group = {i: lo if g == hi else g for i, g in group.items()}
+    return set(group.values())
+
+
+def test_copies_that_are_similar_to_nothing_do_not_meet(spark, monkeypatch):
+    """Half of the copies are far from all others, though they share buckets with them: those pairs were all compared."""
+    rows, looked_at, plain = edited_copies(250, 0.85, "scattered"), [], h.similar
+    rows += [(1_000 + i, t) for i, t in edited_copies(250, 0.74, "scattered")[1:]]
+
+    def counted(pairs, sets):
+        looked_at.append(pairs.count())
+        return plain(pairs, sets)
+
+    monkeypatch.setattr(h, "similar", counted)
+    assert {x.doc_id for x in h.keep_one(documents(spark, rows)).collect()} == brute_force(rows)
+    assert sum(looked_at) <= 20 * len(rows)
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_differences_from_a_centre_lose_no_pair(spark, monkeypatch, rounds):
+    """Families of edited copies of edited copies, some near the centre, some near each other only, of unequal length."""
+    monkeypatch.setattr(h, "ROUNDS", rounds)
+    monkeypatch.setattr(h, "TRIES", 1)
+    monkeypatch.setattr(h, "SMALL", 2)
+    rows, base, r = [], prose(78, 150).split(), random.Random(9)
+
+    def edited(words, n, tag):
+        words = list(words)
+        for j in range(n):
+            at = r.randrange(len(words))
+            words[at : at + r.choice([0, 1, 1, 2])] = r.choice([[], [f"{tag}x{j}"], [f"{tag}y{j}", "the"]])
+        return words
+
+    for k in range(30):
+        head = edited(base, r.choice([1, 3, 4, 5]), f"h{k}") + prose(500 + k, r.choice([1, 1, 20])).split()
+        rows.append((100 * k, " ".join(head)))
+        rows += [(100 * k + j, " ".join(edited(head, r.choice([1, 2, 3, 4]), f"c{k}z{j}"))) for j in range(1, 6)]
+    want = brute_force(rows)
+    assert 10 < len(want) < len(rows) - 30
+    assert {x.doc_id for x in h.keep_one(documents(spark, rows)).collect()} == want
+
+
 def test_texts_of_one_id_are_judged_each(spark):
     rows = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(2, 60)), (3, prose(2, 60) + " more"), (4, "One two"), (5, "one  TWO"), (None, "one two")]
     kept = sorted((x.doc_id, x.text) for x in h.keep_one(documents(spark, rows)).collect())
