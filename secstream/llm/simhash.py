@@ -398,20 +398,21 @@ def _apart(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame] |
     """What decides all pairs of one bucket and different labels: links to centres, which are exact, and candidates
     (_u, _v); None without such pairs.
 
-    Buckets that have labels in common are one group, its centre c the member with most links. With D = the shingles
+    A bucket goes to the label of its member with most links, and on to the first label of that one's buckets, so that
+    buckets of the same copies are few groups; a group's centre c is its member with most links. With D = the shingles
     that are in either x or c, not in both, x and y are similar exactly if D(x) and D(y) differ in at most FAR of
     |x| + |y| shingles, so they have (|D(x)| + |D(y)| - FAR (|x| + |y|)) / 2 in common, and the first one they have in
     common, rarest first, is that far from the end of both. Copies of one text that were edited each in its own way
     differ from it in rare shingles, so they do not meet. Where that number is not above 0, x and y are both similar
     to c.
     """
-    bucket = placed.groupBy("_value").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).filter("_low < _high")
-    rows = materialise(placed.join(bucket.select("_value", "_low"), "_value").select("_low", "_d", "_label", "_links").distinct(), "rest-bands")
+    ahead = F.struct("_links", F.xxhash64("_label"), "_label")
+    bucket = placed.groupBy("_value").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high"), F.max(ahead).alias("_first"))
+    rows = materialise(placed.join(bucket.filter("_low < _high").select("_value", "_first"), "_value").select("_d", "_label", "_links", "_first").distinct(), "rest-bands")
     if rows.limit(1).count() == 0:
         return None
-    groups = components(rows.select(F.col("_label").alias("_u"), F.col("_low").alias("_v")))
-    members = rows.select("_d", "_label", "_links").distinct().join(groups, F.col("_label") == F.col("_node"), "left")
-    members = materialise(members.select(F.coalesce("_root", "_label").alias("_g"), "_d", "_label", "_links"), "rest-members")
+    best = rows.groupBy(F.col("_label").alias("_of")).agg(F.max("_first")["_label"].alias("_g"))
+    members = rows.join(best, rows["_first"]["_label"] == best["_of"]).select("_g", "_d", "_label", "_links").distinct()
     centre = members.groupBy("_g").agg(F.max_by("_d", F.struct("_links", F.xxhash64("_d"))).alias("_d"))
     centre = centre.join(sets, "_d").select("_g", F.col("_d").alias("_c"), F.col("_s").alias("_cs"))
     both = members.join(sets, "_d").join(centre, "_g")
