@@ -3,15 +3,17 @@
 from collections import Counter
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from secstream.functions.scalar import text_map
 from secstream.operators import carry
 from secstream.operators import lake as L
+from secstream.operators import threshold
 from secstream.operators.incidents import incident_history, incident_transitions
 from secstream.operators.risk import scored_firings
 from secstream.operators.scoring import HISTORY, append_score_history, read_score_history
-from secstream.plans.queries import QUERIES, lab
+from secstream.plans.queries import QUERIES, Lab, lab
 from secstream.sources import tables
 from secstream.sources.manifest import Manifest
 from secstream.streaming.respond import _Risk
@@ -124,3 +126,16 @@ def test_incidents_and_actions_are_worked_out_once(small):
     for written, lazy in ((small.incidents, small.response.incidents), (small.actions, small.response.actions)):
         assert "Aggregate" in plan(lazy) and "Aggregate" not in plan(written)
         assert lazy.exceptAll(written).isEmpty() and written.count() == lazy.count()
+
+
+@pytest.mark.parametrize("name", ["propose_actions", "outstanding_action_filter"])
+def test_proposals_read_no_evidence(spark, small, monkeypatch, name):
+    """Evidence, which no proposal shows, was put together for every alert."""
+    monkeypatch.setattr(threshold, "_evidence", lambda seen: pytest.fail("evidence was put together"))
+    got, key = QUERIES[name](Lab(spark, small.sf_dir)), ["action", "target_type", "target_id"]
+    monkeypatch.undo()
+    want = small.response.actions
+    if name != "propose_actions":
+        want = want.filter("action <> 'disable_account' OR ascii(substring(target_id, 7, 1)) % 2 = 1")
+    assert got.count() > 0
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())) and set(key) <= set(got.columns)
